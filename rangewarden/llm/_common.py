@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangewarden.shipping import ship
+
 #: Rows and bytes of an Arrow batch: what a Python worker holds at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -19,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def batched(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of the session by rows and by bytes."""
+    """Bounds the Arrow batches of the session by rows and by bytes, and lets its Python workers import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -37,6 +40,7 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and survives lost executors."""
     spark, to = df.sparkSession, f"{shared_dir(df.sparkSession)}/rw-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(to)
+    spark._jvm.System.gc()  # Spark drops the shuffle files of plans that are no longer referenced
     return spark.read.schema(df.schema).parquet(to)
 
 
