@@ -5,15 +5,19 @@ from __future__ import annotations
 from rangewarden.llm.exact_dedup import OP5_SQL, op5
 from rangewarden.llm.packing import op1
 from rangewarden.llm.piece_codec import op6
+from rangewarden.llm.simhash import op4
+from rangewarden.llm.suffix_dedup import op9
 from rangewarden.llm.token_files import op8
 
 
 def queries() -> dict:
     return {
         "op1_pack_by_cost": op1,
+        "op4_simhash_tiles": op4,
         "op5_content_sort": op5,
         "op6_sentencepiece": op6,
         "op8_token_files": op8,
+        "op9_prefix_doubling": op9,
     }
 
 
