@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rangewarden.llm.exact_dedup import OP5_SQL, op5
+from rangewarden.llm.language_id import op10
 from rangewarden.llm.packing import op1
 from rangewarden.llm.piece_codec import op6
 from rangewarden.llm.simhash import op4
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op6_sentencepiece": op6,
         "op8_token_files": op8,
         "op9_prefix_doubling": op9,
+        "op10_hyperdimensional": op10,
     }
 
 
