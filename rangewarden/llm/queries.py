@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rangewarden.llm.embedding_dedup import OP3_SQL, op3
 from rangewarden.llm.exact_dedup import OP5_SQL, op5
 from rangewarden.llm.language_id import op10
 from rangewarden.llm.packing import op1
@@ -14,6 +15,7 @@ from rangewarden.llm.token_files import op8
 def queries() -> dict:
     return {
         "op1_pack_by_cost": op1,
+        "op3_multi_index": op3,
         "op4_simhash_tiles": op4,
         "op5_content_sort": op5,
         "op6_sentencepiece": op6,
@@ -24,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_content_sort": OP5_SQL}
+    return {"op3_multi_index": OP3_SQL, "op5_content_sort": OP5_SQL}
