@@ -10,6 +10,7 @@ from rangewarden.llm.piece_codec import op6
 from rangewarden.llm.simhash import op4
 from rangewarden.llm.suffix_dedup import op9
 from rangewarden.llm.token_files import op8
+from rangewarden.llm.toxicity import op7
 
 
 def queries() -> dict:
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op4_simhash_tiles": op4,
         "op5_content_sort": op5,
         "op6_sentencepiece": op6,
+        "op7_ordinal_severity": op7,
         "op8_token_files": op8,
         "op9_prefix_doubling": op9,
         "op10_hyperdimensional": op10,
