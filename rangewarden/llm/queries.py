@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rangewarden.llm.embedding_dedup import OP3_SQL, op3
 from rangewarden.llm.exact_dedup import OP5_SQL, op5
+from rangewarden.llm.html_text import op2
 from rangewarden.llm.language_id import op10
 from rangewarden.llm.packing import op1
 from rangewarden.llm.piece_codec import op6
@@ -16,6 +17,7 @@ from rangewarden.llm.toxicity import op7
 def queries() -> dict:
     return {
         "op1_pack_by_cost": op1,
+        "op2_dom_trees": op2,
         "op3_multi_index": op3,
         "op4_simhash_tiles": op4,
         "op5_content_sort": op5,
