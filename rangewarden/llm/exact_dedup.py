@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rangewarden.llm._common import batched, record, table, texts, written
+from rangewarden.llm._common import batched, record, table, written
 
 _STANDS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("best", pa.int64()), ("best_row", pa.int64()), ("text_sha256", pa.string()), ("content", pa.binary())])
+_STANDS_SQL = "doc_id long, row long, rep long, n long, best long, best_row long, text_sha256 string, content binary"
 _GROUPS = pa.schema([("rep", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
 
 
@@ -37,7 +39,9 @@ def _stand_ins(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa.
                 stand[4:6] = _better((stand[4], stand[5]), (doc, row), largest)
                 rows.append([doc, row, stand[2], None, None, None, stand[6], None])
         if rows:
-            yield record(_STANDS, *zip(*rows, strict=True))
+            carried = b.columns[3:]
+            made = record(_STANDS, *zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([*made.columns, *carried], names=[*_STANDS.names, *["carried"] * len(carried)])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa.RecordBatch]:
@@ -60,6 +64,17 @@ def _neighbours(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa
         yield group()
 
 
+def _sorted(df: DataFrame, keep_largest: bool, carry: bool) -> tuple[DataFrame, DataFrame]:
+    """The stand-ins of all rows, and the groups of the stand-ins."""
+    batched(df.sparkSession)
+    found = df.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("carried")] if carry else []))
+    out = T.StructType([*T._parse_datatype_string(_STANDS_SQL).fields, *found.schema.fields[3:]])
+    # Written once: stand-ins must be the same for the sort and for the way back.
+    stands = written(found.mapInArrow(lambda b: _stand_ins(b, keep_largest), out))
+    order = stands.where("content IS NOT NULL").select("rep", "n", "best", "best_row", "content").repartitionByRange(F.col("content")).sortWithinPartitions("content")
+    return stands, order.mapInArrow(lambda b: _neighbours(b, keep_largest), "rep long, keep_id long, keep_row long, group_size long")
+
+
 def exact_groups(df: DataFrame, keep_largest: bool = False) -> DataFrame:
     """Every row's group of equal contents: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -72,16 +87,17 @@ def exact_groups(df: DataFrame, keep_largest: bool = False) -> DataFrame:
     each partition is sorted externally, and equal neighbours are compared in full. Groups go back to
     the documents by stand-in, whose copies are at most a batch, so no key is hot.
     """
-    batched(df.sparkSession)
-    found = texts(df, "doc_id").select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    # Written once: stand-ins must be the same for the sort and for the way back.
-    stands = written(found.mapInArrow(lambda b: _stand_ins(b, keep_largest), "doc_id long, row long, rep long, n long, best long, best_row long, text_sha256 string, content binary"))
-    order = stands.where("content IS NOT NULL").select("rep", "n", "best", "best_row", "content").repartitionByRange(F.col("content")).sortWithinPartitions("content")
-    groups = order.mapInArrow(lambda b: _neighbours(b, keep_largest), "rep long, keep_id long, keep_row long, group_size long")
+    stands, groups = _sorted(df, keep_largest, carry=False)
     out = stands.select("doc_id", "row", "rep", "text_sha256").join(groups, "rep")
     return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
+def exact_dedup(df: DataFrame, keep_largest: bool = False) -> DataFrame:
+    """The rows of df that stay by exact_groups(), with all its columns."""
+    stands, groups = _sorted(df, keep_largest, carry=True)
+    return stands.join(groups.select(F.col("keep_row").alias("row")).distinct(), "row", "left_semi").select("carried.*")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep_largest=True)
 

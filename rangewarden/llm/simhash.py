@@ -58,37 +58,28 @@ def fingerprints(df: DataFrame, words: int) -> DataFrame:
 
 
 def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarray:
-    """Pairs of places (in a, in b) whose words differ in at most radius bits; with same, a is b and pairs count once.
+    """Edges between places of a, then b, that join whatever words differ in at most radius bits; with same, a is b.
 
-    Where there are more pairs than words, a spanning forest of them: it has the same components.
+    The edges of a block of rows lead to the first place each place reaches: no more than places, however many pairs are near.
     """
     edges: list[np.ndarray] = []
-    step = max(1, (1 << 22) // max(1, len(b)))
-    root = np.arange(len(a) + len(b)) if not same else np.arange(len(a))
     shift = 0 if same else len(a)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    step = max(1, (1 << 22) // max(1, len(b)))
     for lo in range(0, len(a), step):
-        near = np.bitwise_count(a[lo : lo + step, None] ^ b[None]) <= radius
-        i, j = np.nonzero(near)
-        i = i + lo
-        if same:
-            i, j = i[i < j], j[i < j]
-        if len(i) <= 64:
-            edges.append(np.stack([i, j], axis=1))
+        i, j = np.nonzero(np.bitwise_count(a[lo : lo + step, None] ^ b[None]) <= radius)
+        i, j = i + lo, j + shift
+        i, j = i[i < j], j[i < j]
+        if not len(i):
             continue
-        kept = []
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = find(x), find(y + shift)
-            if p != q:
-                root[p] = q
-                kept.append((x, y))
-        edges.append(np.array(kept, np.int64).reshape(-1, 2))
+        label = np.arange(len(b) + shift)
+        while True:
+            least = np.minimum(label[i], label[j])
+            if (label[i] == least).all() and (label[j] == least).all():
+                break
+            np.minimum.at(label, i, least)
+            np.minimum.at(label, j, least)
+        far = np.flatnonzero(label != np.arange(len(label)))
+        edges.append(np.stack([label[far], far], axis=1))
     return np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
 
 
@@ -115,9 +106,10 @@ def near_pairs(fps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 a, b = (np.asarray(batch.column(c)[k].values).view(np.uint64) for c in (0, 1))
-                found = linked(a, b, radius, batch.column(2)[k].as_py())
+                same = batch.column(2)[k].as_py()
+                found, both_ = linked(a, b, radius, same), (a if same else np.r_[a, b]).view(np.int64)
                 if len(found):
-                    yield record(schema, pa.array(a[found[:, 0]].view(np.int64)), pa.array(b[found[:, 1]].view(np.int64)))
+                    yield record(schema, pa.array(both_[found[:, 0]]), pa.array(both_[found[:, 1]]))
 
     # Dealt anew, as the join puts all pairs of a tile into one task.
     return both.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "a long, b long")
@@ -139,5 +131,59 @@ def simhash_groups(df: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     return docs.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Whether each row's shingles are as similar to its group's first document."""
+    for b in batches:
+        near = []
+        for key, first, own, other in zip(*(b.column(c).to_pylist() for c in ("key", "first", "shingles", "others")), strict=True):
+            x, y = np.frombuffer(own, "<u8"), np.frombuffer(other, "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            near.append(key == first or both >= similarity * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([*b.select(["key", "doc", "component", "first", "shingles"]).columns, pa.array(near, pa.bool_())], names=["key", "doc", "component", "first", "shingles", "near"])
+
+
+def near_duplicates(df: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
+    """The rows of df that stay, with all its columns, when of similar texts (doc_id, text) one stays.
+
+    Fingerprints of runs of so many words that differ in at most radius bits make candidates; a radius
+    of 12 finds nearly all texts of a Jaccard similarity of 0.8. In each component of candidates every
+    document is compared, by its distinct shingles, with the one of the smallest doc_id, which stays; the
+    similar ones go, and the others go on among themselves until all are settled. So whatever goes is
+    similar to something that stays, and of a component's documents that stay no two are similar.
+    Null text counts as empty, and texts without words are alike; a null doc_id counts as the
+    largest. Rows with the same doc_id and text stay or go together. An empty table gives no rows.
+    """
+    batched(df.sparkSession)
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("carried"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("fp", pa.int64())])
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([fingerprint(shingle_hashes(t, words)) for t in b.column(2).to_pylist()], dtype=np.uint64)
+            yield record(schema, b.column(0), b.column(1), pa.array(found.view(np.int64)))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(np.array(shingle_hashes(t, words), dtype="<u8")).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.select(["key", "doc", "component"]).columns, pa.array(sets, pa.binary())], names=["key", "doc", "component", "shingles"])
+
+    doc = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc")
+    docs = written(keyed.select("key", doc, "text").mapInArrow(prints, "key long, doc long, fp long").distinct())
+    found = components(near_pairs(docs.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    members = docs.join(found, "fp", "left").select("key", "doc", F.coalesce("component", "fp").alias("component"))
+    several = members.groupBy("component").count().where("count > 1")
+    members = written(members.join(several, "component", "left_semi"))
+    left = written(keyed.select("key", "text").join(members, "key").mapInArrow(shingles, "key long, doc long, component long, shingles binary").dropDuplicates(["key"]))
+    gone = None
+    while not left.isEmpty():
+        first = left.groupBy("component").agg(F.min(F.struct("doc", "key", "shingles")).alias("f")).select("component", F.col("f.key").alias("first"), F.col("f.shingles").alias("others"))
+        seen = written(left.join(first, "component").mapInArrow(lambda b: _alike(b, similarity), "key long, doc long, component long, first long, shingles binary, near boolean"))
+        now = seen.where("near AND key <> first").select("key")
+        gone = now if gone is None else gone.union(now)
+        left = seen.where("NOT near").select("key", "doc", "component", "shingles")
+    kept = keyed if gone is None else keyed.join(gone, "key", "left_anti")
+    return kept.select("carried.*")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=4, radius=4)
