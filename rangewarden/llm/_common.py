@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewarden.shipping import ship
+from rangewarden.shipping import shared_dir, ship
 
 #: Rows and bytes of an Arrow batch: what a Python worker holds at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -27,15 +26,6 @@ def batched(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="rangewarden-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and survives lost executors."""
     spark, to = df.sparkSession, f"{shared_dir(df.sparkSession)}/rw-{uuid.uuid4().hex}"
