@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangewarden.llm._common import batched, drop_written, mix, record, table, written
+from rangewarden.llm._common import batched, mix, record, table, written
 
 #: Bytes of a window and of an anchor. Stretches of up to 2 * WINDOW - ANCHOR bytes are named by ten words.
 WINDOW, ANCHOR = 50, 20
@@ -39,9 +40,11 @@ _PLACE = np.uint64((1 << 24) - 1)
 LAST = (1 << 63) - 1
 
 _NAMES = np.dtype([("anchor", "<u4"), ("high", "<u4"), ("low", "<u2"), ("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("n", "u1")])
-_WINDOWS = np.dtype([("name", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("at", "<u4")])
-_PACKED = pa.schema([("bucket", pa.int32()), ("names", pa.binary())])
-_SPANS = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32())])
+_WINDOWS = np.dtype([("name", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("at", "<i8"), ("n", "u1"), ("bucket", "<i4")])
+_RUNS = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("n", "<u4")])
+#: Rows are settled spans, packed names of a bucket, or stretches whose windows go on, with their bucket.
+_SPANS = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary())])
+_SPANS_SQL = "doc long, tag int, at long, n int, bucket int, names binary"
 _KEY = [f"coalesce(doc_id, {LAST}L) AS doc", "cast(pmod(xxhash64(body), 65536) AS int) AS tag"]
 
 
@@ -114,8 +117,8 @@ def joined(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans_record(spans: np.ndarray, bucket: int | None = None) -> pa.RecordBatch:
-    return record(_SPANS, *(pa.array(np.ascontiguousarray(spans[c]), type=_SPANS.field(c).type) for c in ("doc", "tag", "at", "n")), pa.array([bucket] * len(spans), pa.int32()))
+def spans_record(spans: np.ndarray, bucket: int = -1) -> pa.RecordBatch:
+    return record(_SPANS, *(pa.array(np.ascontiguousarray(spans[c]), type=_SPANS.field(c).type) for c in ("doc", "tag", "at", "n")), pa.array([bucket] * len(spans), pa.int32()), [None] * len(spans))
 
 
 def packed(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
@@ -124,7 +127,7 @@ def packed(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     rows, bucket = rows[order], bucket[order]
     first = np.flatnonzero(first_of(bucket))
     blobs = [b"".join(part[c].tobytes() for c in rows.dtype.names) for part in np.split(rows, first[1:])] if len(rows) else []
-    return record(_PACKED, pa.array(bucket[first].astype(np.int32)), blobs)
+    return names_record(bucket[first], blobs)
 
 
 def unpacked(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
@@ -139,6 +142,58 @@ def unpacked(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
     return out
 
 
+def packed_windows(rows: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket: the number of runs of windows, the runs, and the windows' names in their order."""
+    rows = rows[np.lexsort([rows["at"], rows["tag"], rows["doc"], rows["bucket"]])]
+    new = first_of(rows["bucket"], rows["doc"], rows["tag"])
+    new[1:] |= rows["at"][1:] != rows["at"][:-1] + 1
+    first = np.flatnonzero(new)
+    runs = np.zeros(len(first), _RUNS)
+    for c in ("doc", "tag", "at"):
+        runs[c] = rows[c][first]
+    runs["n"] = np.diff(np.r_[first, len(rows)])
+    blobs, own = [], rows["bucket"][first]
+    begins = np.flatnonzero(first_of(own))
+    for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(first)], strict=True):
+        stop = first[hi] if hi < len(first) else len(rows)
+        blobs.append(np.int64(hi - lo).tobytes() + b"".join(runs[c][lo:hi].tobytes() for c in _RUNS.names) + rows["name"][first[lo] : stop].tobytes())
+    return names_record(own[begins], blobs)
+
+
+def unpacked_windows(blobs: list[bytes]) -> np.ndarray:
+    sizes = [int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs]
+    runs = unpacked([b[8 : 8 + k * _RUNS.itemsize] for b, k in zip(blobs, sizes, strict=True)], _RUNS)
+    n = runs["n"].astype(np.int64)
+    out = np.zeros(int(n.sum()), _WINDOWS)
+    out["name"] = np.concatenate([np.frombuffer(b, "<u8", -1, 8 + k * _RUNS.itemsize) for b, k in zip(blobs, sizes, strict=True)])
+    out["doc"], out["tag"] = np.repeat(runs["doc"], n), np.repeat(runs["tag"], n)
+    out["at"] = np.repeat(runs["at"] - np.cumsum(n) + n, n) + np.arange(len(out))
+    out["n"] = 1
+    return out
+
+
+def names_record(bucket: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
+    return record(_SPANS, *([None] * len(blobs) for _ in range(4)), pa.array(bucket.astype(np.int32)), blobs)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], pa.RecordBatch | None]]:
+    """Of a partition that is sorted by bucket: the packed arrays of each bucket; and the spans, which pass through."""
+    now, blobs = None, []
+    for b in batches:
+        plain = b.filter(pc.is_null(b.column("names")))
+        if plain.num_rows:
+            yield -1, [], plain
+        b = b.filter(pc.is_valid(b.column("names")))
+        for bucket, names in zip(b.column("bucket").to_pylist(), b.column("names").to_pylist(), strict=True):
+            if bucket != now and blobs:
+                yield now, blobs, None
+                blobs = []
+            now = bucket
+            blobs.append(names)
+    if blobs:
+        yield now, blobs, None
+
+
 def repeat_spans(df: DataFrame) -> DataFrame:
     """Byte ranges (doc, tag, at, n) covered by windows that start in a document with a smaller doc_id; they may overlap.
 
@@ -164,29 +219,24 @@ def repeat_spans(df: DataFrame) -> DataFrame:
                 found.append(rows)
             if found:
                 rows, covered = settle(np.concatenate(found), ["bucket", "anchor", "high", "low"])
-                left, spans = packed(rows[~covered][list(_NAMES.names)], rows["bucket"][~covered]), spans_record(joined(rows[covered]))
-                yield from both(left, spans)
-
-    def both(left: pa.RecordBatch, spans: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """One schema for names that travel on and spans that are settled."""
-        if left.num_rows:
-            yield record(_MIXED, *([None] * left.num_rows for _ in range(4)), left.column(0), left.column(1))
-        if spans.num_rows:
-            yield record(_MIXED, *(spans.column(i) for i in range(5)), [None] * spans.num_rows)
+                yield packed(rows[~covered][list(_NAMES.names)], rows["bucket"][~covered])
+                yield spans_record(joined(rows[covered]))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rounds 1 and 2 of a bucket: covered stretches without a bucket; with it those whose windows go on."""
-        for bucket, blobs in gathered(batches):
+        """Rounds 1 and 2 of a bucket: spans, and the stretches whose windows go on."""
+        for bucket, blobs, plain in gathered(batches):
+            if plain:
+                yield plain
+                continue
             rows, covered = settle(unpacked(blobs, _NAMES), ["anchor", "high", "low"])
             yield spans_record(joined(rows[covered]))
             rows = rows[~covered]
             new = first_of(rows["anchor"])
-            group = np.cumsum(new) - 1
             first = np.flatnonzero(new)
             if len(first):
-                # Round 1: an anchor in one document only, or in one stretch only, has nothing left.
+                # Round 1: an anchor in one document only, or one whose stretches are all covered by the first, has nothing left.
                 several = np.minimum.reduceat(rows["doc"], first) != np.maximum.reduceat(rows["doc"], first)
-                rows = rows[several[group]]
+                rows = rows[several[np.cumsum(new) - 1]]
                 if len(rows):
                     yield spans_record(rows, bucket)
 
@@ -198,59 +248,33 @@ def repeat_spans(df: DataFrame) -> DataFrame:
                 start = np.array([p["at"] for p in parts], np.int64)
                 n, own = np.array([p["n"] for p in parts], np.int64), np.array([p["bucket"] for p in parts], np.int32)
                 at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-                rows = np.zeros(len(at), [*_WINDOWS.descr, ("bucket", "<i4"), ("n", "u1")])
+                rows = np.zeros(len(at), _WINDOWS)
                 rows["name"], rows["bucket"] = window_names(body, at), np.repeat(own, n)
                 rows["doc"], rows["tag"], rows["at"], rows["n"] = doc, tag, at, 1
                 found.append(rows)
             if found:
                 rows, covered = settle(np.concatenate(found), ["name"])
-                yield from both(packed(rows[~covered][list(_WINDOWS.names)], rows["bucket"][~covered]), spans_record(joined(rows[covered])))
+                yield packed_windows(rows[~covered])
+                yield spans_record(joined(rows[covered]))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Round 3 of a bucket."""
-        for _, blobs in gathered(batches):
-            plain = unpacked(blobs, _WINDOWS)
-            rows = np.zeros(len(plain), [*_WINDOWS.descr, ("n", "u1")])
-            for c in _WINDOWS.names:
-                rows[c] = plain[c]
-            rows["n"] = 1
-            rows, covered = settle(rows, ["name"])
+        for _, blobs, plain in gathered(batches):
+            if plain:
+                yield plain
+                continue
+            rows, covered = settle(unpacked_windows(blobs), ["name"])
             yield spans_record(joined(rows[covered]))
 
-    def spans_of(kept: DataFrame) -> DataFrame:
-        return kept.where("names IS NULL").select("doc", "tag", "at", "n")
-
-    def dealt(kept: DataFrame, fn) -> DataFrame:
-        return kept.where("names IS NOT NULL").select("bucket", "names").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(fn, _SPANS_SQL)
-
-    one = written(docs.mapInArrow(names, _MIXED_SQL))
-    two = written(dealt(one, stretches))
-    goes_on = two.where("bucket IS NOT NULL").groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n", "bucket")).alias("parts"))
-    three = written(docs.join(goes_on, ["doc", "tag"]).select("doc", "tag", "body", "parts").mapInArrow(windows, _MIXED_SQL))
-    four = dealt(three, single).select("doc", "tag", "at", "n")
-    out = written(spans_of(one).union(two.where("bucket IS NULL").select("doc", "tag", "at", "n")).union(spans_of(three)).union(four))
-    for x in (one, two, three):
-        drop_written(x)
-    return out
-
-
-_MIXED = pa.schema([*list(_SPANS), ("names", pa.binary())])
-_SPANS_SQL = "doc long, tag int, at long, n int, bucket int"
-_MIXED_SQL = f"{_SPANS_SQL}, names binary"
-
+    def dealt(found: DataFrame, fn) -> DataFrame:
+        # Settled spans need no company: they are dealt anywhere.
+        to = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.expr(f"cast(pmod(xxhash64(doc, at), {buckets}) AS int)"))
+        return found.repartitionById(buckets, to).sortWithinPartitions("bucket").mapInArrow(fn, _SPANS_SQL)
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """The packed arrays of each bucket of a partition that is sorted by bucket."""
-    now, blobs = None, []
-    for b in batches:
-        for bucket, names in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if bucket != now and blobs:
-                yield now, blobs
-                blobs = []
-            now = bucket
-            blobs.append(names)
-    if blobs:
-        yield now, blobs
+    one = written(dealt(docs.mapInArrow(names, _SPANS_SQL), stretches))
+    goes_on = one.where("bucket >= 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n", "bucket")).alias("parts"))
+    two = written(dealt(docs.join(goes_on, ["doc", "tag"]).select("doc", "tag", "body", "parts").mapInArrow(windows, _SPANS_SQL), single))
+    return one.where("bucket < 0").union(two).select("doc", "tag", "at", "n")
 
 
 def cut_spans(body: bytes, spans: list) -> tuple[bytes, int, int]:
