@@ -50,7 +50,7 @@ class Severity:
 
 
 def grades(docs: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ordered grades from yes/no labels, and the features that are commoner in toxic documents.
+    """Ordered grades from yes/no labels, and the features that are much commoner in toxic documents.
 
     0 is not toxic. A toxic document's grade follows from how many of its distinct words have a feature
     that occurs in at least two toxic documents and is twenty times as common there as elsewhere.
@@ -62,23 +62,25 @@ def grades(docs: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.nd
     lift = (c1 / n1) / ((c0 + 0.5) / n0)
     marks = (c1 >= 2) & (lift >= 20)
     y = np.array([0 if not t else 1 + int(np.searchsorted(GRADES, marks[f].any(axis=1).sum() if len(f) else 0)) for f, t in zip(docs, toxic, strict=True)], np.int64)
-    return y, np.flatnonzero((c1 >= 2) & (lift > 2))
+    return y, np.flatnonzero((c1 >= 3) & (lift > 15))
 
 
-def fit_grades(docs: list[np.ndarray], toxic: np.ndarray, rounds: int = 300, rate: float = 1.0, l1: float = 2e-4) -> Severity:
+def fit_grades(docs: list[np.ndarray], toxic: np.ndarray, rounds: int = 600, rate: float = 1.0, l1: float = 2e-4) -> Severity:
     """Maximum likelihood by proximal AdaGrad, with each toxic document weighing as the root of how much rarer it is.
 
     Weights are sparse and not negative, so plain words can't outweigh an insult.
     """
     y, used = grades(docs, toxic)
     n, top = len(y), 1 + len(GRADES)
+    if not y.any():
+        return Severity({}, 20.0 + np.arange(top))  # nothing to learn toxicity from: nothing is toxic
     at = np.full(PLACES, -1, np.int64)
     at[used] = np.arange(len(used))
     rows, cols = [], []
     for i, feats in enumerate(docs):
         # Words that end before their start of so many letters have a feature twice: it counts once.
-        own = np.concatenate([np.unique(f) for f in feats]) if len(feats) else np.zeros(0, np.int64)
-        own = at[own]
+        own = np.sort(feats, axis=1).astype(np.int64)
+        own = at[own[np.diff(own, axis=1, prepend=-1) != 0]]
         own = own[own >= 0]
         rows.append(np.full(len(own), i))
         cols.append(own)
@@ -88,7 +90,7 @@ def fit_grades(docs: list[np.ndarray], toxic: np.ndarray, rounds: int = 300, rat
     theta = np.log(below / (1 - below))
     weigh = np.where(y > 0, max(1.0, np.sqrt((y == 0).sum() / max(1, (y > 0).sum()))), 1.0)
     w, gw, gt = np.zeros(len(used)), np.full(len(used), 1e-8), np.full(top, 1e-8)
-    for _ in range(rounds if n else 0):
+    for _ in range(rounds):
         s = np.bincount(row, w[col], n)
         edge = np.concatenate([np.full((n, 1), -np.inf), np.broadcast_to(theta, (n, top)), np.full((n, 1), np.inf)], axis=1) - s[:, None]
         p = 1 / (1 + np.exp(-np.clip(edge, -40, 40)))
