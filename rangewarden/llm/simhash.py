@@ -131,25 +131,45 @@ def simhash_groups(df: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     return docs.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
 def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Whether each row's shingles are as similar to its group's first document."""
+    """Whether each row's shingles are as similar to its component's first document."""
     for b in batches:
-        near = []
-        for key, first, own, other in zip(*(b.column(c).to_pylist() for c in ("key", "first", "shingles", "others")), strict=True):
-            x, y = np.frombuffer(own, "<u8"), np.frombuffer(other, "<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            near.append(key == first or both >= similarity * (len(x) + len(y) - both))
+        near = [key == first or _similar(np.frombuffer(own, "<u8"), np.frombuffer(other, "<u8"), similarity) for key, first, own, other in zip(*(b.column(c).to_pylist() for c in ("key", "first", "shingles", "others")), strict=True)]
         yield pa.RecordBatch.from_arrays([*b.select(["key", "doc", "component", "first", "shingles"]).columns, pa.array(near, pa.bool_())], names=["key", "doc", "component", "first", "shingles", "near"])
 
 
-def near_duplicates(df: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
+def _in_turn(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by component and document: those similar to an earlier one of their component that stays."""
+    now, stay = None, []
+    for b in batches:
+        gone = []
+        for key, component, own in zip(*(b.column(c).to_pylist() for c in ("key", "component", "shingles")), strict=True):
+            if component != now:
+                now, stay = component, []
+            x = np.frombuffer(own, "<u8")
+            if any(_similar(x, y, similarity) for y in stay):
+                gone.append(key)
+            else:
+                stay.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["key"])
+
+
+def near_duplicates(df: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8, alone: int = 2000) -> DataFrame:
     """The rows of df that stay, with all its columns, when of similar texts (doc_id, text) one stays.
 
     Fingerprints of runs of so many words that differ in at most radius bits make candidates; a radius
-    of 12 finds nearly all texts of a Jaccard similarity of 0.8. In each component of candidates every
-    document is compared, by its distinct shingles, with the one of the smallest doc_id, which stays; the
-    similar ones go, and the others go on among themselves until all are settled. So whatever goes is
-    similar to something that stays, and of a component's documents that stay no two are similar.
+    of 12 finds nearly all texts of a Jaccard similarity of 0.8. In each component of candidates the
+    documents are taken in order of doc_id: one goes if its distinct shingles are similar to those of an
+    earlier one that stays. So whatever goes is similar to something that stays, and of a component's
+    documents that stay no two are similar. A component of more than ``alone`` documents first sheds, in
+    rounds over all tasks, what is similar to its first document; smaller ones are settled in one task each.
     Null text counts as empty, and texts without words are alike; a null doc_id counts as the
     largest. Rows with the same doc_id and text stay or go together. An empty table gives no rows.
     """
@@ -175,13 +195,17 @@ def near_duplicates(df: DataFrame, words: int = 5, radius: int = 12, similarity:
     members = written(members.join(several, "component", "left_semi"))
     left = written(keyed.select("key", "text").join(members, "key").mapInArrow(shingles, "key long, doc long, component long, shingles binary").dropDuplicates(["key"]))
     gone = None
-    while not left.isEmpty():
-        first = left.groupBy("component").agg(F.min(F.struct("doc", "key", "shingles")).alias("f")).select("component", F.col("f.key").alias("first"), F.col("f.shingles").alias("others"))
+    while True:
+        large = left.groupBy("component").count().where(F.col("count") > alone).select("component")
+        if large.isEmpty():
+            break
+        first = left.join(large, "component", "left_semi").groupBy("component").agg(F.min(F.struct("doc", "key", "shingles")).alias("f")).select("component", F.col("f.key").alias("first"), F.col("f.shingles").alias("others"))
         seen = written(left.join(first, "component").mapInArrow(lambda b: _alike(b, similarity), "key long, doc long, component long, first long, shingles binary, near boolean"))
         now = seen.where("near AND key <> first").select("key")
         gone = now if gone is None else gone.union(now)
-        left = seen.where("NOT near").select("key", "doc", "component", "shingles")
-    kept = keyed if gone is None else keyed.join(gone, "key", "left_anti")
+        left = written(left.join(large, "component", "left_anti").unionByName(seen.where("NOT near").select(*left.columns)))
+    last = left.repartition("component").sortWithinPartitions("component", "doc", "key").select("key", "component", "shingles").mapInArrow(lambda b: _in_turn(b, similarity), "key long")
+    kept = keyed.join(last if gone is None else last.union(gone), "key", "left_anti")
     return kept.select("carried.*")
 
 
