@@ -366,8 +366,11 @@ def oracle_sql() -> dict[str, str]:
     both = f"WITH {T}, {_cluster_ctes([DEEP, STANDARD])}, fr AS (SELECT DISTINCT start, len, start + (1::BIGINT << (32 - len)) - 1 AS e FROM found)"
     std = f"WITH {T}, {_cluster_ctes([STANDARD])}, g AS (SELECT CAST(ip >> 24 AS INTEGER) AS o1, CAST((ip >> 16) & 255 AS INTEGER) AS o2, CAST(sum(cnt) AS BIGINT) AS n FROM t GROUP BY ALL), cg AS (SELECT CAST(ip >> 24 AS INTEGER) AS o1, CAST((ip >> 16) & 255 AS INTEGER) AS o2, CAST(sum(cnt) AS BIGINT) AS n FROM t WHERE EXISTS (SELECT 1 FROM found WHERE ip >= start AND ip < start + (1::BIGINT << (32 - len))) GROUP BY ALL)"
     grid = f"WITH {T}, g AS (SELECT CAST(ip >> 24 AS INTEGER) AS o1, CAST((ip >> 16) & 255 AS INTEGER) AS o2, CAST(sum(cnt) AS BIGINT) AS n FROM t GROUP BY ALL)"
-    sibling = f"""{bans.replace("WITH", "WITH RECURSIVE", 1)}, base AS (SELECT DISTINCT start, len FROM found),
- p1 AS (SELECT array_agg(struct_pack(s := start, l := len) ORDER BY start, len) AS xs FROM base)"""
+    step = lambda name, base: f"""{name} AS (SELECT i, start AS cs, len AS cl, NULL::BIGINT AS es, NULL::INTEGER AS el FROM {base} WHERE i = 1
+ UNION ALL SELECT i, CASE WHEN m THEN cs ELSE start END, CASE WHEN m THEN cl - 1 ELSE len END, CASE WHEN m THEN NULL ELSE cs END, CASE WHEN m THEN NULL ELSE cl END
+ FROM (SELECT b.i, b.start, b.len, p.cs, p.cl, b.len = p.cl AND p.cs + (1::BIGINT << (32 - b.len)) = b.start AND p.cs % (1::BIGINT << (33 - b.len)) = 0 AS m FROM {name} p JOIN {base} b ON b.i = p.i + 1)),
+ {name}_out AS (SELECT row_number() OVER (ORDER BY start, len) AS i, start, len FROM (SELECT es AS start, el AS len FROM {name} WHERE es IS NOT NULL UNION ALL SELECT cs, cl FROM {name} WHERE i = (SELECT max(i) FROM {name})))"""
+    merged = f"""{bans.replace("WITH", "WITH RECURSIVE", 1)}, base AS (SELECT row_number() OVER (ORDER BY start, len) AS i, start, len FROM found), {step("p1", "base")}, {step("p2", "p1_out")} SELECT start, len FROM p2_out"""
     parsed_agent = "concat('Bot \\\"x\\\" ', user_agent)".replace('\\"', '\\"')
     return {
         "prefix_counts_d8_24": f"{wt} SELECT CAST(d AS INTEGER) AS depth, ip >> (32 - d) AS prefix, CAST(sum(cnt) AS BIGINT) AS cnt FROM t, range(8, 25) g(d) GROUP BY d, ip >> (32 - d)",
@@ -393,6 +396,7 @@ def oracle_sql() -> dict[str, str]:
         "cluster_percentages": f"{report} SELECT set_id, cidr, requests, round(requests / (SELECT sum(cnt) FROM t) * 100, 6) AS percent FROM rep",
         "cluster_set_totals": f"{report} SELECT set_id, CAST(sum(requests) AS BIGINT) AS requests FROM rep GROUP BY set_id",
         "remove_contained": f"{both} SELECT start, len FROM fr WHERE NOT EXISTS (SELECT 1 FROM fr o WHERE o.start <= fr.start AND o.e >= fr.e AND o.len < fr.len)",
+        "merge_ranges": merged,
         "interval_union": f"""{both}, o AS (SELECT start, e, max(e) OVER (ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM fr), i AS (SELECT *, sum(CASE WHEN m IS NULL OR start > m + 1 THEN 1 ELSE 0 END) OVER (ORDER BY start, e ROWS UNBOUNDED PRECEDING) AS k FROM o)
  SELECT min(start) AS start, max(e) AS "end" FROM i GROUP BY k""",
         "interval_cover": f"""WITH RECURSIVE {T}, cut AS (SELECT ip, ip AS s, ip + ip % 1000 AS e, CAST(NULL AS BIGINT) AS blk, CAST(NULL AS INTEGER) AS len FROM t WHERE ip % 50 = 0 AND ip + ip % 1000 < 4294967296
