@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,15 +123,36 @@ def spans_record(spans: np.ndarray, bucket: int = -1) -> pa.RecordBatch:
 
 
 def packed(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket; its arrays lie column by column."""
-    order = np.argsort(bucket, kind="stable")
+    """A row for each bucket: its names in order of their places in the texts, column by column, places as differences, compressed."""
+    order = np.lexsort([rows["at"], rows["tag"], rows["doc"], bucket])
     rows, bucket = rows[order], bucket[order]
     first = np.flatnonzero(first_of(bucket))
-    blobs = [b"".join(part[c].tobytes() for c in rows.dtype.names) for part in np.split(rows, first[1:])] if len(rows) else []
+    squeeze, blobs = zstandard.ZstdCompressor(level=1), []
+    for part in np.split(rows, first[1:]) if len(rows) else []:
+        columns = [part[c].copy() for c in part.dtype.names]
+        columns[part.dtype.names.index("at")][1:] -= part["at"][:-1]
+        # Bytes of the same weight lie together, so those that hardly change take no room.
+        blobs.append(squeeze.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)))
     return names_record(bucket[first], blobs)
 
 
+def unpacked_names(blobs: list[bytes]) -> np.ndarray:
+    plain = list(map(zstandard.ZstdDecompressor().decompress, blobs))
+    sizes = [len(b) // _NAMES.itemsize for b in plain]
+    out, lo = np.zeros(sum(sizes), _NAMES), 0
+    for b, n in zip(plain, sizes, strict=True):
+        at = 0
+        for c in _NAMES.names:
+            width = _NAMES[c].itemsize
+            column = np.frombuffer(b, np.uint8, n * width, at).reshape(width, n).T.copy().view(_NAMES[c]).ravel()
+            out[c][lo : lo + n] = np.cumsum(column, dtype=column.dtype) if c == "at" else column
+            at += n * width
+        lo += n
+    return out
+
+
 def unpacked(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    """Arrays that lie column by column."""
     sizes = [len(b) // kind.itemsize for b in blobs]
     out, lo = np.zeros(sum(sizes), kind), 0
     for b, n in zip(blobs, sizes, strict=True):
@@ -228,7 +250,7 @@ def repeat_spans(df: DataFrame) -> DataFrame:
             if plain:
                 yield plain
                 continue
-            rows, covered = settle(unpacked(blobs, _NAMES), ["anchor", "high", "low"])
+            rows, covered = settle(unpacked_names(blobs), ["anchor", "high", "low"])
             yield spans_record(joined(rows[covered]))
             rows = rows[~covered]
             new = first_of(rows["anchor"])
