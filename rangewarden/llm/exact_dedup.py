@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from rangewarden.llm._common import batched, record, table, written
 
+#: Bytes of a content that a splitter of the range partitioning holds; sorting and comparing take whole contents.
+HEAD = 64
 _STANDS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("best", pa.int64()), ("best_row", pa.int64()), ("text_sha256", pa.string()), ("content", pa.binary())])
 _STANDS_SQL = "doc_id long, row long, rep long, n long, best long, best_row long, text_sha256 string, content binary"
 _GROUPS = pa.schema([("rep", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
@@ -71,7 +73,9 @@ def _sorted(df: DataFrame, keep_largest: bool, carry: bool) -> tuple[DataFrame,
     out = T.StructType([*T._parse_datatype_string(_STANDS_SQL).fields, *found.schema.fields[3:]])
     # Written once: stand-ins must be the same for the sort and for the way back.
     stands = written(found.mapInArrow(lambda b: _stand_ins(b, keep_largest), out))
-    order = stands.where("content IS NOT NULL").select("rep", "n", "best", "best_row", "content").repartitionByRange(F.col("content")).sortWithinPartitions("content")
+    order = stands.where("content IS NOT NULL").select("rep", "n", "best", "best_row", "content", "text_sha256")
+    # The splitters' sample goes to the driver, so a splitter is a content's start, and its hash where many share a start; equal contents share both.
+    order = order.repartitionByRange(F.substring("content", 1, HEAD), "text_sha256").sortWithinPartitions("content").drop("text_sha256")
     return stands, order.mapInArrow(lambda b: _neighbours(b, keep_largest), "rep long, keep_id long, keep_row long, group_size long")
 
 
