@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,12 @@ from rangewarden.llm.components import components
 TILE = 8192
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
+#: Groups of texts with a common hash up to this size are compared pair by pair; rows of groups at once.
+SMALL, MEET = 64, 1 << 16
+#: Documents, and characters of each, that tell which hashes are common: it changes the work, not the result.
+SAMPLE, SAMPLE_CHARS = 2000, 4000
+_FIRSTS = np.dtype([("hash", "<i8"), ("key", "<i8"), ("fp", "<u8"), ("n", "<i8"), ("at", "<i8")])
+_PAIRS = np.dtype([("a", "<i8"), ("b", "<i8"), ("sure", "?")])
 
 
 def shingle_hashes(text: str, words: int) -> list[int]:
@@ -161,26 +169,189 @@ def _in_turn(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["key"])
 
 
+def prefix(hashes: np.ndarray, common: np.ndarray, seen: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's sorted hashes in an order that holds for all sets: sets as similar as this share one of their first ones.
+
+    Hashes that a sample saw often (common, sorted, and how often) come last, so that few sets share a first one by chance.
+    """
+    if not len(hashes):
+        return np.zeros(1, "<u8")
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, seen[at], 0)
+    return hashes[np.lexsort([hashes, rank])][: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
+def _may_be_similar(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m hashes, whose first common one is at these places, can be as similar."""
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m)) & (np.minimum(n - at, m - to) * (1 + similarity) >= similarity * (n + m) - 1e-6)
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each value of the last bits of distinct hashes, at least as many as hashes: whether an odd number has it."""
+    bits = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parities_allow(x: bytes, n: int, y: bytes, m: int, similarity: float) -> bool:
+    """Whether sets of n and m hashes with these parities can be as similar: each odd bit of both together is a hash of one only."""
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6
+
+
+def group_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Of rows sorted by hash: pairs (a, b, sure) of keys that share a hash and may be similar; sure within the radius.
+
+    In groups of more than SMALL a pair that sure ones already link, directly or not, is left out.
+    """
+    found, new = [], np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]
+    size = np.diff(np.r_[np.flatnonzero(new), len(rows)])
+    small = rows[np.repeat((size > 1) & (size <= SMALL), size)]
+
+    def judged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _may_be_similar(a["n"], a["at"], b["n"], b["at"], similarity), np.bitwise_count(a["fp"] ^ b["fp"]) <= radius
+
+    def add(a: np.ndarray, b: np.ndarray, sure) -> None:
+        out = np.zeros(len(a), _PAIRS)
+        out["a"], out["b"], out["sure"] = np.minimum(a["key"], b["key"]), np.maximum(a["key"], b["key"]), sure
+        found.append(out)
+
+    for d in range(1, SMALL):
+        a, b = small[:-d], small[d:]
+        same = a["hash"] == b["hash"]
+        if not same.any():
+            break
+        may, sure = judged(a := a[same], b := b[same])
+        add(a[may], b[may], sure[may])
+    for lo, k in zip(np.flatnonzero(new)[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        group, step, label = rows[lo : lo + k], max(1, (1 << 20) // k), np.arange(k)
+        for again in (False, True):
+            for at in range(0, k, step):
+                may, sure = judged(group[at : at + step, None], group[None])
+                i, j = np.nonzero(may & (~sure if again else sure))
+                i = i + at
+                i, j = i[i < j], j[i < j]
+                if again:
+                    i, j = i[label[i] != label[j]], j[label[i] != label[j]]
+                    add(group[i], group[j], False)
+                    continue
+                while len(i) and (label[i] != label[j]).any():
+                    least = np.minimum(label[i], label[j])
+                    for x in (i, j):
+                        np.minimum.at(label, label[x], least)
+                    label = label[label]
+            if not again:
+                while (label[label] != label).any():
+                    label = label[label]
+                far = np.flatnonzero(label != np.arange(k))
+                add(group[label[far]], group[far], True)
+    out = np.concatenate(found) if found else np.zeros(0, _PAIRS)
+    out = out[np.lexsort([out["sure"], out["b"], out["a"]])]
+    return out[np.r_[(out["a"][1:] != out["a"][:-1]) | (out["b"][1:] != out["b"][:-1]), True]] if len(out) else out
+
+
+def similar_pairs(docs: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that link all texts (key, text) of that similarity, in part by other texts.
+
+    Texts that similar share one of the first hashes of their shingles (see prefix), so only those that
+    do meet. If their fingerprints differ in at most radius bits they are linked without a look at the
+    shingles; all other pairs are, if their shingles are that similar.
+    """
+    spark = docs.sparkSession
+    batched(spark)
+
+    def sets(t: str) -> np.ndarray:
+        return np.unique(np.array(shingle_hashes(t, words), dtype="<u8"))
+
+    seen: dict[int, int] = {}
+    for _, text in docs.select("key", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("key"), "key", "text").limit(SAMPLE).collect():
+        for h in sets(text).tolist():
+            seen[h] = seen.get(h, 0) + 1
+    often = sorted(h for h, n in seen.items() if n > 1)
+    common, times = np.array(often, dtype="<u8"), np.array([seen[h] for h in often], dtype=np.int64)
+    schema = pa.schema([("hash", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, fps, sizes = [], [], []
+            for text in b.column(1).to_pylist():
+                hashes = shingle_hashes(text, words)
+                own = np.unique(np.array(hashes, dtype="<u8"))
+                found.append(prefix(own, common, times, similarity))
+                fps.append(fingerprint(hashes))
+                sizes.append(len(own))
+            if found:
+                n = list(map(len, found))
+                at = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+                yield record(schema, np.concatenate(found).view(np.int64), np.repeat(b.column(0).to_numpy(), n), np.repeat(np.array(fps, np.uint64).view(np.int64), n), np.repeat(np.array(sizes, np.int32), n), at)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, most = [], 0
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                rows = np.zeros(b.num_rows, _FIRSTS)
+                for i, c in enumerate(_FIRSTS.names):
+                    rows[c] = b.column(i).to_numpy().view(np.uint64) if c == "fp" else b.column(i).to_numpy()
+                waiting.append(rows)
+                most += len(rows)
+            if not waiting or (b is not None and most < MEET):
+                continue
+            rows = np.concatenate(waiting)
+            rows = rows[np.r_[True, (rows["hash"][1:] != rows["hash"][:-1]) | (rows["key"][1:] != rows["key"][:-1])][: len(rows)]]
+            # The last group may go on in the next batch.
+            end = len(rows) if b is None or not len(rows) else int(np.searchsorted(rows["hash"], rows["hash"][-1]))
+            waiting, most = [rows[end:]], 0
+            found = group_pairs(rows[:end], radius, similarity)
+            for lo in range(0, len(found), MEET):
+                yield pa.RecordBatch.from_arrays([pa.array(found[c][lo : lo + MEET]) for c in ("a", "b", "sure")], names=["a", "b", "sure"])
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            may = [parities_allow(*r, similarity) for r in zip(*(b.column(c).to_pylist() for c in range(2, 6)), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(may, pa.bool_()))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [sets(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(list(map(parities, own)), pa.binary()), pa.array(list(map(len, own)), pa.int32())], names=["key", "set", "odd", "n"])
+
+    met = docs.select("key", "text").mapInArrow(firsts, "hash long, key long, fp long, n int, at int").repartition("hash").sortWithinPartitions("hash", "key").mapInArrow(meet, "a long, b long, sure boolean")
+    met = written(met.groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    rest = met.where("NOT sure").select("a", "b")
+    asked = rest.select(F.col("a").alias("key")).union(rest.select("b")).distinct()
+    known = written(docs.select("key", "text").join(asked, "key", "left_semi").mapInArrow(hashed, "key long, set binary, odd binary, n int").dropDuplicates(["key"]))
+    # Most pairs fail by their parities, so few need the shingles themselves.
+    for side, names in (("a", ("x", "n")), ("b", ("y", "m"))):
+        rest = rest.join(known.select(F.col("key").alias(side), F.col("odd").alias(names[0]), F.col("n").alias(names[1])), side)
+    rest = written(rest.select("a", "b", "x", "n", "y", "m").mapInArrow(allowed, "a long, b long"))
+    sides = rest.join(known.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+    return met.where("sure").select("a", "b").union(sides.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"))
+
+
 def near_duplicates(df: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8, alone: int = 2000) -> DataFrame:
     """The rows of df that stay, with all its columns, when of similar texts (doc_id, text) one stays.
 
-    Fingerprints of runs of so many words that differ in at most radius bits make candidates; a radius
-    of 12 finds nearly all texts of a Jaccard similarity of 0.8. In each component of candidates the
+    Candidates are found exactly (see similar_pairs): fingerprints of runs of so many words that differ in
+    at most radius bits only spare a look at the shingles. In each component of candidates the
     documents are taken in order of doc_id: one goes if its distinct shingles are similar to those of an
     earlier one that stays. So whatever goes is similar to something that stays, and of a component's
     documents that stay no two are similar. A component of more than ``alone`` documents first sheds, in
-    rounds over all tasks, what is similar to its first document; smaller ones are settled in one task each.
+    rounds over all tasks, what is similar to its first document, as long as that is half of it; the rest is settled in one task each.
     Null text counts as empty, and texts without words are alike; a null doc_id counts as the
     largest. Rows with the same doc_id and text stay or go together. An empty table gives no rows.
     """
     batched(df.sparkSession)
     keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("carried"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("fp", pa.int64())])
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = np.array([fingerprint(shingle_hashes(t, words)) for t in b.column(2).to_pylist()], dtype=np.uint64)
-            yield record(schema, b.column(0), b.column(1), pa.array(found.view(np.int64)))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,9 +359,9 @@ def near_duplicates(df: DataFrame, words: int = 5, radius: int = 12, similarity:
             yield pa.RecordBatch.from_arrays([*b.select(["key", "doc", "component"]).columns, pa.array(sets, pa.binary())], names=["key", "doc", "component", "shingles"])
 
     doc = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc")
-    docs = written(keyed.select("key", doc, "text").mapInArrow(prints, "key long, doc long, fp long").distinct())
-    found = components(near_pairs(docs.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
-    members = docs.join(found, "fp", "left").select("key", "doc", F.coalesce("component", "fp").alias("component"))
+    docs = keyed.select("key", doc, "text")
+    found = components(similar_pairs(docs, words, radius, similarity)).withColumnRenamed("node", "key")
+    members = docs.select("key", "doc").distinct().join(found, "key")
     several = members.groupBy("component").count().where("count > 1")
     members = written(members.join(several, "component", "left_semi"))
     left = written(keyed.select("key", "text").join(members, "key").mapInArrow(shingles, "key long, doc long, component long, shingles binary").dropDuplicates(["key"]))
@@ -204,6 +375,8 @@ def near_duplicates(df: DataFrame, words: int = 5, radius: int = 12, similarity:
         now = seen.where("near AND key <> first").select("key")
         gone = now if gone is None else gone.union(now)
         left = written(left.join(large, "component", "left_anti").unionByName(seen.where("NOT near").select(*left.columns)))
+        if 2 * now.count() < seen.count():
+            break
     last = left.repartition("component").sortWithinPartitions("component", "doc", "key").select("key", "component", "shingles").mapInArrow(lambda b: _in_turn(b, similarity), "key long")
     kept = keyed.join(last if gone is None else last.union(gone), "key", "left_anti")
     return kept.select("carried.*")

@@ -9,7 +9,7 @@ import xxhash
 from rangewarden.llm.components import components
 from rangewarden.llm.embedding_dedup import embedding_groups
 from rangewarden.llm.exact_dedup import exact_dedup, exact_groups
-from rangewarden.llm.simhash import fingerprint, linked, near_duplicates, shingle_hashes, simhash_groups
+from rangewarden.llm.simhash import _FIRSTS, fingerprint, group_pairs, linked, near_duplicates, parities, parities_allow, shingle_hashes, simhash_groups
 from rangewarden.llm.suffix_dedup import without_repeats
 
 WORDS = "of the and thing ontion reble ere wh st Of and, THE ét é ß".split()
@@ -119,6 +119,53 @@ def test_near_duplicates(spark, alone):
     assert near_duplicates(df).columns == df.columns and near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_at_production_parameters(spark):
+    rng = random.Random(8)
+    found = []
+    for _ in range(80):  # one inner word of 50 changed: 41 of 51 shingles, often beyond 12 bits
+        ws = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(50)]
+        found += [" ".join(ws), " ".join(w if i != 25 else "other" for i, w in enumerate(ws))]
+    df, rows = frame(spark, found + texts(150, 7, 200))
+    sets = {(d, t): set(shingle_hashes(t or "", 5)) for d, t, *_ in rows}
+    beyond = [i for i in range(0, 160, 2) if (brute_fingerprint(found[i], 5) ^ brute_fingerprint(found[i + 1], 5)).bit_count() > 12]
+    assert beyond
+    kept = {(r["doc_id"], r["text"]) for r in near_duplicates(df, words=5, similarity=0.8).collect()}
+    stay = {}
+    for x in sorted(sets, key=lambda x: (1 << 63 if x[0] is None else x[0])):
+        if not any(len(sets[x] & s) >= 0.8 * len(sets[x] | s) for s in stay.values()):
+            stay[x] = sets[x]
+    assert {(d, shingle_key(sets[d, t])) for d, t in kept} == {(d, shingle_key(s)) for (d, _), s in stay.items()}
+
+
+def test_parities_keep_similar_sets():
+    rng = np.random.default_rng(5)
+    far = 0
+    for n in [*range(1, 40), 63, 64, 65, 500, 1030, 3000]:
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for k in range(0, n // 4 + 1, max(1, n // 40)):
+            y = np.unique(np.r_[x[k:], rng.integers(0, 1 << 63, k // 3, dtype=np.uint64)])
+            both = len(np.intersect1d(x, y))
+            if both >= 0.8 * (len(x) + len(y) - both):
+                assert parities_allow(parities(x), len(x), parities(y), len(y), 0.8), (n, k)
+        y = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        far += parities_allow(parities(x), n, parities(y), n, 0.8)
+    assert far == 0 and parities_allow(parities(x[:0]), 0, parities(x[:0]), 0, 0.8)
+
+
+def shingle_key(hashes):
+    return tuple(sorted(hashes))
+
+
+def test_group_pairs_links_large_groups():
+    rng = np.random.default_rng(3)
+    rows = np.zeros(300, _FIRSTS)
+    rows["key"], rows["n"], rows["fp"] = np.arange(300), np.r_[np.full(200, 50), np.full(100, 90)], rng.integers(0, 1 << 63, 10, dtype=np.uint64)[rng.integers(0, 10, 300)]
+    want = [(i, j) for i in range(300) for j in range(i) if rows["n"][i] == rows["n"][j]]
+    pairs = group_pairs(rows, 3, 0.8)
+    assert roots(300, [(p["a"], p["b"]) for p in pairs]) == roots(300, want)
+    assert all((rows["fp"][p["a"]] == rows["fp"][p["b"]]) == p["sure"] for p in pairs) and len(pairs) < len(want)
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(200, 260)] + [(0, i) for i in range(1, 40)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(500, 500)]
