@@ -159,6 +159,18 @@ def identify(df: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
     return plain.mapInArrow(run, out)
 
 
+def lettered(df: DataFrame) -> DataFrame:
+    """The rows of df whose text has letters."""
+    batched(df.sparkSession)
+    at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([bool(t) and len(letter_codes(t)) > 2 for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def predict_languages(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of df (doc_id, text, lang).
 
