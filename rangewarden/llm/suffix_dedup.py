@@ -40,13 +40,15 @@ _PLACE = np.uint64((1 << 24) - 1)
 #: A null doc_id counts as larger than any other.
 LAST = (1 << 63) - 1
 
-_NAMES = np.dtype([("anchor", "<u4"), ("high", "<u4"), ("low", "<u2"), ("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("n", "u1")])
-_WINDOWS = np.dtype([("name", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("at", "<i8"), ("n", "u1"), ("bucket", "<i4")])
-_RUNS = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("n", "<u4")])
+_NAMES = np.dtype([("anchor", "<u4"), ("high", "<u4"), ("low", "<u2"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("n", "u1")])
+_WINDOWS = np.dtype([("name", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<i8"), ("n", "u1"), ("bucket", "<i4")])
+_RUNS = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("n", "<u4")])
+#: Columns that are packed as differences.
+_STEPS = ("doc", "tag", "at")
 #: Rows are settled spans, packed names of a bucket, or stretches whose windows go on, with their bucket.
-_SPANS = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary())])
-_SPANS_SQL = "doc long, tag int, at long, n int, bucket int, names binary"
-_KEY = [f"coalesce(doc_id, {LAST}L) AS doc", "cast(pmod(xxhash64(body), 65536) AS int) AS tag"]
+_SPANS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary())])
+_SPANS_SQL = "doc long, tag long, at long, n int, bucket int, names binary"
+_KEY = [f"coalesce(doc_id, {LAST}L) AS doc", "xxhash64(body) AS tag"]
 
 
 def words_at(body: bytes, n: int) -> np.ndarray:
@@ -110,7 +112,7 @@ def joined(rows: np.ndarray) -> np.ndarray:
     new = first_of(rows["doc"], rows["tag"])
     new[1:] |= rows["at"][1:] > end[:-1]
     first = np.flatnonzero(new)
-    out = np.zeros(len(first), [("doc", "<i8"), ("tag", "<i4"), ("at", "<i8"), ("n", "<i4")])
+    out = np.zeros(len(first), [("doc", "<i8"), ("tag", "<i8"), ("at", "<i8"), ("n", "<i4")])
     for c in ("doc", "tag", "at"):
         out[c] = rows[c][first]
     if len(first):
@@ -123,14 +125,15 @@ def spans_record(spans: np.ndarray, bucket: int = -1) -> pa.RecordBatch:
 
 
 def packed(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket: its names in order of their places in the texts, column by column, places as differences, compressed."""
+    """A row for each bucket: its names in order of their places in the texts, column by column, texts and places as differences, compressed."""
     order = np.lexsort([rows["at"], rows["tag"], rows["doc"], bucket])
     rows, bucket = rows[order], bucket[order]
     first = np.flatnonzero(first_of(bucket))
     squeeze, blobs = zstandard.ZstdCompressor(level=1), []
     for part in np.split(rows, first[1:]) if len(rows) else []:
         columns = [part[c].copy() for c in part.dtype.names]
-        columns[part.dtype.names.index("at")][1:] -= part["at"][:-1]
+        for c in _STEPS:
+            columns[part.dtype.names.index(c)][1:] -= part[c][:-1]
         # Bytes of the same weight lie together, so those that hardly change take no room.
         blobs.append(squeeze.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)))
     return names_record(bucket[first], blobs)
@@ -145,7 +148,7 @@ def unpacked_names(blobs: list[bytes]) -> np.ndarray:
         for c in _NAMES.names:
             width = _NAMES[c].itemsize
             column = np.frombuffer(b, np.uint8, n * width, at).reshape(width, n).T.copy().view(_NAMES[c]).ravel()
-            out[c][lo : lo + n] = np.cumsum(column, dtype=column.dtype) if c == "at" else column
+            out[c][lo : lo + n] = np.cumsum(column, dtype=column.dtype) if c in _STEPS else column
             at += n * width
         lo += n
     return out
@@ -219,7 +222,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
 def repeat_spans(df: DataFrame) -> DataFrame:
     """Byte ranges (doc, tag, at, n) covered by windows that start in a document with a smaller doc_id; they may overlap.
 
-    df: doc_id and body, the text's bytes. tag tells apart different texts of one doc_id.
+    df: doc_id and body, the text's bytes. tag, a 64-bit hash of the text, tells apart different texts of one doc_id.
     """
     spark = df.sparkSession
     batched(spark)

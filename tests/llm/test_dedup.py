@@ -202,6 +202,15 @@ def test_repeats(spark, seed):
     assert without_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_of_many_null_ids(spark):
+    rng = random.Random(11)
+    line = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    shared = [line(70) for _ in range(20)]
+    rows = [(i, line(30) + p) for i, p in enumerate(shared)] + [(None if i % 3 else 7, line(rng.randint(1, 60)) + rng.choice([*shared, ""]) + line(rng.randint(0, 60))) for i in range(4000)]
+    got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), bytes(r["left"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got) == sorted(brute_repeats(rows))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 16))
