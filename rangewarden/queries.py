@@ -279,7 +279,7 @@ def queries() -> dict:
         "remove_contained": lambda s, d: ranges.remove_contained(_found_ranges(s, d)),
         "merge_ranges": lambda s, d: ranges.merge_ranges(_ban_rows(s, d).select("start", "len")),
         "interval_union": lambda s, d: ranges.interval_union(_found_ranges(s, d)),
-        "interval_cover": lambda s, d: ranges.cover(counts(s, d).where("ip % 50 = 0").select("ip", F.col("ip").alias("start"), (F.col("ip") + F.col("ip") % 1000).alias("end")).where("end < 4294967296")),
+        "interval_cover": lambda s, d: ranges.cover(counts(s, d).select("ip", F.col("ip").alias("start"), (F.col("ip") + F.col("ip") % 1000).alias("end")).where("end < 4294967296")),
         "interval_subtract": lambda s, d: ranges.remove_whitelisted(_texts(s, BLACK[:2]), _texts(s, WHITE)),
         "remove_whitelisted": lambda s, d: ranges.remove_whitelisted(_texts(s, BLACK), _texts(s, WHITE)),
         "whitelist_drop_full": lambda s, d: ranges.drop_fully_whitelisted(_texts(s, BLACK), _texts(s, WHITE)),

@@ -1,5 +1,6 @@
 import random
 
+from rangewarden import queries
 from rangewarden.functions.ipcalc import format_cidr, parse_cidr
 from rangewarden.operators import ranges
 from rangewarden.plans.static import merge
@@ -45,6 +46,22 @@ def test_merges(spark):
         assert merge(bounds(x)) == sorted(bounds(want))
 
 
+def test_cover_of_every_address(spark, monkeypatch):
+    rng = random.Random(12)
+    ips = sorted({rng.randrange(1, 1 << 32) for _ in range(80)} | {1, 49, 50, 999, (1 << 32) - 1, 4294967000})
+    monkeypatch.setattr(queries, "counts", lambda s, d: s.createDataFrame([(x, 1) for x in ips], "ip long, cnt long"))
+    want = []
+    for ip in ips:
+        at, end = ip, ip + ip % 1000
+        while at <= end < 1 << 32:
+            bits = max(k for k in range(33) if at % (1 << k) == 0 and at + (1 << k) - 1 <= end)
+            want.append((ip, at, 32 - bits))
+            at += 1 << bits
+    got = queries.queries()["interval_cover"](spark, "").collect()
+    assert sorted((r["ip"], r["start"], r["len"]) for r in got) == sorted(want)
+    assert any(ip % 50 for ip, *_ in want)
+
+
 def test_subtraction(spark):
     for black, white, want in CUTS:
         got = ranges.remove_whitelisted(texts(spark, [black]), texts(spark, white.split())).collect()
