@@ -66,17 +66,18 @@ class ByteVocabulary:
     """Ids as the tokenizers library gives them, as little-endian unsigned 32-bit integers.
 
     Texts of well-known characters run through a byte-pair engine over the same merges, which is several
-    times faster; any other text goes through the library itself. Vocabularies whose words end in '</w>'
+    times faster; any other text, and any that may hold an added token such as <|endoftext|>, goes through
+    the library itself as it is loaded. Vocabularies whose words end in '</w>'
     get a control character for it: it joins the byte before it ahead of all merges.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             kept = json.load(f)
         alphabet, suffix = byte_alphabet(), kept["model"]["end_of_word_suffix"]
         special = {x["content"] for x in kept["added_tokens"]}
+        self.added = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)", re.I)
         self.ends = bool(suffix)
         ranks: dict[bytes, int] = {}
         ids = []
@@ -90,7 +91,9 @@ class ByteVocabulary:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.ends:
+        if self.added.search(text):
+            pass
+        elif self.ends:
             if not _UNSURE_LOWER.search(text):
                 text = _END.join(_PIECE.findall(text.lower()))
                 return self.ids[self.engine.encode_to_numpy(text + _END, disallowed_special=())].tobytes() if text else b""

@@ -14,7 +14,7 @@ from rangewarden.llm.piece_codec import PieceCodec, encode_decode, encode_decode
 from rangewarden.llm.token_files import EliasFano, Segment, digests, encode_segment, read_token_files, write_token_files
 from rangewarden.llm.vocab import WordTable, encode_all
 
-ODD = ["a", "the", "Tion", " ", "  ", "\n", "\t", ".", "é", "ß", "İ", "́", "中", "😀", "▁", "\x00", "\x1c", "\x85", "\xa0", "　", "'s", "1", "ΑΣ", "ﬁ", "\r\n", "½", "ǅ", "\xad", "</s>", "<0x41>", "<|endoftext|>", "\x01"]
+ODD = ["a", "the", "Tion", " ", "  ", "\n", "\t", ".", "é", "ß", "İ", "́", "中", "😀", "▁", "\x00", "\x1c", "\x85", "\xa0", "　", "'s", "1", "ΑΣ", "ﬁ", "\r\n", "½", "ǅ", "\xad", "</s>", "<0x41>", "<|endoftext|>", "<|startoftext|>", "<|ENDofTEXT|>", "<|endof", "text|>", "\x01"]
 TEXTS = st.lists(st.sampled_from(ODD), max_size=14).map("".join) | st.text(max_size=40)
 
 
@@ -25,7 +25,6 @@ def ids(b):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_are_the_librarys(name):
     plain = Tokenizer.from_file(P.path(name))
-    plain.encode_special_tokens = True
 
     @settings(max_examples=400, deadline=None)
     @given(TEXTS)
