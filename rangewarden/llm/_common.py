@@ -26,21 +26,30 @@ def batched(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Session setting: shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives lost executors."""
+    """df as a table in the shared folder: cuts the lineage, and survives lost executors. Its shuffle files go once it is written."""
     spark, to = df.sparkSession, f"{shared_dir(df.sparkSession)}/rw-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(to)
-    spark._jvm.System.gc()  # Spark drops the shuffle files of plans that are no longer referenced
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(to)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(to)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/rw-" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/rw-" in path:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def texts(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:

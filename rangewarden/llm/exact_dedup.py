@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rangewarden.llm._common import batched, record, table, written
 
 #: Bytes of a content that a splitter of the range partitioning holds; sorting and comparing take whole contents.
 HEAD = 64
+#: Bytes of contents that a task remembers to fold copies.
+FOLD = 32 << 20
+#: A null doc_id goes last.
+LAST = (1 << 63) - 1
 _STANDS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("best", pa.int64()), ("best_row", pa.int64()), ("text_sha256", pa.string()), ("content", pa.binary())])
 _STANDS_SQL = "doc_id long, row long, rep long, n long, best long, best_row long, text_sha256 string, content binary"
 _GROUPS = pa.schema([("rep", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
@@ -41,9 +45,7 @@ def _stand_ins(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa.
                 stand[4:6] = _better((stand[4], stand[5]), (doc, row), largest)
                 rows.append([doc, row, stand[2], None, None, None, stand[6], None])
         if rows:
-            carried = b.columns[3:]
-            made = record(_STANDS, *zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([*made.columns, *carried], names=[*_STANDS.names, *["carried"] * len(carried)])
+            yield record(_STANDS, *zip(*rows, strict=True))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa.RecordBatch]:
@@ -66,17 +68,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa
         yield group()
 
 
-def _sorted(df: DataFrame, keep_largest: bool, carry: bool) -> tuple[DataFrame, DataFrame]:
-    """The stand-ins of all rows, and the groups of the stand-ins."""
-    batched(df.sparkSession)
-    found = df.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("carried")] if carry else []))
-    out = T.StructType([*T._parse_datatype_string(_STANDS_SQL).fields, *found.schema.fields[3:]])
-    # Written once: stand-ins must be the same for the sort and for the way back.
-    stands = written(found.mapInArrow(lambda b: _stand_ins(b, keep_largest), out))
-    order = stands.where("content IS NOT NULL").select("rep", "n", "best", "best_row", "content", "text_sha256")
-    # The splitters' sample goes to the driver, so a splitter is a content's start, and its hash where many share a start; equal contents share both.
-    order = order.repartitionByRange(F.substring("content", 1, HEAD), "text_sha256").sortWithinPartitions("content").drop("text_sha256")
-    return stands, order.mapInArrow(lambda b: _neighbours(b, keep_largest), "rep long, keep_id long, keep_row long, group_size long")
+def _ranged(df: DataFrame, text: Column) -> DataFrame:
+    """df dealt by ranges of content. The splitters' sample goes to the driver, so a splitter is a content's start, and its hash where many share a start; equal contents share both."""
+    return df.repartitionByRange(F.substring(text, 1, HEAD), F.sha2(text, 256))
+
+
+def _lowered(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
 
 
 def exact_groups(df: DataFrame, keep_largest: bool = False) -> DataFrame:
@@ -91,15 +89,69 @@ def exact_groups(df: DataFrame, keep_largest: bool = False) -> DataFrame:
     each partition is sorted externally, and equal neighbours are compared in full. Groups go back to
     the documents by stand-in, whose copies are at most a batch, so no key is hot.
     """
-    stands, groups = _sorted(df, keep_largest, carry=False)
+    batched(df.sparkSession)
+    found = df.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    # Written once: stand-ins must be the same for the sort and for the way back.
+    stands = written(found.mapInArrow(lambda b: _stand_ins(b, keep_largest), _STANDS_SQL))
+    order = stands.where("content IS NOT NULL").select("rep", "n", "best", "best_row", "content", "text_sha256")
+    order = order.repartitionByRange(F.substring("content", 1, HEAD), "text_sha256").sortWithinPartitions("content").drop("text_sha256")
+    groups = order.mapInArrow(lambda b: _neighbours(b, keep_largest), "rep long, keep_id long, keep_row long, group_size long")
     out = stands.select("doc_id", "row", "rep", "text_sha256").join(groups, "rep")
     return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
+def _body(row: pa.StructArray) -> list[bytes]:
+    return [(t or "").encode().lower() for t in row.field("text").to_pylist()]
+
+
+def _folded(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (row, tie) without those whose content the same task has already passed on in a row that goes before them."""
+    seen: dict[bytes, tuple[int, int]] = {}
+    size = 0
+    for b in batches:
+        keep, row = [], b.column(0)
+        for i, (doc, tie, body) in enumerate(zip(row.field("doc_id").to_pylist(), b.column(1).to_pylist(), _body(row), strict=True)):
+            place = (LAST if doc is None else -doc if largest else doc, tie)
+            before = seen.get(body)
+            if before is not None and before <= place:
+                continue
+            if before is None:
+                size += len(body) + 100
+                if size > FOLD:
+                    seen.clear()
+                    size = len(body)
+            seen[body] = place
+            keep.append(i)
+        yield b.take(pa.array(keep, pa.int64()))
+
+
+def _first_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows in order of content: the first of each run of equal ones."""
+    last = None
+    for b in batches:
+        keep = []
+        for i, body in enumerate(_body(b.column(0))):
+            if body != last:
+                keep.append(i)
+                last = body
+        yield b.take(pa.array(keep, pa.int64()))
+
+
 def exact_dedup(df: DataFrame, keep_largest: bool = False) -> DataFrame:
-    """The rows of df that stay by exact_groups(), with all its columns."""
-    stands, groups = _sorted(df, keep_largest, carry=True)
-    return stands.join(groups.select(F.col("keep_row").alias("row")).distinct(), "row", "left_semi").select("carried.*")
+    """The rows of df (doc_id, text) that stay, with all its columns: of equal contents (see exact_groups) one row.
+
+    That is the one of the smallest doc_id, or of the largest; a null doc_id gives way to any other. Of rows
+    that share the doc_id too the one of the lowest hash over all columns stays, and of rows that are equal throughout any one.
+    Each task drops copies of what it has passed on before the one shuffle: whole rows go to ranges of
+    content, each range is sorted externally, and a row goes whose content equals that of the row before it.
+    """
+    batched(df.sparkSession)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).withColumn("tie", F.xxhash64("row"))
+    rows = rows.mapInArrow(lambda b: _folded(b, keep_largest), rows.schema)
+    doc = F.col("row.doc_id")
+    ranged = _ranged(rows, _lowered(F.col("row.text"))).withColumn("content", _lowered(F.col("row.text")))
+    order = ranged.sortWithinPartitions("content", doc.desc_nulls_last() if keep_largest else doc.asc_nulls_last(), "tie")
+    return order.select("row").mapInArrow(_first_of_runs, rows.select("row").schema).select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewarden.llm._common import batched, record, table, texts, written
+from rangewarden.llm._common import batched, drop_written, record, table, texts, written
 from rangewarden.llm.components import components
 
 #: Fingerprints of a tile: a pair of full tiles takes 2^26 comparisons.
@@ -24,7 +25,8 @@ SMALL, MEET = 64, 1 << 16
 #: Documents, and characters of each, that tell which hashes are common: it changes the work, not the result.
 SAMPLE, SAMPLE_CHARS = 2000, 4000
 _FIRSTS = np.dtype([("hash", "<i8"), ("key", "<i8"), ("fp", "<u8"), ("n", "<i8"), ("at", "<i8")])
-_PAIRS = np.dtype([("a", "<i8"), ("b", "<i8"), ("sure", "?")])
+_OPEN = np.dtype([("hash", "<i8"), ("key", "<i8"), ("n", "<i8"), ("at", "<i8"), ("label", "<i8"), ("failed", "?")])
+_PAIRS = np.dtype([("a", "<i8"), ("b", "<i8"), ("star", "?")])
 
 
 def shingle_hashes(text: str, words: int) -> list[int]:
@@ -146,29 +148,6 @@ def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both)
 
 
-def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Whether each row's shingles are as similar to its component's first document."""
-    for b in batches:
-        near = [key == first or _similar(np.frombuffer(own, "<u8"), np.frombuffer(other, "<u8"), similarity) for key, first, own, other in zip(*(b.column(c).to_pylist() for c in ("key", "first", "shingles", "others")), strict=True)]
-        yield pa.RecordBatch.from_arrays([*b.select(["key", "doc", "component", "first", "shingles"]).columns, pa.array(near, pa.bool_())], names=["key", "doc", "component", "first", "shingles", "near"])
-
-
-def _in_turn(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by component and document: those similar to an earlier one of their component that stays."""
-    now, stay = None, []
-    for b in batches:
-        gone = []
-        for key, component, own in zip(*(b.column(c).to_pylist() for c in ("key", "component", "shingles")), strict=True):
-            if component != now:
-                now, stay = component, []
-            x = np.frombuffer(own, "<u8")
-            if any(_similar(x, y, similarity) for y in stay):
-                gone.append(key)
-            else:
-                stay.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["key"])
-
-
 def prefix(hashes: np.ndarray, common: np.ndarray, seen: np.ndarray, similarity: float) -> np.ndarray:
     """The first of a set's sorted hashes in an order that holds for all sets: sets as similar as this share one of their first ones.
 
@@ -205,9 +184,9 @@ def parities_allow(x: bytes, n: int, y: bytes, m: int, similarity: float) -> boo
 
 
 def group_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
-    """Of rows sorted by hash: pairs (a, b, sure) of keys that share a hash and may be similar; sure within the radius.
+    """Of rows sorted by hash: pairs (a, b, star) of keys that share a hash and may be similar.
 
-    In groups of more than SMALL a pair that sure ones already link, directly or not, is left out.
+    In groups of more than SMALL, of what fingerprints within the radius join, directly or not, each one meets only the first (star).
     """
     found, new = [], np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]
     size = np.diff(np.r_[np.flatnonzero(new), len(rows)])
@@ -216,9 +195,9 @@ def group_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
     def judged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _may_be_similar(a["n"], a["at"], b["n"], b["at"], similarity), np.bitwise_count(a["fp"] ^ b["fp"]) <= radius
 
-    def add(a: np.ndarray, b: np.ndarray, sure) -> None:
+    def add(a: np.ndarray, b: np.ndarray, star: bool) -> None:
         out = np.zeros(len(a), _PAIRS)
-        out["a"], out["b"], out["sure"] = np.minimum(a["key"], b["key"]), np.maximum(a["key"], b["key"]), sure
+        out["a"], out["b"], out["star"] = np.minimum(a["key"], b["key"]), np.maximum(a["key"], b["key"]), star
         found.append(out)
 
     for d in range(1, SMALL):
@@ -226,8 +205,8 @@ def group_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
         same = a["hash"] == b["hash"]
         if not same.any():
             break
-        may, sure = judged(a := a[same], b := b[same])
-        add(a[may], b[may], sure[may])
+        may, _ = judged(a := a[same], b := b[same])
+        add(a[may], b[may], False)
     for lo, k in zip(np.flatnonzero(new)[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         group, step, label = rows[lo : lo + k], max(1, (1 << 20) // k), np.arange(k)
         for again in (False, True):
@@ -251,135 +230,158 @@ def group_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
                 far = np.flatnonzero(label != np.arange(k))
                 add(group[label[far]], group[far], True)
     out = np.concatenate(found) if found else np.zeros(0, _PAIRS)
-    out = out[np.lexsort([out["sure"], out["b"], out["a"]])]
+    out = out[np.lexsort([out["star"], out["b"], out["a"]])]
     return out[np.r_[(out["a"][1:] != out["a"][:-1]) | (out["b"][1:] != out["b"][:-1]), True]] if len(out) else out
 
 
-def similar_pairs(docs: DataFrame, words: int, radius: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that link all texts (key, text) of that similarity, in part by other texts.
-
-    Texts that similar share one of the first hashes of their shingles (see prefix), so only those that
-    do meet. If their fingerprints differ in at most radius bits they are linked without a look at the
-    shingles; all other pairs are, if their shingles are that similar.
-    """
-    spark = docs.sparkSession
-    batched(spark)
+def open_pairs(rows: np.ndarray, similarity: float) -> np.ndarray:
+    """Of rows sorted by hash: pairs (a, b) of a failed key and any of another label that share a hash and may be similar."""
+    found, new = [np.zeros(0, _PAIRS)], np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]
+    for group in np.split(rows, np.flatnonzero(new)[1:]):
+        for x in group[group["failed"]]:
+            y = group[(group["label"] != x["label"]) & _may_be_similar(x["n"], x["at"], group["n"], group["at"], similarity)]
+            out = np.zeros(len(y), _PAIRS)
+            out["a"], out["b"] = np.minimum(x["key"], y["key"]), np.maximum(x["key"], y["key"])
+            found.append(out)
+    return np.unique(np.concatenate(found))
 
-    def sets(t: str) -> np.ndarray:
-        return np.unique(np.array(shingle_hashes(t, words), dtype="<u8"))
 
+def common_hashes(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that a sample of the texts holds more than once, sorted, and how often."""
     seen: dict[int, int] = {}
     for _, text in docs.select("key", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("key"), "key", "text").limit(SAMPLE).collect():
-        for h in sets(text).tolist():
+        for h in set(shingle_hashes(text, words)):
             seen[h] = seen.get(h, 0) + 1
     often = sorted(h for h, n in seen.items() if n > 1)
-    common, times = np.array(often, dtype="<u8"), np.array([seen[h] for h in often], dtype=np.int64)
-    schema = pa.schema([("hash", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+    return np.array(often, dtype="<u8"), np.array([seen[h] for h in often], dtype=np.int64)
 
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def profiles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of each text (key, doc, text) a row with its number of distinct shingles n and their parities odd, and a row for each of the first hashes of its shingles."""
+    common, times = common_hashes(docs, words)
+    schema = pa.schema([("hash", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("doc", pa.int64()), ("odd", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, fps, sizes = [], [], []
-            for text in b.column(1).to_pylist():
-                hashes = shingle_hashes(text, words)
-                own = np.unique(np.array(hashes, dtype="<u8"))
-                found.append(prefix(own, common, times, similarity))
-                fps.append(fingerprint(hashes))
-                sizes.append(len(own))
-            if found:
-                n = list(map(len, found))
-                at = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-                yield record(schema, np.concatenate(found).view(np.int64), np.repeat(b.column(0).to_numpy(), n), np.repeat(np.array(fps, np.uint64).view(np.int64), n), np.repeat(np.array(sizes, np.int32), n), at)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: dict[int, tuple] = {}
+            for key, doc, text in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                if (key, doc) not in own:
+                    hashes = shingle_hashes(text, words)
+                    distinct = np.unique(np.array(hashes, dtype="<u8"))
+                    own[key, doc] = (prefix(distinct, common, times, similarity), fingerprint(hashes), len(distinct), parities(distinct))
+            if own:
+                keys, docs_ = (np.array(x, np.int64) for x in zip(*own, strict=True))
+                found, fps, sizes, odd = zip(*own.values(), strict=True)
+                fps, sizes = np.array(fps, np.uint64).view(np.int64), np.array(sizes, np.int32)
+                none = [None] * len(own)
+                yield record(schema, none, keys, fps, sizes, none, docs_, list(odd))
+                k = np.array(list(map(len, found)))
+                at = np.concatenate([np.arange(x, dtype=np.int32) for x in k])
+                none = pa.nulls(len(at), pa.int64())
+                yield record(schema, np.concatenate(found).view(np.int64), np.repeat(keys, k), np.repeat(fps, k), np.repeat(sizes, k), at, none, pa.nulls(len(at), pa.binary()))
+
+    return docs.select("key", "doc", "text").mapInArrow(run, "hash long, key long, fp long, n int, at int, doc long, odd binary")
+
+
+def met(rows: DataFrame, kind: np.dtype, fn) -> DataFrame:
+    """Pairs (a, b, star) that fn makes of the rows of one hash or more, which it gets together, sorted by hash and key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, most = [], 0
         for b in itertools.chain(batches, [None]):
             if b is not None:
-                rows = np.zeros(b.num_rows, _FIRSTS)
-                for i, c in enumerate(_FIRSTS.names):
-                    rows[c] = b.column(i).to_numpy().view(np.uint64) if c == "fp" else b.column(i).to_numpy()
-                waiting.append(rows)
-                most += len(rows)
+                part = np.zeros(b.num_rows, kind)
+                for i, c in enumerate(kind.names):
+                    part[c] = b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) if c == "fp" else b.column(i).to_numpy(zero_copy_only=False)
+                waiting.append(part)
+                most += len(part)
             if not waiting or (b is not None and most < MEET):
                 continue
-            rows = np.concatenate(waiting)
-            rows = rows[np.r_[True, (rows["hash"][1:] != rows["hash"][:-1]) | (rows["key"][1:] != rows["key"][:-1])][: len(rows)]]
+            part = np.concatenate(waiting)
+            part = part[np.r_[True, (part["hash"][1:] != part["hash"][:-1]) | (part["key"][1:] != part["key"][:-1])][: len(part)]]
             # The last group may go on in the next batch.
-            end = len(rows) if b is None or not len(rows) else int(np.searchsorted(rows["hash"], rows["hash"][-1]))
-            waiting, most = [rows[end:]], 0
-            found = group_pairs(rows[:end], radius, similarity)
+            end = len(part) if b is None or not len(part) else int(np.searchsorted(part["hash"], part["hash"][-1]))
+            waiting, most = [part[end:]], 0
+            found = fn(part[:end]) if end else np.zeros(0, _PAIRS)
             for lo in range(0, len(found), MEET):
-                yield pa.RecordBatch.from_arrays([pa.array(found[c][lo : lo + MEET]) for c in ("a", "b", "sure")], names=["a", "b", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[c][lo : lo + MEET]) for c in _PAIRS.names], names=list(_PAIRS.names))
+
+    out = rows.select(*kind.names).repartition("hash").sortWithinPartitions("hash", "key").mapInArrow(run, "a long, b long, star boolean")
+    return out.groupBy("a", "b").agg(F.max("star").alias("star"))
+
+
+def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """A table of those of the pairs (a, b) whose texts are that similar: by their parities first, so that few need their shingles."""
 
     def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             may = [parities_allow(*r, similarity) for r in zip(*(b.column(c).to_pylist() for c in range(2, 6)), strict=True)]
             yield b.select([0, 1]).filter(pa.array(may, pa.bool_()))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = [_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [sets(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(list(map(parities, own)), pa.binary()), pa.array(list(map(len, own)), pa.int32())], names=["key", "set", "odd", "n"])
+            own = [np.unique(np.array(shingle_hashes(t, words), dtype="<u8")).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["key", "set"])
 
-    met = docs.select("key", "text").mapInArrow(firsts, "hash long, key long, fp long, n int, at int").repartition("hash").sortWithinPartitions("hash", "key").mapInArrow(meet, "a long, b long, sure boolean")
-    met = written(met.groupBy("a", "b").agg(F.max("sure").alias("sure")))
-    rest = met.where("NOT sure").select("a", "b")
+    side = lambda df, value, k, *more: df.select(F.col("key").alias(k), F.col(value).alias(f"{k}_{value}"), *[F.col(c).alias(f"{k}_{c}") for c in more])
+    both = pairs.select("a", "b").join(side(known, "odd", "a", "n"), "a").join(side(known, "odd", "b", "n"), "b").select("a", "b", "a_odd", "a_n", "b_odd", "b_n")
+    rest = written(both.mapInArrow(allowed, "a long, b long"))
     asked = rest.select(F.col("a").alias("key")).union(rest.select("b")).distinct()
-    known = written(docs.select("key", "text").join(asked, "key", "left_semi").mapInArrow(hashed, "key long, set binary, odd binary, n int").dropDuplicates(["key"]))
-    # Most pairs fail by their parities, so few need the shingles themselves.
-    for side, names in (("a", ("x", "n")), ("b", ("y", "m"))):
-        rest = rest.join(known.select(F.col("key").alias(side), F.col("odd").alias(names[0]), F.col("n").alias(names[1])), side)
-    rest = written(rest.select("a", "b", "x", "n", "y", "m").mapInArrow(allowed, "a long, b long"))
-    sides = rest.join(known.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
-    return met.where("sure").select("a", "b").union(sides.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"))
-
-
-def near_duplicates(df: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8, alone: int = 2000) -> DataFrame:
-    """The rows of df that stay, with all its columns, when of similar texts (doc_id, text) one stays.
-
-    Candidates are found exactly (see similar_pairs): fingerprints of runs of so many words that differ in
-    at most radius bits only spare a look at the shingles. In each component of candidates the
-    documents are taken in order of doc_id: one goes if its distinct shingles are similar to those of an
-    earlier one that stays. So whatever goes is similar to something that stays, and of a component's
-    documents that stay no two are similar. A component of more than ``alone`` documents first sheds, in
-    rounds over all tasks, what is similar to its first document, as long as that is half of it; the rest is settled in one task each.
-    Null text counts as empty, and texts without words are alike; a null doc_id counts as the
-    largest. Rows with the same doc_id and text stay or go together. An empty table gives no rows.
-    """
-    batched(df.sparkSession)
-    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("carried"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    sets = written(docs.select("key", "text").join(asked, "key", "left_semi").mapInArrow(hashed, "key long, set binary").dropDuplicates(["key"]))
+    links = written(rest.join(side(sets, "set", "a"), "a").join(side(sets, "set", "b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(judged, "a long, b long"))
+    drop_written(rest, sets)
+    return links
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(np.array(shingle_hashes(t, words), dtype="<u8")).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.select(["key", "doc", "component"]).columns, pa.array(sets, pa.binary())], names=["key", "doc", "component", "shingles"])
 
+def similar_links(first: DataFrame, docs: DataFrame, words: int, radius: int, similarity: float) -> list[DataFrame]:
+    """Tables of links (a, b) between texts (key, text) of that similarity: two texts as similar are linked, directly or by others.
+
+    first: the texts' profiles. Texts that similar share one of the first hashes of their shingles (see prefix), so only those that do
+    meet, and each pair that may be similar is verified by all its shingles. In groups of more than SMALL only one pair stands for
+    those that fingerprints within the radius join; where that pair fails, its text meets its groups once more.
+    """
+    hashes, known = first.where("hash IS NOT NULL"), first.where("hash IS NULL").select("key", "odd", "n").dropDuplicates(["key"])
+    pairs = written(met(hashes, _FIRSTS, lambda rows: group_pairs(rows, radius, similarity)))
+    links = [verified(pairs, known, docs, words, similarity)]
+    failed = written(pairs.where("star").join(links[0], ["a", "b"], "left_anti").select(F.col("b").alias("key")).distinct())
+    if not failed.isEmpty():
+        labels = components(links[0])
+        again = hashes.join(hashes.join(failed, "key", "left_semi").select("hash").distinct(), "hash", "left_semi")
+        again = again.join(failed.withColumn("failed", F.lit(True)), "key", "left").join(labels.withColumnRenamed("node", "key"), "key", "left")
+        again = again.withColumn("failed", F.coalesce("failed", F.lit(False))).withColumn("label", F.coalesce("component", "key"))
+        more = written(met(again, _OPEN, lambda rows: open_pairs(rows, similarity)))
+        drop_written(labels)
+        links.append(verified(more, known, docs, words, similarity))
+        drop_written(more)
+    drop_written(pairs, failed)
+    return links
+
+
+def near_duplicates(df: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
+    """The rows of df that stay, with all its columns: of each group of similar texts (doc_id, text) the one of the smallest doc_id.
+
+    Texts are linked if the Jaccard similarity of their distinct runs of so many words is at least as given, and a group is what
+    links reach. All links are found, see similar_links(): radius changes the work, not the result.
+    Null text counts as empty, and texts without words are alike; a null doc_id counts as the largest. Rows with the same
+    doc_id and text stay or go together; of different texts with the smallest doc_id one stays. An empty table gives no rows.
+    """
+    batched(df.sparkSession)
     doc = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc")
-    docs = keyed.select("key", doc, "text")
-    found = components(similar_pairs(docs, words, radius, similarity)).withColumnRenamed("node", "key")
-    members = docs.select("key", "doc").distinct().join(found, "key")
-    several = members.groupBy("component").count().where("count > 1")
-    members = written(members.join(several, "component", "left_semi"))
-    left = written(keyed.select("key", "text").join(members, "key").mapInArrow(shingles, "key long, doc long, component long, shingles binary").dropDuplicates(["key"]))
-    gone = None
-    while True:
-        large = left.groupBy("component").count().where(F.col("count") > alone).select("component")
-        if large.isEmpty():
-            break
-        first = left.join(large, "component", "left_semi").groupBy("component").agg(F.min(F.struct("doc", "key", "shingles")).alias("f")).select("component", F.col("f.key").alias("first"), F.col("f.shingles").alias("others"))
-        seen = written(left.join(first, "component").mapInArrow(lambda b: _alike(b, similarity), "key long, doc long, component long, first long, shingles binary, near boolean"))
-        now = seen.where("near AND key <> first").select("key")
-        gone = now if gone is None else gone.union(now)
-        left = written(left.join(large, "component", "left_anti").unionByName(seen.where("NOT near").select(*left.columns)))
-        if 2 * now.count() < seen.count():
-            break
-    last = left.repartition("component").sortWithinPartitions("component", "doc", "key").select("key", "component", "shingles").mapInArrow(lambda b: _in_turn(b, similarity), "key long")
-    kept = keyed.join(last if gone is None else last.union(gone), "key", "left_anti")
-    return kept.select("carried.*")
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("carried"), doc, F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("key"))
+    docs = keyed.select("key", "doc", "text")
+    first = written(profiles(docs, words, similarity))
+    links = similar_links(first, docs, words, radius, similarity)
+    found = components(functools.reduce(DataFrame.union, links)).withColumnRenamed("node", "key")
+    members = first.where("hash IS NULL").select("key", "doc").distinct().join(found, "key")
+    stays = members.groupBy("component").agg(F.min(F.struct("doc", "key")).alias("stays"))
+    gone = written(members.join(stays, "component").where("key <> stays.key").select("key", "doc"))
+    drop_written(first, found, *links)
+    return keyed.join(gone, ["key", "doc"], "left_anti").select("carried.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

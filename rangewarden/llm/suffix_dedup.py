@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangewarden.llm._common import batched, mix, record, table, written
+from rangewarden.llm._common import batched, drop_written, mix, record, table, written
 
 #: Bytes of a window and of an anchor. Stretches of up to 2 * WINDOW - ANCHOR bytes are named by ten words.
 WINDOW, ANCHOR = 50, 20
@@ -220,7 +220,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
 
 
 def repeat_spans(df: DataFrame) -> DataFrame:
-    """Byte ranges (doc, tag, at, n) covered by windows that start in a document with a smaller doc_id; they may overlap.
+    """A table of the byte ranges (doc, tag, spans of at and n) covered by windows that start in a document with a smaller doc_id; they may overlap.
 
     df: doc_id and body, the text's bytes. tag, a 64-bit hash of the text, tells apart different texts of one doc_id.
     """
@@ -297,9 +297,12 @@ def repeat_spans(df: DataFrame) -> DataFrame:
         return found.repartitionById(buckets, to).sortWithinPartitions("bucket").mapInArrow(fn, _SPANS_SQL)
 
     one = written(dealt(docs.mapInArrow(names, _SPANS_SQL), stretches))
-    goes_on = one.where("bucket >= 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n", "bucket")).alias("parts"))
+    # Sets: rows of one doc_id and text repeat their places.
+    goes_on = one.where("bucket >= 0").groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "n", "bucket")).alias("parts"))
     two = written(dealt(docs.join(goes_on, ["doc", "tag"]).select("doc", "tag", "body", "parts").mapInArrow(windows, _SPANS_SQL), single))
-    return one.where("bucket < 0").union(two).select("doc", "tag", "at", "n")
+    spans = written(one.where("bucket < 0").union(two).groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "n")).alias("spans")))
+    drop_written(one, two)
+    return spans
 
 
 def cut_spans(body: bytes, spans: list) -> tuple[bytes, int, int]:
@@ -321,15 +324,16 @@ def without_repeats(df: DataFrame, *keep: str) -> DataFrame:
     Each byte goes that lies in a 50-byte string which also starts in a document with a smaller doc_id;
     strings are judged on the input, and never cross documents. Null text counts as empty, a null doc_id
     as larger than any other; rows of the same doc_id don't cover one another. An empty table gives no rows.
-    Returns the kept columns, doc_id, left binary (the remaining bytes), n_bytes, n_removed, n_spans.
+    Returns doc_id, the kept columns, left binary (the remaining bytes), n_bytes, n_removed, n_spans; a kept column
+    of one of these names gives way.
     """
     batched(df.sparkSession)
-    plain = df.select("doc_id", *keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+    keep = tuple(c for c in keep if c not in ("doc_id", "left", "n_bytes", "n_removed", "n_spans"))
+    carried = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in keep]).alias("carried")
+    plain = df.select("doc_id", carried, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
     spans = repeat_spans(plain.select("doc_id", "body"))
-    by_doc = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    full = plain.select("*", *map(F.expr, _KEY)).join(by_doc, ["doc", "tag"], "left").select("doc_id", *keep, "body", "spans")
-    fields = [T.StructField(f.name, f.dataType) for f in full.schema.fields if f.name not in ("body", "spans")]
-    out = T.StructType([*fields, *(T.StructField(c, t) for c, t in (("left", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType())))])
+    full = plain.select("*", *map(F.expr, _KEY)).join(spans, ["doc", "tag"], "left").select("carried", "body", "spans")
+    out = T.StructType([full.schema["carried"], *(T.StructField(c, t) for c, t in (("left", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -337,7 +341,7 @@ def without_repeats(df: DataFrame, *keep: str) -> DataFrame:
             rows = [(body, 0, 0) if not s else cut_spans(body, s) for body, s in zip(bodies, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([r[0] for r in rows], pa.binary()), *(pa.array(c, pa.int64()) for c in (list(map(len, bodies)), [r[1] for r in rows], [r[2] for r in rows]))], names=out.names)
 
-    return full.mapInArrow(run, out)
+    return full.mapInArrow(run, out).select("carried.*", "left", "n_bytes", "n_removed", "n_spans")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,34 +107,51 @@ def test_linked_in_blocks():
     assert roots(len(a), edges.tolist()) == roots(len(a), pairs)
 
 
-@pytest.mark.parametrize("alone", [190, 2000])
-def test_near_duplicates(spark, alone):
-    df, rows = frame(spark, texts(200, 3, 200))
-    kept = {(r["doc_id"], r["text"]) for r in near_duplicates(df, radius=64, alone=alone).collect()}
-    sets = {(d, t): set(shingle_hashes(t or "", 5)) for d, t, *_ in rows}
-    like = lambda a, b: len(a & b) >= 0.8 * len(a | b)
-    for x, s in sets.items():
-        others = [like(s, sets[y]) for y in kept if y != x]
-        assert any(others) != (x in kept), x
+def brute_near(rows, words=5, similarity=0.8):
+    """(doc_id, shingles) of what stays: the first document of each group of linked texts."""
+    last = 1 << 63
+    sets = {(last if d is None else d, t): frozenset(shingle_hashes(t or "", words)) for d, t, *_ in rows}
+    places = sorted(sets, key=lambda x: (x[0], x[1] or ""))
+    like = lambda a, b: len(a & b) >= similarity * len(a | b)
+    comp = roots(len(places), [(i, j) for i in range(len(places)) for j in range(i) if like(sets[places[i]], sets[places[j]])])
+    return sorted(str((places[c][0], sorted(sets[places[c]]))) for c in set(comp))
+
+
+def kept_near(df, **how):
+    last = 1 << 63
+    return sorted({str((last if r["doc_id"] is None else r["doc_id"], sorted(set(shingle_hashes(r["text"] or "", 5))))) for r in near_duplicates(df, **how).collect()})
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_near_duplicates(spark, seed):
+    df, rows = frame(spark, texts(200, seed, 200))
+    assert kept_near(df) == brute_near(rows)
     assert near_duplicates(df).columns == df.columns and near_duplicates(df.limit(0)).count() == 0
 
 
-def test_near_duplicates_at_production_parameters(spark):
+def test_near_duplicates_beyond_the_radius(spark):
     rng = random.Random(8)
     found = []
     for _ in range(80):  # one inner word of 50 changed: 41 of 51 shingles, often beyond 12 bits
         ws = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(50)]
         found += [" ".join(ws), " ".join(w if i != 25 else "other" for i, w in enumerate(ws))]
     df, rows = frame(spark, found + texts(150, 7, 200))
-    sets = {(d, t): set(shingle_hashes(t or "", 5)) for d, t, *_ in rows}
-    beyond = [i for i in range(0, 160, 2) if (brute_fingerprint(found[i], 5) ^ brute_fingerprint(found[i + 1], 5)).bit_count() > 12]
-    assert beyond
-    kept = {(r["doc_id"], r["text"]) for r in near_duplicates(df, words=5, similarity=0.8).collect()}
-    stay = {}
-    for x in sorted(sets, key=lambda x: (1 << 63 if x[0] is None else x[0])):
-        if not any(len(sets[x] & s) >= 0.8 * len(sets[x] | s) for s in stay.values()):
-            stay[x] = sets[x]
-    assert {(d, shingle_key(sets[d, t])) for d, t in kept} == {(d, shingle_key(s)) for (d, _), s in stay.items()}
+    assert any((brute_fingerprint(found[i], 5) ^ brute_fingerprint(found[i + 1], 5)).bit_count() > 12 for i in range(0, 160, 2))
+    assert kept_near(df) == brute_near(rows)
+
+
+@pytest.mark.parametrize("radius", [12, 24, 64])
+def test_near_duplicates_in_large_groups(spark, radius):
+    rng = random.Random(9)
+    ws = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    found = []
+    for _ in range(300):  # all share words, and are near a common middle, so that many are linked by others only
+        own = [*ws]
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+        found.append(" ".join(own))
+    df, rows = frame(spark, found)
+    assert kept_near(df, radius=radius) == brute_near(rows)
 
 
 def test_parities_keep_similar_sets():
@@ -152,10 +169,6 @@ def test_parities_keep_similar_sets():
     assert far == 0 and parities_allow(parities(x[:0]), 0, parities(x[:0]), 0, 0.8)
 
 
-def shingle_key(hashes):
-    return tuple(sorted(hashes))
-
-
 def test_group_pairs_links_large_groups():
     rng = np.random.default_rng(3)
     rows = np.zeros(300, _FIRSTS)
@@ -163,7 +176,7 @@ def test_group_pairs_links_large_groups():
     want = [(i, j) for i in range(300) for j in range(i) if rows["n"][i] == rows["n"][j]]
     pairs = group_pairs(rows, 3, 0.8)
     assert roots(300, [(p["a"], p["b"]) for p in pairs]) == roots(300, want)
-    assert all((rows["fp"][p["a"]] == rows["fp"][p["b"]]) == p["sure"] for p in pairs) and len(pairs) < len(want)
+    assert all((rows["fp"][p["a"]] == rows["fp"][p["b"]]) == p["star"] for p in pairs) and len(pairs) < len(want)
 
 
 def test_components(spark):
