@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,7 @@ from rangewarden.llm._common import batched, record, table
 DIM, GRAM = 1024, 3
 #: Letters have codes below this; all letters beyond the Latin ones share 512 codes by their places. 0 ends words.
 CODES = 1024
-#: Rows of n-gram vectors that a worker keeps: 4 KB each.
+#: Rows of n-gram vectors that a worker keeps: 1 KB each.
 KEPT = 24_000
 #: Documents a model is fitted on, at most.
 SAMPLE = 4000
@@ -46,7 +47,7 @@ class Letters:
     def __init__(self, dim: int = DIM, gram: int = GRAM, seed: int = 1):
         self.gram = gram
         self.letters = (np.random.default_rng(seed).integers(0, 2, (CODES, dim), np.int8) * 2 - 1).astype(np.int8)
-        self.dim, self.at, self.rows = dim, {}, np.zeros((KEPT, dim), np.float32)
+        self.dim, self.at, self.rows = dim, {}, np.zeros((KEPT, dim), np.int8)
 
     def bind(self, grams: np.ndarray) -> np.ndarray:
         out = np.ones((len(grams), self.dim), np.int8)
@@ -80,7 +81,7 @@ class Letters:
         grams, n = np.unique(grams, return_counts=True)
         out = np.zeros(self.dim, np.float64)
         for lo in range(0, len(grams), KEPT // 4):
-            out += n[lo : lo + KEPT // 4].astype(np.float32) @ self.rows[self.places(grams[lo : lo + KEPT // 4])]
+            out += n[lo : lo + KEPT // 4].astype(np.float32) @ self.rows[self.places(grams[lo : lo + KEPT // 4])].astype(np.float32)
         return out
 
 
@@ -134,31 +135,55 @@ def fit(df: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     return langs, protos / np.linalg.norm(protos, axis=1, keepdims=True)
 
 
+def _scored(texts: list, langs: list[str], protos: np.ndarray) -> tuple[list[str], list[float]]:
+    preds, scores = [], []
+    for text in texts:
+        v = letters().bundle(text) if len(langs) else None
+        near = protos @ v / (np.linalg.norm(v) or 1.0) if v is not None else None
+        preds.append(UNKNOWN if near is None else langs[int(near.argmax())])
+        scores.append(0.0 if near is None else float(np.clip(near.max(), 0, 1)))
+    return preds, scores
+
+
 def identify(df: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
     """df's columns with lang_pred and score: the prototype of the highest cosine to the whole text, and that cosine, 0 at least.
 
     A text that is null or has no letters gets 'und' and 0, as does any text if no language was learned; of equal cosines the first
-    language in order stays. Every other column passes through; nothing is shuffled.
+    language in order stays. Columns of df that are called lang_pred or score give way; every other column passes through; nothing is shuffled.
+    Very long texts are bundled as a whole, n-grams in parts.
     """
     batched(df.sparkSession)
-    keep = [c for c in df.columns if c not in ("lang_pred", "score")]
-    plain = df.select(*keep)
-    at = keep.index("text")
+    plain = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")])
+    at = plain.columns.index("text")
     out = T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            preds, scores = [], []
-            for text in b.column(at).to_pylist():
-                v = letters().bundle(text) if len(langs) else None
-                near = protos @ v / (np.linalg.norm(v) or 1.0) if v is not None else None
-                preds.append(UNKNOWN if near is None else langs[int(near.argmax())])
-                scores.append(0.0 if near is None else float(np.clip(near.max(), 0, 1)))
+            preds, scores = _scored(b.column(at).to_pylist(), langs, protos)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=out.names)
 
     return plain.mapInArrow(run, out)
 
 
+def with_language(df: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
+    """The rows of df whose text has letters, with all their columns; where the column lang is null it gets the prediction, if a language was learned."""
+    batched(df.sparkSession)
+    if not langs:
+        return lettered(df)
+    names = df.columns
+    at, lang = names.index("text"), names.index("lang") if "lang" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            preds, _ = _scored(b.column(at).to_pylist(), langs, protos)
+            columns = [*b.columns]
+            if lang is not None:
+                columns[lang] = pc.coalesce(columns[lang], pa.array(preds, columns[lang].type))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([p != UNKNOWN for p in preds], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def lettered(df: DataFrame) -> DataFrame:
     """The rows of df whose text has letters."""
     batched(df.sparkSession)

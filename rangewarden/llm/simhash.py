@@ -208,7 +208,7 @@ def group_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
         may, _ = judged(a := a[same], b := b[same])
         add(a[may], b[may], False)
     for lo, k in zip(np.flatnonzero(new)[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        group, step, label = rows[lo : lo + k], max(1, (1 << 20) // k), np.arange(k)
+        group, step, label = rows[lo : lo + k], max(1, BLOCK // k), np.arange(k)
         for again in (False, True):
             for at in range(0, k, step):
                 may, sure = judged(group[at : at + step, None], group[None])
@@ -350,12 +350,12 @@ def similar_links(first: DataFrame, docs: DataFrame, words: int, radius: int, si
     links = [verified(pairs, known, docs, words, similarity)]
     failed = written(pairs.where("star").join(links[0], ["a", "b"], "left_anti").select(F.col("b").alias("key")).distinct())
     if not failed.isEmpty():
-        labels = components(links[0])
+        # A text and the least one that it is linked to are in one group already.
+        labels = links[0].groupBy(F.col("b").alias("key")).agg(F.min("a").alias("component"))
         again = hashes.join(hashes.join(failed, "key", "left_semi").select("hash").distinct(), "hash", "left_semi")
-        again = again.join(failed.withColumn("failed", F.lit(True)), "key", "left").join(labels.withColumnRenamed("node", "key"), "key", "left")
+        again = again.join(failed.withColumn("failed", F.lit(True)), "key", "left").join(labels, "key", "left")
         again = again.withColumn("failed", F.coalesce("failed", F.lit(False))).withColumn("label", F.coalesce("component", "key"))
         more = written(met(again, _OPEN, lambda rows: open_pairs(rows, similarity)))
-        drop_written(labels)
         links.append(verified(more, known, docs, words, similarity))
         drop_written(more)
     drop_written(pairs, failed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Callable
@@ -72,7 +73,7 @@ class ByteVocabulary:
     """
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             kept = json.load(f)
         alphabet, suffix = byte_alphabet(), kept["model"]["end_of_word_suffix"]
@@ -88,6 +89,10 @@ class ByteVocabulary:
         self.ids = np.array(ids, "<u4")
         self.engine = tiktoken.Encoding("engine", pat_str=rf"[^\s{_END}]+{_END}" if self.ends else SPACED, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
