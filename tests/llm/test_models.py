@@ -1,20 +1,22 @@
+import itertools
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 from rangewarden.llm import toxicity
 from rangewarden.llm.boosting import Boosted
 from rangewarden.llm.html_dom import Dom
-from rangewarden.llm.html_text import decode, extract_all, extract_pages, fit_pages, made_page, main_text
+from rangewarden.llm.html_text import DROP, MIXED, STYLES, decode, extract_all, extract_pages, fit_pages, labels, made_page, main_text
 from rangewarden.llm.language_id import fit, identify, predict_languages
 
 
 @pytest.fixture(scope="module")
 def trees():
-    return fit_pages(250)
+    return fit_pages()
 
 
 def test_pages(trees):
@@ -25,16 +27,75 @@ def test_pages(trees):
     assert extract_all([page], trees) == ["Title & more First bold text. On two lines. Third. Unclosed paragraph, with some more text to read. One item Two"]
 
 
-def test_made_pages_that_training_has_not_seen(trees):
+def unmarked(page):
+    return re.sub(r' data-k="\d"', "", page)
+
+
+@pytest.mark.parametrize("style", list(STYLES))
+def test_made_pages_that_training_has_not_seen(trees, style):
     rng, right = random.Random(77), 0
-    for _ in range(60):
-        page = made_page(rng)
+    for _ in range(40):
+        page, whole = made_page(rng, style)
+        dom = Dom(page)
+        right += extract_all([unmarked(page)], trees) == [main_text(dom, [x == 1 for x in labels(dom, whole)])]
+    assert right >= 32
+
+
+def article(page):
+    dom = Dom(page)
+    inside = [False] * len(dom.tag)
+    for i in range(1, len(inside)):
+        inside[i] = inside[dom.parent[i]] or dom.tag[i] == "article"
+    return main_text(dom, inside)
+
+
+def test_pages_without_telling_tags_or_attributes(trees):
+    pages = [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    want = list(map(article, pages))
+    assert sum(a == b for a, b in zip(extract_all(pages, trees), want, strict=True)) >= 0.95 * len(pages)
+    bare = [re.sub(r' (class|id)="[^"]*"', "", re.sub("<(/?)article", r"<\1div", p)) for p in pages]
+    assert sum(a == b for a, b in zip(extract_all(bare, trees), want, strict=True)) >= 0.9 * len(pages)
+    divs = [re.sub("<(/?)(?:nav|footer)", r"<\1div", p) for p in bare]
+    assert sum(a == b for a, b in zip(extract_all(divs, trees), want, strict=True)) >= 0.9 * len(pages)
+
+
+def test_pieces_of_pages(trees):
+    long, other = "Long words are here in a row, and more. " * 10, "Another one of these long ones. " * 9
+    cases = {
+        "Just some text without any tags at all.": "Just some text without any tags at all.",
+        "Text\n  with <br> breaks &amp; more.": "Text with breaks & more.",
+        "<p>First paragraph here.</p><p>Second one.</p>": "First paragraph here. Second one.",
+        f'<html><body><div id="c1"><p>{long}</p><p>{other}</p></div></body></html>': f"{long}{other}".strip(),
+        f'<table><tr><td><a href="/">Home</a> <a href="/n">News</a></td><td><h1>Title</h1><p>{long}</p><p>{other}</p></td></tr></table>': f"Title {long}{other}".strip(),
+    }
+    assert extract_all(list(cases), trees) == list(cases.values())
+
+
+def brute_decode(dom, odds):
+    """The best value of all assignments of boilerplate, main and mixed that agree with the tree."""
+    yes, no = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
+    best, place = -np.inf, None
+    for states in itertools.product((0, 1, 2), repeat=len(dom.tag)):
+        value = 0.0
+        for i, s in enumerate(states):
+            above = states[dom.parent[i]] if i else 2
+            if s == 2 and (dom.tag[i] in ("#text", "script") or above != 2) or s == 1 and (dom.tag[i] == "script" or above == 0):
+                break
+            value += (no[i], yes[i], MIXED)[s] + (DROP if above == 1 and s == 0 else 0)
+        else:
+            if value > best:
+                best, place = value, states
+    return best, place
+
+
+def test_decoding_is_the_best_assignment():
+    rng = np.random.default_rng(5)
+    for page in ("<div><p>a</p>b</div>", "<p>a</p><script>x</script>b", "a<div><b>c</b></div>", "<ul><li>a<li>b</ul>"):
         dom = Dom(page)
-        label = [0] * len(dom.tag)
-        for i in range(1, len(label)):
-            label[i] = int(dom.mark[i]) if dom.mark[i] else label[dom.parent[i]]
-        right += extract_all([re.sub(r' data-k="\d"', "", page)], trees) == [main_text(dom, [x == 1 for x in label])]
-    assert right >= 50
+        for _ in range(40):
+            odds = rng.normal(size=len(dom.tag)) * 4
+            _, states = brute_decode(dom, odds)
+            assert decode(dom, odds) == [s == 1 for s in states], page
 
 
 def test_decoding_never_contradicts_the_tree():
