@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from rangewarden.shipping import shared_dir, ship
 
 #: Rows and bytes of an Arrow batch: what a Python worker holds at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +55,18 @@ def drop_written(*tables: DataFrame) -> None:
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def freed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn, after which the Python worker gives back the memory it no longer uses: workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only this C library can
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def texts(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The key columns and the text, null as empty; other columns stay behind."""
     return df.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("text"))

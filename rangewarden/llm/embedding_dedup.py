@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewarden.llm._common import batched, record, table, written
+from rangewarden.llm._common import batched, freed, record, table, written
 from rangewarden.llm.components import components
 
 #: Distinct vectors that codebooks are fitted on, at most; vectors in a cell on average; members of a block.
@@ -161,7 +161,7 @@ def embedding_groups(df: DataFrame, threshold: float = 0.95, target: float = TAR
                 yield record(pa.schema([("d", pa.int32()), ("cell", pa.int32())]), [d] * len(cells), pa.array(cells))
 
     # At most 256 x 256 rows for each length of vectors.
-    split = {(r["d"], r["cell"]): -(-r["n"] // block) for r in nodes.select("embedding").mapInArrow(home, "d int, cell int").groupBy("d", "cell").agg(F.count("*").alias("n")).collect() if r["n"] > block}
+    split = {(r["d"], r["cell"]): -(-r["n"] // block) for r in nodes.select("embedding").mapInArrow(freed(home), "d int, cell int").groupBy("d", "cell").agg(F.count("*").alias("n")).collect() if r["n"] > block}
     schema = pa.schema([("d", pa.int32()), ("cell", pa.int32()), ("block", pa.int32()), ("visits", pa.bool_()), ("rows", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +208,8 @@ def embedding_groups(df: DataFrame, threshold: float = 0.95, target: float = TAR
                     yield record(found_schema, pa.array(nodes_), pa.array(links), [None] * len(nodes_))
                     yield record(found_schema, pa.array(edges[:, 0]), [None] * len(edges), pa.array(edges[:, 1]))
 
-    dealt = nodes.select("embedding", "node", "copies").mapInArrow(deal, "d int, cell int, block int, visits boolean, rows binary")
-    found = written(dealt.repartition(parts, "d", "cell", "block").sortWithinPartitions("d", "cell", "block", "visits").mapInArrow(meet, "node long, links long, other long"))
+    dealt = nodes.select("embedding", "node", "copies").mapInArrow(freed(deal), "d int, cell int, block int, visits boolean, rows binary")
+    found = written(dealt.repartition(parts, "d", "cell", "block").sortWithinPartitions("d", "cell", "block", "visits").mapInArrow(freed(meet), "node long, links long, other long"))
     links = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     nodes = nodes.join(links, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewarden.llm._common import batched, record, table, written
+from rangewarden.llm._common import batched, freed, record, table, written
 
 #: Bytes of a content that a splitter of the range partitioning holds; sorting and comparing take whole contents.
 HEAD = 64
@@ -92,10 +92,10 @@ def exact_groups(df: DataFrame, keep_largest: bool = False) -> DataFrame:
     batched(df.sparkSession)
     found = df.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     # Written once: stand-ins must be the same for the sort and for the way back.
-    stands = written(found.mapInArrow(lambda b: _stand_ins(b, keep_largest), _STANDS_SQL))
+    stands = written(found.mapInArrow(freed(lambda b: _stand_ins(b, keep_largest)), _STANDS_SQL))
     order = stands.where("content IS NOT NULL").select("rep", "n", "best", "best_row", "content", "text_sha256")
     order = order.repartitionByRange(F.substring("content", 1, HEAD), "text_sha256").sortWithinPartitions("content").drop("text_sha256")
-    groups = order.mapInArrow(lambda b: _neighbours(b, keep_largest), "rep long, keep_id long, keep_row long, group_size long")
+    groups = order.mapInArrow(freed(lambda b: _neighbours(b, keep_largest)), "rep long, keep_id long, keep_row long, group_size long")
     out = stands.select("doc_id", "row", "rep", "text_sha256").join(groups, "rep")
     return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
@@ -147,11 +147,11 @@ def exact_dedup(df: DataFrame, keep_largest: bool = False) -> DataFrame:
     """
     batched(df.sparkSession)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).withColumn("tie", F.xxhash64("row"))
-    rows = rows.mapInArrow(lambda b: _folded(b, keep_largest), rows.schema)
+    rows = rows.mapInArrow(freed(lambda b: _folded(b, keep_largest)), rows.schema)
     doc = F.col("row.doc_id")
     ranged = _ranged(rows, _lowered(F.col("row.text"))).withColumn("content", _lowered(F.col("row.text")))
     order = ranged.sortWithinPartitions("content", doc.desc_nulls_last() if keep_largest else doc.asc_nulls_last(), "tie")
-    return order.select("row").mapInArrow(_first_of_runs, rows.select("row").schema).select("row.*")
+    return order.select("row").mapInArrow(freed(_first_of_runs), rows.select("row").schema).select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewarden.llm._common import batched, record, table
+from rangewarden.llm._common import batched, freed, record, table
 from rangewarden.llm.boosting import Boosted
 from rangewarden.llm.html_dom import UNSEEN, Dom
 
@@ -269,7 +269,7 @@ def extract_pages(df: DataFrame, model: Boosted | None = None) -> DataFrame:
             found = [t for lo in range(0, len(pages), 50) for t in extract_all(pages[lo : lo + 50], model)]
             yield record(schema, b.column(0), b.column(1), found, [len(t) for t in found])
 
-    return df.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return df.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(freed(run), "page_id long, url string, text string, n_chars long")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

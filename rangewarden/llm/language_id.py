@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangewarden.llm._common import batched, record, table
+from rangewarden.llm._common import batched, freed, record, table
 
 #: Components of a vector; letters of an n-gram.
 DIM, GRAM = 1024, 3
@@ -124,7 +124,7 @@ def fit(df: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
             yield record(schema, list(sums), [v.tobytes() for v in sums.values()])
 
     sums: dict[str, np.ndarray] = {}
-    for lang, total in sorted(train.select("lang", "text").mapInArrow(run, "lang string, total binary").collect()):  # a row for each language and task
+    for lang, total in sorted(train.select("lang", "text").mapInArrow(freed(run), "lang string, total binary").collect()):  # a row for each language and task
         sums[lang] = sums.get(lang, 0) + np.frombuffer(total)
     langs = sorted(sums)
     if not langs:
@@ -162,7 +162,7 @@ def identify(df: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
             preds, scores = _scored(b.column(at).to_pylist(), langs, protos)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=out.names)
 
-    return plain.mapInArrow(run, out)
+    return plain.mapInArrow(freed(run), out)
 
 
 def with_language(df: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
@@ -181,7 +181,7 @@ def with_language(df: DataFrame, langs: list[str], protos: np.ndarray) -> DataFr
                 columns[lang] = pc.coalesce(columns[lang], pa.array(preds, columns[lang].type))
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([p != UNKNOWN for p in preds], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(freed(run), df.schema)
 
 
 def lettered(df: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def lettered(df: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([bool(t) and len(letter_codes(t)) > 2 for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(freed(run), df.schema)
 
 
 def predict_languages(df: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from rangewarden.llm._common import batched, record, table, texts
+from rangewarden.llm._common import batched, freed, record, table, texts
 from rangewarden.llm.vocab import encode_all
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -86,7 +86,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 1024, end
         if held:
             yield flush()
 
-    return texts(df, "doc_id").mapInArrow(run, SCHEMA)
+    return texts(df, "doc_id").mapInArrow(freed(run), SCHEMA)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

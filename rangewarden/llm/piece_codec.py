@@ -10,7 +10,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from rangewarden.llm._common import batched, record, table, texts
+from rangewarden.llm._common import batched, freed, record, table, texts
 from rangewarden.llm.vocab import LIMIT, WordTable
 
 MARK = "▁"
@@ -87,7 +87,7 @@ def encode_decode(df: DataFrame, model_path: str, end_id: int | None = 2) -> Dat
             got = list(codec(model_path).run(b.column(1).to_pylist(), end_id))
             yield record(schema, b.column(0), [[int(x) for x in ids.split()] for ids, _ in got], [text for _, text in got])
 
-    return texts(df, "doc_id").mapInArrow(run, SCHEMA)
+    return texts(df, "doc_id").mapInArrow(freed(run), SCHEMA)
 
 
 def encode_decode_digests(df: DataFrame, model_path: str, end_id: int | None = 2) -> DataFrame:
@@ -101,7 +101,7 @@ def encode_decode_digests(df: DataFrame, model_path: str, end_id: int | None = 2
             sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
             yield record(schema, b.column(0), [ids.count(" ") + 1 if ids else 0 for ids, _ in got], [sha(ids) for ids, _ in got], [sha(text) for _, text in got])
 
-    return texts(df, "doc_id").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(df, "doc_id").mapInArrow(freed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewarden.llm._common import batched, drop_written, record, table, texts, written
+from rangewarden.llm._common import batched, drop_written, freed, record, table, texts, written
 from rangewarden.llm.components import components
 
 #: Fingerprints of a tile: a pair of full tiles takes 2^26 comparisons.
@@ -64,7 +64,7 @@ def fingerprints(df: DataFrame, words: int) -> DataFrame:
             found = np.array([fingerprint(shingle_hashes(t, words)) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield record(schema, b.column(0), pa.array(found.view(np.int64)))
 
-    return texts(df, "doc_id").mapInArrow(run, "doc_id long, fp long")
+    return texts(df, "doc_id").mapInArrow(freed(run), "doc_id long, fp long")
 
 
 def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarray:
@@ -122,7 +122,7 @@ def near_pairs(fps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
                     yield record(schema, pa.array(both_[found[:, 0]]), pa.array(both_[found[:, 1]]))
 
     # Dealt anew, as the join puts all pairs of a tile into one task.
-    return both.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "a long, b long")
+    return both.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(freed(run), "a long, b long")
 
 
 def simhash_groups(df: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
@@ -280,7 +280,7 @@ def profiles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                 none = pa.nulls(len(at), pa.int64())
                 yield record(schema, np.concatenate(found).view(np.int64), np.repeat(keys, k), np.repeat(fps, k), np.repeat(sizes, k), at, none, pa.nulls(len(at), pa.binary()))
 
-    return docs.select("key", "doc", "text").mapInArrow(run, "hash long, key long, fp long, n int, at int, doc long, odd binary")
+    return docs.select("key", "doc", "text").mapInArrow(freed(run), "hash long, key long, fp long, n int, at int, doc long, odd binary")
 
 
 def met(rows: DataFrame, kind: np.dtype, fn) -> DataFrame:
@@ -306,7 +306,7 @@ def met(rows: DataFrame, kind: np.dtype, fn) -> DataFrame:
             for lo in range(0, len(found), MEET):
                 yield pa.RecordBatch.from_arrays([pa.array(found[c][lo : lo + MEET]) for c in _PAIRS.names], names=list(_PAIRS.names))
 
-    out = rows.select(*kind.names).repartition("hash").sortWithinPartitions("hash", "key").mapInArrow(run, "a long, b long, star boolean")
+    out = rows.select(*kind.names).repartition("hash").sortWithinPartitions("hash", "key").mapInArrow(freed(run), "a long, b long, star boolean")
     return out.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
@@ -330,10 +330,10 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, words: int, si
 
     side = lambda df, value, k, *more: df.select(F.col("key").alias(k), F.col(value).alias(f"{k}_{value}"), *[F.col(c).alias(f"{k}_{c}") for c in more])
     both = pairs.select("a", "b").join(side(known, "odd", "a", "n"), "a").join(side(known, "odd", "b", "n"), "b").select("a", "b", "a_odd", "a_n", "b_odd", "b_n")
-    rest = written(both.mapInArrow(allowed, "a long, b long"))
+    rest = written(both.mapInArrow(freed(allowed), "a long, b long"))
     asked = rest.select(F.col("a").alias("key")).union(rest.select("b")).distinct()
-    sets = written(docs.select("key", "text").join(asked, "key", "left_semi").mapInArrow(hashed, "key long, set binary").dropDuplicates(["key"]))
-    links = written(rest.join(side(sets, "set", "a"), "a").join(side(sets, "set", "b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(judged, "a long, b long"))
+    sets = written(docs.select("key", "text").join(asked, "key", "left_semi").mapInArrow(freed(hashed), "key long, set binary").dropDuplicates(["key"]))
+    links = written(rest.join(side(sets, "set", "a"), "a").join(side(sets, "set", "b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(freed(judged), "a long, b long"))
     drop_written(rest, sets)
     return links
 

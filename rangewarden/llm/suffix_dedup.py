@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangewarden.llm._common import batched, drop_written, mix, record, table, written
+from rangewarden.llm._common import batched, drop_written, freed, mix, record, table, written
 
 #: Bytes of a window and of an anchor. Stretches of up to 2 * WINDOW - ANCHOR bytes are named by ten words.
 WINDOW, ANCHOR = 50, 20
 #: Windows that are looked at at once; their places take 24 bits of a key.
 BLOCK = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
+#: Buckets for each task, and windows that are named at once within a batch.
+SPLIT, AT_ONCE = 3, 1 << 18
 #: A null doc_id counts as larger than any other.
 LAST = (1 << 63) - 1
 
@@ -227,7 +229,9 @@ def repeat_spans(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     batched(spark)
     docs = df.selectExpr(*_KEY, "body")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # More buckets than tasks: one at a time is in a worker's memory.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = SPLIT * parts
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rounds 1 and 2 within a batch: covered stretches as spans, the other names packed."""
@@ -268,19 +272,26 @@ def repeat_spans(df: DataFrame) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Round 3 within a batch."""
         for b in batches:
-            found = []
-            for doc, tag, body, parts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                start = np.array([p["at"] for p in parts], np.int64)
-                n, own = np.array([p["n"] for p in parts], np.int64), np.array([p["bucket"] for p in parts], np.int32)
+            found, size = [], 0
+            for doc, tag, body, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                start = np.array([p["at"] for p in places], np.int64)
+                n, own = np.array([p["n"] for p in places], np.int64), np.array([p["bucket"] for p in places], np.int32)
+                if size and size + n.sum() > AT_ONCE:
+                    yield from settled(found)
+                    found, size = [], 0
+                size += int(n.sum())
                 at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
                 rows = np.zeros(len(at), _WINDOWS)
                 rows["name"], rows["bucket"] = window_names(body, at), np.repeat(own, n)
                 rows["doc"], rows["tag"], rows["at"], rows["n"] = doc, tag, at, 1
                 found.append(rows)
             if found:
-                rows, covered = settle(np.concatenate(found), ["name"])
-                yield packed_windows(rows[~covered])
-                yield spans_record(joined(rows[covered]))
+                yield from settled(found)
+
+    def settled(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows, covered = settle(np.concatenate(found), ["name"])
+        yield packed_windows(rows[~covered])
+        yield spans_record(joined(rows[covered]))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Round 3 of a bucket."""
@@ -293,13 +304,13 @@ def repeat_spans(df: DataFrame) -> DataFrame:
 
     def dealt(found: DataFrame, fn) -> DataFrame:
         # Settled spans need no company: they are dealt anywhere.
-        to = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.expr(f"cast(pmod(xxhash64(doc, at), {buckets}) AS int)"))
-        return found.repartitionById(buckets, to).sortWithinPartitions("bucket").mapInArrow(fn, _SPANS_SQL)
+        to = F.when(F.col("bucket") >= 0, F.col("bucket") % parts).otherwise(F.expr(f"cast(pmod(xxhash64(doc, at), {parts}) AS int)"))
+        return found.repartitionById(parts, to).sortWithinPartitions("bucket").mapInArrow(freed(fn), _SPANS_SQL)
 
-    one = written(dealt(docs.mapInArrow(names, _SPANS_SQL), stretches))
+    one = written(dealt(docs.mapInArrow(freed(names), _SPANS_SQL), stretches))
     # Sets: rows of one doc_id and text repeat their places.
     goes_on = one.where("bucket >= 0").groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "n", "bucket")).alias("parts"))
-    two = written(dealt(docs.join(goes_on, ["doc", "tag"]).select("doc", "tag", "body", "parts").mapInArrow(windows, _SPANS_SQL), single))
+    two = written(dealt(docs.join(goes_on, ["doc", "tag"]).select("doc", "tag", "body", "parts").mapInArrow(freed(windows), _SPANS_SQL), single))
     spans = written(one.where("bucket < 0").union(two).groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "n")).alias("spans")))
     drop_written(one, two)
     return spans
@@ -341,7 +352,7 @@ def without_repeats(df: DataFrame, *keep: str) -> DataFrame:
             rows = [(body, 0, 0) if not s else cut_spans(body, s) for body, s in zip(bodies, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([r[0] for r in rows], pa.binary()), *(pa.array(c, pa.int64()) for c in (list(map(len, bodies)), [r[1] for r in rows], [r[2] for r in rows]))], names=out.names)
 
-    return full.mapInArrow(run, out).select("carried.*", "left", "n_bytes", "n_removed", "n_spans")
+    return full.mapInArrow(freed(run), out).select("carried.*", "left", "n_bytes", "n_removed", "n_spans")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

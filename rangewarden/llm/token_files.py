@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewarden.llm._common import batched, record, shared_dir, table, texts
+from rangewarden.llm._common import batched, freed, record, shared_dir, table, texts
 from rangewarden.llm.vocab import encode_all
 
 SAMPLE = 256
@@ -155,9 +155,9 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
         for b in batches:
             yield record(schema, b.column(0), b.column(1), [x + end for x in encode_all(b.column(2).to_pylist(), tokenizer_path)])
 
-    keyed = texts(df, "doc_id").select(part.alias("part"), "doc_id", "text").mapInArrow(encode, "part int, doc_id long, ids binary")
+    keyed = texts(df, "doc_id").select(part.alias("part"), "doc_id", "text").mapInArrow(freed(encode), "part int, doc_id long, ids binary")
     ranged = keyed.repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
-    ranged.mapInArrow(lambda b: _segments(b, segment_ids), "part int, part_start long, n_ids long, segment binary").write.option("compression", "zstd").parquet(path)
+    ranged.mapInArrow(freed(lambda b: _segments(b, segment_ids)), "part int, part_start long, n_ids long, segment binary").write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -181,7 +181,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     hi = min(s.n_docs, lo + 1000)
                     yield record(schema, s.doc_ids[lo:hi], starts[lo:hi] + start, [flat[4 * a : 4 * e] for a, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)])
 
-    return kept.join(F.broadcast(at), "part").select((F.col("base") + F.col("part_start")).alias("start"), "segment").mapInArrow(documents, "doc_id long, start long, ids binary")
+    return kept.join(F.broadcast(at), "part").select((F.col("base") + F.col("part_start")).alias("start"), "segment").mapInArrow(freed(documents), "doc_id long, start long, ids binary")
 
 
 def digests(df: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def digests(df: DataFrame) -> DataFrame:
             ids = b.column(2).to_pylist()
             yield record(schema, b.column(0), b.column(1), [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids])
 
-    return df.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return df.mapInArrow(freed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewarden.llm._common import batched, record, table, texts
+from rangewarden.llm._common import batched, freed, record, table, texts
 from rangewarden.llm.vocab import WordTable
 
 #: Features are hashed to so many places; labelled documents a model is fitted on, at most.
@@ -119,7 +119,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
             feats = [np.array([word_features(w) for w in sorted(distinct_words(t))], "<u4").tobytes() for t in b.column(1).to_pylist()]
             yield record(schema, b.column(0).cast(pa.int32()), feats)
 
-    got = train.mapInArrow(run, "toxic int, feats binary").collect()
+    got = train.mapInArrow(freed(run), "toxic int, feats binary").collect()
     got.sort(key=lambda r: (r["toxic"], bytes(r["feats"])))  # the same model however tasks end
     docs = [np.frombuffer(r["feats"], "<u4").reshape(-1, 1 + len(STARTS)) for r in got]
     return fit_grades(docs, np.array([r["toxic"] > 0 for r in got], bool))
@@ -143,7 +143,7 @@ def score(df: DataFrame, model: Severity) -> DataFrame:
             each = np.concatenate([np.ones((len(sums), 1)), above], axis=1) - np.concatenate([above, np.zeros((len(sums), 1))], axis=1)
             yield record(schema, b.column(0), pa.array(above.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] >= 0.5))
 
-    return texts(df, "doc_id").mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
+    return texts(df, "doc_id").mapInArrow(freed(run), "doc_id long, severity double, grade int, toxic boolean")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
