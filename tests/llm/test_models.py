@@ -11,7 +11,7 @@ from rangewarden.llm import toxicity
 from rangewarden.llm.boosting import Boosted
 from rangewarden.llm.html_dom import Dom
 from rangewarden.llm.html_text import DROP, MIXED, STYLES, decode, extract_all, extract_pages, fit_pages, labels, made_page, main_text
-from rangewarden.llm.language_id import fit, identify, predict_languages
+from rangewarden.llm.language_id import Letters, fit, identify, letter_codes, predict_languages
 
 
 @pytest.fixture(scope="module")
@@ -173,5 +173,51 @@ def test_severity(spark):
     heavy, light = (np.mean([got[i]["severity"] for i, t in rows if f(sum(w.startswith(("vaxo", "vaxi", "grum")) for w in t.split()))]) for f in (lambda n: n >= 5, lambda n: n == 1))
     assert heavy > light
     assert toxicity.score(df.limit(0), model).count() == 0
+    held = [(got[i]["severity"], sum(w.startswith(("vaxo", "vaxi", "grum")) for w in t.split())) for i, t in rows if i >= 400 and truth[i]]
+    pairs = [(a, b) for a in held for b in held if a[1] > b[1]]
+    assert np.mean([a[0] > b[0] for a, b in pairs]) > 0.8  # severity follows insults that no label counts
     empty = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert not any(r["toxic"] for r in toxicity.score(df, empty).collect())
+
+
+def test_likelihood_and_its_gradient():
+    rng = np.random.default_rng(3)
+    n, features, top = 40, 6, 3
+    ones = rng.random((n, features)) < 0.4
+    row, col = np.nonzero(ones)
+    y, weigh = rng.integers(0, top + 1, n), rng.random(n) + 0.5
+    w, theta = rng.normal(size=features), np.sort(rng.normal(size=top))
+
+    def value(w, theta):
+        below = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(-(theta[None] - (ones @ w)[:, None]))), np.ones((n, 1))], axis=1)
+        return -(weigh * np.log(below[np.arange(n), y + 1] - below[np.arange(n), y])).mean()
+
+    got, by_weight, by_threshold = toxicity.loss(w, theta, row, col, y, weigh)
+    assert np.isclose(got, value(w, theta))
+    step = 1e-6
+    assert np.allclose(by_weight, [(value(w + step * e, theta) - value(w - step * e, theta)) / 2 / step for e in np.eye(features)], atol=1e-6)
+    assert np.allclose(by_threshold, [(value(w, theta + step * e) - value(w, theta - step * e)) / 2 / step for e in np.eye(top)], atol=1e-6)
+
+
+def test_language_vectors_by_hand():
+    letters_ = Letters(dim=64)
+    text, codes = "Ab cab!", [0, 97, 98, 0, 99, 97, 98, 0]
+    assert letter_codes(text).tolist() == codes
+    want = np.zeros(64)
+    for i in range(len(codes) - 2):
+        bound = np.ones(64)
+        for p in range(3):
+            bound *= np.roll(letters_.letters[codes[i + p]].astype(float), p)
+        want += bound
+    assert np.allclose(letters_.bundle(text), want)
+    protos = np.stack([want / np.linalg.norm(want), -want / np.linalg.norm(want)])
+    assert np.isclose((protos @ letters_.bundle(text) / np.linalg.norm(want)).max(), 1)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30_000))  # more n-grams than a worker keeps, more words than any block
+    df = spark.createDataFrame([(1, long, "en"), (2, "the and", "en"), (3, None, None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in predict_languages(df).collect()}
+    assert got[1]["lang_pred"] == "en" and got[3]["lang_pred"] == "und"
+    assert toxicity.score(df, toxicity.fit(df, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))).count() == 3
