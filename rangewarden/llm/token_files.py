@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewarden.llm._common import batched, freed, record, shared_dir, table, texts
+from rangewarden.llm._common import BATCH_ROWS, batched, freed, record, shared_dir, table, texts
 from rangewarden.llm.vocab import encode_all
 
 SAMPLE = 256
@@ -57,17 +57,20 @@ class EliasFano:
         return flags.reshape(-1, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
     def select(self, i: int) -> int:
-        """The i-th value, from the sample before it and a stretch of the high bits."""
-        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte, skip = at // 8, at % 8
-        while True:
-            block = np.unpackbits(self.high[byte : byte + 64], bitorder="little")
-            block[:skip] = 0
-            ones = np.flatnonzero(block)
-            if left < len(ones):
-                place = byte * 8 + int(ones[left])
-                return (place - i) << self.low_bits | int(self._lows(i, i + 1)[0])
-            left, byte, skip = left - len(ones), byte + 64, 0
+        """The i-th value."""
+        return int(self.select_range(i, i + 1)[0])
+
+    def select_range(self, lo: int, hi: int) -> np.ndarray:
+        """The values from the lo-th up to the hi-th, from the sample before them and the stretch of high bits up to the sample after them."""
+        if lo >= hi:
+            return np.zeros(0, np.int64)
+        first, after = lo // SAMPLE, -(-hi // SAMPLE)
+        at, skip = int(self.samples[first]) // 8, int(self.samples[first]) % 8
+        stop = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        block = np.unpackbits(self.high[at:stop], bitorder="little")
+        block[:skip] = 0
+        places = np.flatnonzero(block)[lo - first * SAMPLE : hi - first * SAMPLE] + at * 8
+        return (places - np.arange(lo, hi)) << self.low_bits | self._lows(lo, hi)
 
     def values(self) -> np.ndarray:
         places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -104,13 +107,25 @@ class Segment:
         self.ids = np.frombuffer(data, f"<u{width}", self.n_ids, _HEAD.size)
         self.ends, at = EliasFano.from_bytes(data, _HEAD.size + width * self.n_ids)
         keys, at = EliasFano.from_bytes(data, at)
-        first, nulls = _KEYS.unpack_from(data, at)
-        self.doc_ids = [None] * nulls + (keys.values() + first).tolist()
+        self.keys = keys
+        self.first, self.nulls = _KEYS.unpack_from(data, at)
+
+    def doc_ids(self, lo: int, hi: int) -> list:
+        known = (self.keys.select_range(max(0, lo - self.nulls), max(0, hi - self.nulls)) + self.first).tolist()
+        return [None] * (hi - lo - len(known)) + known
 
     def document(self, i: int) -> np.ndarray:
         """The i-th document's ids, by two selects."""
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
+    def documents(self, lo: int, hi: int) -> tuple[np.ndarray, list[bytes]]:
+        """Where the documents from lo up to hi start, and their ids, little-endian unsigned 32-bit: by select, without a table of all boundaries."""
+        ends = self.ends.select_range(max(0, lo - 1), hi)
+        ends = ends if lo else np.r_[0, ends]
+        flat = self.ids[ends[0] : ends[-1]].astype("<u4").tobytes()
+        places = (4 * (ends - ends[0])).tolist()
+        return ends[:-1], [flat[a:b] for a, b in zip(places, places[1:], strict=False)]
+
 
 _SEGMENTS = pa.schema([("part", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("segment", pa.binary())])
 
@@ -174,12 +189,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for start, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = Segment(data)
-                ends = s.ends.values()
-                starts = np.r_[0, ends[:-1]]
-                flat = s.ids.astype("<u4").tobytes()
-                for lo in range(0, s.n_docs, 1000):
-                    hi = min(s.n_docs, lo + 1000)
-                    yield record(schema, s.doc_ids[lo:hi], starts[lo:hi] + start, [flat[4 * a : 4 * e] for a, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)])
+                for lo in range(0, s.n_docs, BATCH_ROWS):
+                    hi = min(s.n_docs, lo + BATCH_ROWS)
+                    starts, ids = s.documents(lo, hi)
+                    yield record(schema, s.doc_ids(lo, hi), starts + start, ids)
 
     return kept.join(F.broadcast(at), "part").select((F.col("base") + F.col("part_start")).alias("start"), "segment").mapInArrow(freed(documents), "doc_id long, start long, ids binary")
 

@@ -123,7 +123,7 @@ def test_elias_fano():
         ef, _ = EliasFano.from_bytes(EliasFano.of(values).to_bytes())
         assert ef.values().tolist() == values
         for i in range(0, len(values), 37):
-            assert ef.select(i) == values[i]
+            assert ef.select(i) == values[i] and ef.select_range(i, min(len(values), i + 300)).tolist() == values[i : i + 300]
 
     same()
     many = np.cumsum(np.random.default_rng(1).integers(1, 2000, 50_000))
@@ -132,7 +132,10 @@ def test_elias_fano():
 
 def test_segments():
     s = Segment(encode_segment([None, -5, 3, 3, 1 << 40], [np.array(x, "<u4").tobytes() for x in ([], [1], [70000, 2], [3], [])]))
-    assert s.doc_ids == [None, -5, 3, 3, 1 << 40]
+    assert s.doc_ids(0, 5) == [None, -5, 3, 3, 1 << 40] and s.doc_ids(1, 3) == [-5, 3]
+    for lo, hi in ((0, 5), (1, 4), (3, 5)):
+        starts, got = s.documents(lo, hi)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[], [1], [70000, 2], [3], []][lo:hi] and starts.tolist() == [0, 0, 1, 3, 4][lo:hi]
     assert [s.document(i).tolist() for i in range(5)] == [[], [1], [70000, 2], [3], []]
 
 
@@ -150,3 +153,55 @@ def test_token_files(spark, tmp_path):
         at += len(x) // 4
     write_token_files(df.limit(0), str(tmp_path / "b"), path, end_id=2)
     assert read_token_files(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_very_long_texts(spark, tmp_path):
+    rng = random.Random(6)
+    long = " ".join(rng.choice(["of", "the", "thand", "é", "Water,", "<|endoftext|>", "12"]) + str(rng.randrange(100)) for _ in range(60_000))
+    df = spark.createDataFrame([(2, long, "x"), (1, "short", "y"), (3, None, "z")], "doc_id long, text string, ids string")
+    plain, words = Tokenizer.from_file(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = np.array([*plain.encode(long, add_special_tokens=False).ids, 0], "<u4")
+    pieces = sorted((r for r in pack_documents(df, P.path("byte_bpe_50k.json")).collect() if r["doc_id"] == 2), key=lambda r: r["start"])
+    assert sum(r["length"] for r in pieces) == len(want) and all(r["ids_crc32"] == zlib.crc32(want[r["start"] : r["start"] + r["length"]].tobytes()) for r in pieces)
+    write_token_files(df, str(tmp_path / "a"), P.path("word_bpe_49k.json"), end_id=2)
+    got = {r["doc_id"]: r for r in digests(read_token_files(spark, str(tmp_path / "a"))).collect()}
+    ids = np.array([*words.encode(long, add_special_tokens=False).ids, 2], "<u4")
+    assert (got[2]["n_tokens"], got[2]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+    codec = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rows = {r["doc_id"]: r for r in encode_decode(df, P.path("piece_bpe_32k.model")).collect()}
+    assert rows[2]["ids"] == [*codec.encode(long), 2] and rows[2]["decoded"] == codec.decode(rows[2]["ids"])
+
+
+def brute_pack(lengths, capacity):
+    """The rule in plain steps: whole sequences first; then rests, longest first, to the cheapest sequence with room, or what fits to the roomiest."""
+    out, rests, used = [], [], 0
+    for d, n in enumerate(lengths):
+        for s in range(0, n // capacity * capacity, capacity):
+            out.append((d, s, capacity, used, 0))
+            used += 1
+        if n % capacity:
+            rests.append((d, n // capacity * capacity, n % capacity))
+    bins = [[0, 0.0] for _ in range(-(-sum(r[2] for r in rests) // capacity))]
+    while rests:
+        rests.sort(key=lambda r: (-r[2], r[0]))
+        d, s, n = rests.pop(0)
+        fits = [i for i, (size, _) in enumerate(bins) if size + n <= capacity]
+        if fits:
+            i = min(fits, key=lambda i: (bins[i][1], i))
+            take = n
+        else:
+            i = min(range(len(bins)), key=lambda i: (bins[i][0], i))
+            take = capacity - bins[i][0]
+            rests.append((d, s + take, n - take))
+        out.append((d, s, take, used + i, bins[i][0]))
+        bins[i][0] += take
+        bins[i][1] += take + take * take / 1024
+    return out
+
+
+def test_packing_keeps_its_rule():
+    rng = random.Random(9)
+    for capacity in (7, 16, 64):
+        for _ in range(40):
+            lengths = [rng.randint(1, rng.choice([3, capacity, 3 * capacity])) for _ in range(rng.randint(0, 40))]
+            assert sorted(pack(lengths, capacity)) == sorted(brute_pack(lengths, capacity))
