@@ -14,12 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rangewarden.llm._common import batched, freed, record, table, written
 from rangewarden.llm.components import components
 
 #: Distinct vectors that codebooks are fitted on, at most; vectors in a cell on average; members of a block.
 SAMPLE, CELL, BLOCK = 20_000, 1024, 4096
+#: Codewords of a half, at most: 16 million cells, which the sample can still tell apart.
+CODEWORDS = 4096
 #: Of vectors at the threshold, the share whose cell one of the two must visit.
 TARGET = 0.999
 
@@ -69,7 +72,7 @@ class MultiIndex:
         a, b = (self._distances(h, book) for h, book in zip(self._halves(x), self.books, strict=True))
         visits = min(visits or self.visits, a.shape[1] * b.shape[1])
         ra, rb = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
-        i, j = np.nonzero(np.outer(np.arange(1, a.shape[1] + 1), np.arange(1, b.shape[1] + 1)) <= visits)
+        i, j = np.nonzero(np.outer(np.arange(1, min(a.shape[1], visits) + 1), np.arange(1, min(b.shape[1], visits) + 1)) <= visits)
         sums = np.take_along_axis(a, ra, 1)[:, i] + np.take_along_axis(b, rb, 1)[:, j]
         first = np.argsort(sums, axis=1, kind="stable")[:, :visits]
         return (np.take_along_axis(ra, i[first], 1) * b.shape[1] + np.take_along_axis(rb, j[first], 1)).astype(np.int32)
@@ -81,25 +84,38 @@ class MultiIndex:
         away -= (away * x).sum(axis=1, keepdims=True) * x
         size = np.linalg.norm(away, axis=1, keepdims=True)
         y = unit(threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * away / np.where(size > 1e-9, size, 1.0)) if x.shape[1] > 1 else x
-        cells = len(self.books[0]) * len(self.books[1])
-        of_x, of_y = self.sequence(x, cells), self.sequence(y, cells)
-        rank = np.minimum((of_x == of_y[:, :1]).argmax(axis=1), (of_y == of_x[:, :1]).argmax(axis=1))
+        rank = np.minimum(self._rank(x, self.sequence(y, 1)[:, 0]), self._rank(y, self.sequence(x, 1)[:, 0]))
         return int(np.quantile(rank, target, method="higher")) + 1
 
+    def _rank(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """How many cells a vector visits before this one: those of pairs of codewords that are nearer in sum."""
+        out = []
+        for lo in range(0, len(x), 64):  # a part at a time: there may be very many cells
+            a, b = (self._distances(h, book) for h, book in zip(self._halves(x[lo : lo + 64]), self.books, strict=True))
+            i, j = np.divmod(cell[lo : lo + 64], b.shape[1])
+            rows = np.arange(len(a))
+            asked = a[rows, i] + b[rows, j]
+            b.sort(axis=1)
+            out.append([sum(np.searchsorted(b[k], asked[k] - a[k], side="left")) for k in range(len(a))])
+        return np.concatenate(out).astype(np.int64)
+
 
 def _fit(nodes: DataFrame, sample: int, cell: int, threshold: float, target: float) -> tuple[dict[int, MultiIndex], dict[tuple[int, int], int]]:
     """An index for each length of vectors, on those of the lowest hash; and how many blocks each cell has."""
     sizes = {r["d"]: r["n"] for r in nodes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
     out = {}
     for d, n in sizes.items():
+        codewords = int(np.clip(np.ceil(np.sqrt(n / cell)), 1, CODEWORDS))
         picked = nodes.where(F.size("embedding") == d).select("embedding").orderBy(F.xxhash64("embedding")).limit(sample)
-        x = unit(np.array([r[0] for r in picked.collect()], np.float32))
-        out[d] = MultiIndex(x, int(np.clip(np.ceil(np.sqrt(n / cell)), 1, 256)), threshold, target)
+        x = unit(np.array([r[0] for r in picked.collect()], np.float64))
+        out[d] = MultiIndex(x, codewords, threshold, target)
     return out
 
 
-def _kind(d: int, visits: int) -> np.dtype:
-    return np.dtype([("node", "<i8"), ("copies", "<i8"), ("vec", "<f4", (d,)), ("cells", "<i4", (visits,))])
+def _kinds(d: int, visits: int, number: str) -> tuple[np.dtype, np.dtype]:
+    """Of a visitor, which knows its own cell, and of a member, which knows all cells it visits."""
+    own = [("node", "<i8"), ("copies", "<i8"), ("vec", number, (d,))]
+    return np.dtype([*own, ("home", "<i4")]), np.dtype([*own, ("cells", "<i4", (visits,))])
 
 
 def _compare(visitors: np.ndarray, members: np.ndarray, units: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +124,7 @@ def _compare(visitors: np.ndarray, members: np.ndarray, units: np.ndarray, thres
     other = visitors["node"][i] != members["node"][j]
     i, j = i[other], j[other]
     # The member doesn't come upon the visitor in the visitor's own cell: this is its only chance.
-    back = ~(members["cells"][j] == visitors["cells"][i, :1]).any(axis=1)
+    back = ~(members["cells"][j] == visitors["home"][i, None]).any(axis=1)
     nodes = np.r_[visitors["node"][i], members["node"][j[back]]]
     links = np.r_[members["copies"][j], visitors["copies"][i[back]]]
     nodes, at = np.unique(nodes, return_inverse=True)
@@ -146,7 +162,9 @@ def embedding_groups(df: DataFrame, threshold: float = 0.95, target: float = TAR
     """
     spark = df.sparkSession
     batched(spark)
-    plain = df.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    # Components stay as they are, or become doubles.
+    number = "<f4" if df.schema["embedding"].dataType == T.ArrayType(T.FloatType(), df.schema["embedding"].dataType.containsNull) else "<f8"
+    plain = df.select("vec_id", F.col("embedding").cast("array<float>" if number == "<f4" else "array<double>").alias("embedding"))
     good = F.expr("embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x <> 0)")
     rows = plain.withColumn("good", F.coalesce(good, F.lit(False)))
     nodes = written(rows.where("good").groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
@@ -157,11 +175,12 @@ def embedding_groups(df: DataFrame, threshold: float = 0.95, target: float = TAR
         for b in batches:
             vectors = b.column(0).to_pylist()
             for d in {len(v) for v in vectors}:
-                cells = index[d].sequence(unit(np.array([v for v in vectors if len(v) == d], np.float32)), 1)[:, 0]
+                cells = index[d].sequence(unit(np.array([v for v in vectors if len(v) == d], number)), 1)[:, 0]
                 yield record(pa.schema([("d", pa.int32()), ("cell", pa.int32())]), [d] * len(cells), pa.array(cells))
 
-    # At most 256 x 256 rows for each length of vectors.
-    split = {(r["d"], r["cell"]): -(-r["n"] // block) for r in nodes.select("embedding").mapInArrow(freed(home), "d int, cell int").groupBy("d", "cell").agg(F.count("*").alias("n")).collect() if r["n"] > block}
+    # Only cells of more than a block: at most one for each so many vectors.
+    crowded = nodes.select("embedding").mapInArrow(freed(home), "d int, cell int").groupBy("d", "cell").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    split = {(r["d"], r["cell"]): -(-r["n"] // block) for r in crowded.collect()}
     schema = pa.schema([("d", pa.int32()), ("cell", pa.int32()), ("block", pa.int32()), ("visits", pa.bool_()), ("rows", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,12 +191,19 @@ def embedding_groups(df: DataFrame, threshold: float = 0.95, target: float = TAR
             out = []
             for d in np.unique(length).tolist():
                 own = np.flatnonzero(length == d)
-                packed = np.zeros(len(own), _kind(d, index[d].visits))
+                visitor, member = _kinds(d, index[d].visits, number)
+                packed, guests = np.zeros(len(own), member), np.zeros(len(own), visitor)
                 packed["vec"] = [vectors[k] for k in own]
                 packed["node"], packed["copies"], packed["cells"] = node[own], copies[own], index[d].sequence(unit(packed["vec"]))
-                for c in np.unique(packed["cells"]).tolist():
-                    comes, n = packed[(packed["cells"] == c).any(axis=1)], split.get((d, c), 1)
-                    lives = packed[packed["cells"][:, 0] == c]
+                for c in ("node", "copies", "vec"):
+                    guests[c] = packed[c]
+                guests["home"] = packed["cells"][:, 0]
+                # All visits in order of their cells: each cell's are a slice.
+                order = np.argsort(packed["cells"], axis=None, kind="stable")
+                cells, first = np.unique(packed["cells"].ravel()[order], return_index=True)
+                for c, came in zip(cells.tolist(), np.split(order // packed["cells"].shape[1], first[1:]), strict=True):
+                    comes, n = guests[came], split.get((d, c), 1)
+                    lives = packed[came[packed["cells"][came, 0] == c]]
                     for k in range(n):
                         if len(here := lives[lives["node"] % n == k]):
                             out.append((d, c, k, False, here.tobytes()))
@@ -194,7 +220,7 @@ def embedding_groups(df: DataFrame, threshold: float = 0.95, target: float = TAR
             for d, c, k, visits, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if (d, c, k) != now:
                     now, members, units = (d, c, k), [], None
-                rows_ = np.frombuffer(data, _kind(d, index[d].visits))
+                rows_ = np.frombuffer(data, _kinds(d, index[d].visits, number)[0 if visits else 1])
                 if not visits:
                     members.append(rows_)
                     continue

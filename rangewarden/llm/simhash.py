@@ -22,11 +22,13 @@ TILE = 8192
 BLOCK = 1 << 16
 #: Groups of texts with a common hash up to this size are compared pair by pair; rows of groups at once.
 SMALL, MEET = 64, 1 << 16
+#: Texts of other groups, the nearest by fingerprint, that a text meets under each hash before it meets all.
+NEAREST = 10
 #: Documents, and characters of each, that tell which hashes are common: it changes the work, not the result.
 SAMPLE, SAMPLE_CHARS = 2000, 4000
 _FIRSTS = np.dtype([("hash", "<i8"), ("key", "<i8"), ("fp", "<u8"), ("n", "<i8"), ("at", "<i8")])
-_OPEN = np.dtype([("hash", "<i8"), ("key", "<i8"), ("n", "<i8"), ("at", "<i8"), ("label", "<i8"), ("failed", "?")])
-_PAIRS = np.dtype([("a", "<i8"), ("b", "<i8"), ("star", "?")])
+_OPEN = np.dtype([("hash", "<i8"), ("key", "<i8"), ("fp", "<u8"), ("n", "<i8"), ("at", "<i8"), ("label", "<i8"), ("meets", "?")])
+_PAIRS = np.dtype([("a", "<i8"), ("b", "<i8"), ("tree", "?")])
 
 
 def shingle_hashes(text: str, words: int) -> list[int]:
@@ -184,20 +186,18 @@ def parities_allow(x: bytes, n: int, y: bytes, m: int, similarity: float) -> boo
 
 
 def group_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
-    """Of rows sorted by hash: pairs (a, b, star) of keys that share a hash and may be similar.
+    """Of rows sorted by hash: pairs (a, b, tree) of keys that share a hash and may be similar.
 
-    In groups of more than SMALL, of what fingerprints within the radius join, directly or not, each one meets only the first (star).
+    In groups of more than SMALL each one meets the one before it whose fingerprint is nearest, if that is within the radius
+    (tree), and besides only those that no chain of such pairs joins it with.
     """
     found, new = [], np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]
     size = np.diff(np.r_[np.flatnonzero(new), len(rows)])
     small = rows[np.repeat((size > 1) & (size <= SMALL), size)]
 
-    def judged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _may_be_similar(a["n"], a["at"], b["n"], b["at"], similarity), np.bitwise_count(a["fp"] ^ b["fp"]) <= radius
-
-    def add(a: np.ndarray, b: np.ndarray, star: bool) -> None:
+    def add(a: np.ndarray, b: np.ndarray, tree: bool) -> None:
         out = np.zeros(len(a), _PAIRS)
-        out["a"], out["b"], out["star"] = np.minimum(a["key"], b["key"]), np.maximum(a["key"], b["key"]), star
+        out["a"], out["b"], out["tree"] = np.minimum(a["key"], b["key"]), np.maximum(a["key"], b["key"]), tree
         found.append(out)
 
     for d in range(1, SMALL):
@@ -205,41 +205,40 @@ def group_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
         same = a["hash"] == b["hash"]
         if not same.any():
             break
-        may, _ = judged(a := a[same], b := b[same])
+        a, b = a[same], b[same]
+        may = _may_be_similar(a["n"], a["at"], b["n"], b["at"], similarity)
         add(a[may], b[may], False)
     for lo, k in zip(np.flatnonzero(new)[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         group, step, label = rows[lo : lo + k], max(1, BLOCK // k), np.arange(k)
         for again in (False, True):
             for at in range(0, k, step):
-                may, sure = judged(group[at : at + step, None], group[None])
-                i, j = np.nonzero(may & (~sure if again else sure))
-                i = i + at
-                i, j = i[i < j], j[i < j]
+                part = group[at : at + step, None]
+                before = np.arange(k)[None] < np.arange(at, at + len(part))[:, None]
+                may = before & _may_be_similar(part["n"], part["at"], group["n"], group["at"], similarity)
                 if again:
-                    i, j = i[label[i] != label[j]], j[label[i] != label[j]]
-                    add(group[i], group[j], False)
-                    continue
-                while len(i) and (label[i] != label[j]).any():
-                    least = np.minimum(label[i], label[j])
-                    for x in (i, j):
-                        np.minimum.at(label, label[x], least)
-                    label = label[label]
-            if not again:
-                while (label[label] != label).any():
-                    label = label[label]
-                far = np.flatnonzero(label != np.arange(k))
-                add(group[label[far]], group[far], True)
+                    i, j = np.nonzero(may & (label[at : at + step, None] != label[None]))
+                    add(group[i + at], group[j], False)
+                else:
+                    far = np.where(may, np.bitwise_count(part["fp"] ^ group["fp"]), 65)
+                    near = far.argmin(axis=1)
+                    tree = np.flatnonzero(far[np.arange(len(near)), near] <= radius)
+                    label[tree + at] = near[tree]
+                    add(group[tree + at], group[near[tree]], True)
+            while (label[label] != label).any():
+                label = label[label]
     out = np.concatenate(found) if found else np.zeros(0, _PAIRS)
-    out = out[np.lexsort([out["star"], out["b"], out["a"]])]
+    out = out[np.lexsort([out["tree"], out["b"], out["a"]])]
     return out[np.r_[(out["a"][1:] != out["a"][:-1]) | (out["b"][1:] != out["b"][:-1]), True]] if len(out) else out
 
 
-def open_pairs(rows: np.ndarray, similarity: float) -> np.ndarray:
-    """Of rows sorted by hash: pairs (a, b) of a failed key and any of another label that share a hash and may be similar."""
+def open_pairs(rows: np.ndarray, similarity: float, most: int | None = None) -> np.ndarray:
+    """Of rows sorted by hash: pairs (a, b) of a key that meets others and any of another label that share a hash and may be similar; most: just so many of the nearest fingerprints."""
     found, new = [np.zeros(0, _PAIRS)], np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]
     for group in np.split(rows, np.flatnonzero(new)[1:]):
-        for x in group[group["failed"]]:
+        for x in group[group["meets"]]:
             y = group[(group["label"] != x["label"]) & _may_be_similar(x["n"], x["at"], group["n"], group["at"], similarity)]
+            if most is not None and len(y) > most:
+                y = y[np.argpartition(np.bitwise_count(y["fp"] ^ x["fp"]), most)[:most]]
             out = np.zeros(len(y), _PAIRS)
             out["a"], out["b"] = np.minimum(x["key"], y["key"]), np.maximum(x["key"], y["key"])
             found.append(out)
@@ -249,7 +248,9 @@ def open_pairs(rows: np.ndarray, similarity: float) -> np.ndarray:
 def common_hashes(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that a sample of the texts holds more than once, sorted, and how often."""
     seen: dict[int, int] = {}
-    for _, text in docs.select("key", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("key"), "key", "text").limit(SAMPLE).collect():
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    picked = docs.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    for (text,) in picked.select(F.substring("text", 1, SAMPLE_CHARS)).limit(2 * SAMPLE).collect():
         for h in set(shingle_hashes(text, words)):
             seen[h] = seen.get(h, 0) + 1
     often = sorted(h for h, n in seen.items() if n > 1)
@@ -284,7 +285,7 @@ def profiles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def met(rows: DataFrame, kind: np.dtype, fn) -> DataFrame:
-    """Pairs (a, b, star) that fn makes of the rows of one hash or more, which it gets together, sorted by hash and key."""
+    """Pairs (a, b, tree) that fn makes of the rows of one hash or more, which it gets together, sorted by hash and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, most = [], 0
@@ -306,8 +307,8 @@ def met(rows: DataFrame, kind: np.dtype, fn) -> DataFrame:
             for lo in range(0, len(found), MEET):
                 yield pa.RecordBatch.from_arrays([pa.array(found[c][lo : lo + MEET]) for c in _PAIRS.names], names=list(_PAIRS.names))
 
-    out = rows.select(*kind.names).repartition("hash").sortWithinPartitions("hash", "key").mapInArrow(freed(run), "a long, b long, star boolean")
-    return out.groupBy("a", "b").agg(F.max("star").alias("star"))
+    out = rows.select(*kind.names).repartition("hash").sortWithinPartitions("hash", "key").mapInArrow(freed(run), "a long, b long, tree boolean")
+    return out.groupBy("a", "b").agg(F.max("tree").alias("tree"))
 
 
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -342,26 +343,46 @@ def similar_links(first: DataFrame, docs: DataFrame, words: int, radius: int, si
     """Tables of links (a, b) between texts (key, text) of that similarity: two texts as similar are linked, directly or by others.
 
     first: the texts' profiles. Texts that similar share one of the first hashes of their shingles (see prefix), so only those that do
-    meet, and each pair that may be similar is verified by all its shingles. In groups of more than SMALL only one pair stands for
-    those that fingerprints within the radius join; where that pair fails, its text meets its groups once more.
+    meet, and each pair that may be similar is verified by all its shingles. In groups of more than SMALL a tree of near fingerprints
+    stands for the pairs it joins (see group_pairs). Where a pair of a tree fails, groups of linked texts may be left that
+    the tree joined and the links don't: of these, all but the largest meet the nearest fingerprints of other groups, and
+    what is left then, every text they share a hash with.
     """
     hashes, known = first.where("hash IS NOT NULL"), first.where("hash IS NULL").select("key", "odd", "n").dropDuplicates(["key"])
     pairs = written(met(hashes, _FIRSTS, lambda rows: group_pairs(rows, radius, similarity)))
     links = [verified(pairs, known, docs, words, similarity)]
-    failed = written(pairs.where("star").join(links[0], ["a", "b"], "left_anti").select(F.col("b").alias("key")).distinct())
-    if not failed.isEmpty():
-        # A text and the least one that it is linked to are in one group already.
-        labels = links[0].groupBy(F.col("b").alias("key")).agg(F.min("a").alias("component"))
-        again = hashes.join(hashes.join(failed, "key", "left_semi").select("hash").distinct(), "hash", "left_semi")
-        again = again.join(failed.withColumn("failed", F.lit(True)), "key", "left").join(labels, "key", "left")
-        again = again.withColumn("failed", F.coalesce("failed", F.lit(False))).withColumn("label", F.coalesce("component", "key"))
-        more = written(met(again, _OPEN, lambda rows: open_pairs(rows, similarity)))
-        links.append(verified(more, known, docs, words, similarity))
-        drop_written(more)
+    failed = written(pairs.where("tree").select("a", "b").join(links[0], ["a", "b"], "left_anti"))
+    for most in (NEAREST, None):
+        if failed.isEmpty():
+            break
+        label = components(functools.reduce(DataFrame.union, links))
+        meets = _smaller_groups(failed, label)
+        if not meets.isEmpty():
+            again = hashes.join(hashes.join(meets, "key", "left_semi").select("hash").distinct(), "hash", "left_semi")
+            again = again.join(meets.withColumn("meets", F.lit(True)), "key", "left").join(label.withColumnRenamed("node", "key"), "key", "left")
+            again = again.withColumn("meets", F.coalesce("meets", F.lit(False))).withColumn("label", F.coalesce("component", "key"))
+            more = written(met(again, _OPEN, lambda rows, most=most: open_pairs(rows, similarity, most)))
+            links.append(verified(more, known, docs, words, similarity))
+            drop_written(more)
+        drop_written(label, meets)
     drop_written(pairs, failed)
     return links
 
 
+def _smaller_groups(failed: DataFrame, label: DataFrame) -> DataFrame:
+    """A table of the keys of all linked groups (label: node, component) but the largest of those that failed pairs (a, b) would have joined."""
+    side = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    apart = failed.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    apart = components(apart.where("a <> b"))
+    size = label.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("size"))
+    sized = apart.join(size, "node", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    largest = sized.groupBy("component").agg(F.max_by("node", F.struct("size", "node")).alias("largest"))
+    small = sized.join(largest, "component").where("node <> largest").select(F.col("node").alias("component"))
+    meets = written(label.join(small, "component", "left_semi").select(F.col("node").alias("key")).union(small).distinct())
+    drop_written(apart)
+    return meets
+
+
 def near_duplicates(df: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
     """The rows of df that stay, with all its columns: of each group of similar texts (doc_id, text) the one of the smallest doc_id.
 

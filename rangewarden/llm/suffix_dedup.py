@@ -329,14 +329,14 @@ def cut_spans(body: bytes, spans: list) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def without_repeats(df: DataFrame, *keep: str) -> DataFrame:
+def without_repeats(df: DataFrame, *keep: str, as_text: bool = False) -> DataFrame:
     """Every row of df (doc_id, text, and the columns to keep), with what is left of its text.
 
     Each byte goes that lies in a 50-byte string which also starts in a document with a smaller doc_id;
     strings are judged on the input, and never cross documents. Null text counts as empty, a null doc_id
     as larger than any other; rows of the same doc_id don't cover one another. An empty table gives no rows.
     Returns doc_id, the kept columns, left binary (the remaining bytes), n_bytes, n_removed, n_spans; a kept column
-    of one of these names gives way.
+    of one of these names gives way. as_text: left is a string, without the bytes of characters that were cut.
     """
     batched(df.sparkSession)
     keep = tuple(c for c in keep if c not in ("doc_id", "left", "n_bytes", "n_removed", "n_spans"))
@@ -344,13 +344,13 @@ def without_repeats(df: DataFrame, *keep: str) -> DataFrame:
     plain = df.select("doc_id", carried, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
     spans = repeat_spans(plain.select("doc_id", "body"))
     full = plain.select("*", *map(F.expr, _KEY)).join(spans, ["doc", "tag"], "left").select("carried", "body", "spans")
-    out = T.StructType([full.schema["carried"], *(T.StructField(c, t) for c, t in (("left", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType())))])
+    out = T.StructType([full.schema["carried"], *(T.StructField(c, t) for c, t in (("left", T.StringType() if as_text else T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bodies, found = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             rows = [(body, 0, 0) if not s else cut_spans(body, s) for body, s in zip(bodies, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([r[0] for r in rows], pa.binary()), *(pa.array(c, pa.int64()) for c in (list(map(len, bodies)), [r[1] for r in rows], [r[2] for r in rows]))], names=out.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([r[0].decode(errors="ignore") for r in rows], pa.string()) if as_text else pa.array([r[0] for r in rows], pa.binary()), *(pa.array(c, pa.int64()) for c in (list(map(len, bodies)), [r[1] for r in rows], [r[2] for r in rows]))], names=out.names)
 
     return full.mapInArrow(freed(run), out).select("carried.*", "left", "n_bytes", "n_removed", "n_spans")
 

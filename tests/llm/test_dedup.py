@@ -175,8 +175,10 @@ def test_group_pairs_links_large_groups():
     rows["key"], rows["n"], rows["fp"] = np.arange(300), np.r_[np.full(200, 50), np.full(100, 90)], rng.integers(0, 1 << 63, 10, dtype=np.uint64)[rng.integers(0, 10, 300)]
     want = [(i, j) for i in range(300) for j in range(i) if rows["n"][i] == rows["n"][j]]
     pairs = group_pairs(rows, 3, 0.8)
-    assert roots(300, [(p["a"], p["b"]) for p in pairs]) == roots(300, want)
-    assert all((rows["fp"][p["a"]] == rows["fp"][p["b"]]) == p["star"] for p in pairs) and len(pairs) < len(want)
+    near = [(p["a"], p["b"]) for p in pairs if p["tree"]]
+    assert len(near) == 280 and all(rows["fp"][a] == rows["fp"][b] and rows["n"][a] == rows["n"][b] for a, b in near)
+    joined = roots(300, near)
+    assert {(p["b"], p["a"]) for p in pairs if not p["tree"]} == {(i, j) for i, j in want if joined[i] != joined[j]}
 
 
 def test_components(spark):
