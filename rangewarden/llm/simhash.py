@@ -18,6 +18,8 @@ from rangewarden.llm.components import components
 
 #: Fingerprints of a tile: a pair of full tiles takes 2^26 comparisons.
 TILE = 8192
+#: Tiles of a strip.
+TOGETHER = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 #: Groups of texts with a common hash up to this size are compared pair by pair; rows of groups at once.
@@ -95,36 +97,52 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarray:
     return np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
 
 
-def near_pairs(fps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+def near_pairs(fps: DataFrame, radius: int, tile: int = TILE, together: int = TOGETHER) -> DataFrame:
     """Edges (a, b) that link all pairs of distinct fingerprints (fp) at most radius bits apart.
 
     Fingerprints are dealt into tiles by the bits set in their two halves; a tile holds at most about
     ``tile`` of them. A pair of tiles whose counts differ by more than the radius in sum is skipped, as
     no pair in it can be near; any other pair of tiles is compared in full by exclusive-or and bit counts.
+    Tiles are dealt into strips of about ``together``; a task compares one strip with another, so a tile
+    travels once for each strip and not once for each tile it meets.
     """
-    batched(fps.sparkSession)
+    spark = fps.sparkSession
+    batched(spark)
     halves = fps.select("fp", F.bit_count(F.shiftrightunsigned("fp", 32)).alias("hi"), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"))
     sizes = halves.groupBy("hi", "lo").agg(F.ceil(F.count("*") / tile).alias("parts"))  # at most 33 x 33 rows
     tiles = halves.join(F.broadcast(sizes), ["hi", "lo"]).withColumn("part", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
     tiles = written(tiles.groupBy("hi", "lo", "part").agg(F.collect_list("fp").alias("fps")))
-    steps = [(x, y) for x in range(radius + 1) for y in range(-radius, radius + 1) if x + abs(y) <= radius and (x, y) >= (0, 0)]
-    ahead = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps]))
-    left = tiles.select("hi", "lo", F.col("part").alias("p"), F.col("fps").alias("a"), ahead.alias("s"))
-    left = left.select((F.col("hi") + F.col("s.x")).alias("hi"), (F.col("lo") + F.col("s.y")).alias("lo"), "p", "a", (F.abs("s.x") + F.abs("s.y") == 0).alias("home"))
-    both = left.join(tiles, ["hi", "lo"]).where("NOT home OR p <= part").select("a", "fps", (F.col("home") & (F.col("p") == F.col("part"))).alias("same"))
+    strips = max(1, -(-tiles.count() // together))
+    # Strip s meets all strips: with itself as (s, s), and with another one as (smaller, larger).
+    own = F.pmod(F.xxhash64("hi", "lo", "part"), F.lit(strips)).cast("int")
+    dealt = tiles.select(own.alias("strip"), "hi", "lo", "part", "fps").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    dealt = dealt.select((F.least("strip", "other") * strips + F.greatest("strip", "other")).alias("block"), "strip", "hi", "lo", "part", "fps")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def block(place: int | None, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for i, (strip, hi, lo, part, a) in enumerate(held):
+            for other, hi2, lo2, part2, b in held[i:]:
+                same = (strip, hi, lo, part) == (other, hi2, lo2, part2)
+                # Tiles of one strip meet in the block of that strip alone.
+                if abs(hi - hi2) + abs(lo - lo2) > radius or strip == other and place != strip * strips + strip:
+                    continue
+                found, both = linked(a, b, radius, same), (a if same else np.r_[a, b]).view(np.int64)
+                if len(found):
+                    yield record(schema, pa.array(both[found[:, 0]]), pa.array(both[found[:, 1]]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b = (np.asarray(batch.column(c)[k].values).view(np.uint64) for c in (0, 1))
-                same = batch.column(2)[k].as_py()
-                found, both_ = linked(a, b, radius, same), (a if same else np.r_[a, b]).view(np.int64)
-                if len(found):
-                    yield record(schema, pa.array(both_[found[:, 0]]), pa.array(both_[found[:, 1]]))
+                place = batch.column(0)[k].as_py()
+                if place != now:
+                    yield from block(now, held)
+                    now, held = place, []
+                held.append((*(batch.column(c)[k].as_py() for c in range(1, 5)), np.array(batch.column(5)[k].values).view(np.uint64)))
+        yield from block(now, held)
 
-    # Dealt anew, as the join puts all pairs of a tile into one task.
-    return both.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(freed(run), "a long, b long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(freed(run), "a long, b long")
 
 
 def simhash_groups(df: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
@@ -137,9 +155,9 @@ def simhash_groups(df: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     docs = written(fingerprints(df, words))
     nodes = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(near_pairs(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    nodes = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    groups = nodes.join(least, "component").select("fp", "component_id")
+    groups = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = groups.groupBy("component").agg(F.min("first").alias("component_id"))
+    groups = groups.join(least, "component").select("fp", "component_id")
     return docs.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -9,7 +9,7 @@ import xxhash
 from rangewarden.llm.components import components
 from rangewarden.llm.embedding_dedup import embedding_groups
 from rangewarden.llm.exact_dedup import exact_dedup, exact_groups
-from rangewarden.llm.simhash import _FIRSTS, fingerprint, group_pairs, linked, near_duplicates, parities, parities_allow, shingle_hashes, simhash_groups
+from rangewarden.llm.simhash import _FIRSTS, fingerprint, group_pairs, linked, near_duplicates, near_pairs, parities, parities_allow, shingle_hashes, simhash_groups
 from rangewarden.llm.suffix_dedup import without_repeats
 
 WORDS = "of the and thing ontion reble ere wh st Of and, THE ét é ß".split()
@@ -98,6 +98,25 @@ def test_simhash(spark):
     assert simhash_groups(df.limit(0), 4, 4).count() == 0
 
 
+def test_strips_of_tiles_miss_no_pair(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, *(base ^ np.uint64(1 << int(k)) ^ np.uint64(1 << int(j)) for k, j in rng.integers(0, 62, (4, 2)))])).view(np.int64)
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    want = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if int(fps.view(np.uint64)[i] ^ fps.view(np.uint64)[j]).bit_count() <= 3])
+    for tile, together in ((3, 4), (50, 1), (8192, 64)):
+        place = {int(x): i for i, x in enumerate(fps)}
+        got = [(place[r["a"]], place[r["b"]]) for r in near_pairs(df, 3, tile, together).collect()]
+        assert roots(len(fps), got) == want
+
+
+def test_long_texts_have_their_fingerprint(spark):
+    rng = random.Random(6)
+    long = " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**4)}" for _ in range(70_000))  # more shingles than are counted at once
+    (r,) = simhash_groups(spark.createDataFrame([(1, long, "x")], "doc_id long, text string, fp string"), 4, 4).collect()
+    assert r["fingerprint"] == f"{brute_fingerprint(long, 4):016x}"
+
+
 def test_linked_in_blocks():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
