@@ -20,7 +20,7 @@ FOLD = 32 << 20
 LAST = (1 << 63) - 1
 _STANDS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("best", pa.int64()), ("best_row", pa.int64()), ("text_sha256", pa.string()), ("content", pa.binary())])
 _STANDS_SQL = "doc_id long, row long, rep long, n long, best long, best_row long, text_sha256 string, content binary"
-_GROUPS = pa.schema([("rep", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
+_MEMBERS = pa.schema([("rep", pa.int64()), ("group", pa.int64())])
 
 
 def _better(a: tuple, b: tuple, largest: bool) -> tuple:
@@ -30,42 +30,47 @@ def _better(a: tuple, b: tuple, largest: bool) -> tuple:
 
 
 def _stand_ins(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa.RecordBatch]:
-    """Each row with the row that stands in for it: the first of equal content in its batch, which alone carries the content."""
+    """Each row with the row that stands in for it (rep): the first of equal content that the task remembers, which alone carries the content.
+
+    Of the rows of a batch that one row stands in for, the first has their number and the best of them.
+    """
+    seen: dict[bytes, int] = {}
+    size = 0
     for b in batches:
-        first: dict[bytes, int] = {}
+        first: dict[bytes, list] = {}
         rows: list[list] = []
         for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             body = text.encode().lower()
-            at = first.setdefault(body, len(rows))
-            if at == len(rows):
-                rows.append([doc, row, row, 1, doc, row, hashlib.sha256(body).hexdigest(), body])
-            else:
-                stand = rows[at]
-                stand[3] += 1
-                stand[4:6] = _better((stand[4], stand[5]), (doc, row), largest)
-                rows.append([doc, row, stand[2], None, None, None, stand[6], None])
+            if (found := first.get(body)) is not None:
+                found[3] += 1
+                found[4:6] = _better((found[4], found[5]), (doc, row), largest)
+                rows.append([doc, row, found[2], None, None, None, found[6], None])
+                continue
+            rep = seen.get(body)
+            rows.append(found := [doc, row, row if rep is None else rep, 1, doc, row, hashlib.sha256(body).hexdigest(), body if rep is None else None])
+            first[body] = found
+        for body, found in first.items():
+            if found[7] is not None:
+                size += len(body) + 100
+                if size > FOLD:
+                    seen.clear()
+                    size = len(body)
+                seen[body] = found[2]
         if rows:
             yield record(_STANDS, *zip(*rows, strict=True))
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa.RecordBatch]:
-    """Over rows in order of content: equal neighbours are one group."""
-    body, reps, best, size = None, [], (None, 0), 0
-
-    def group() -> pa.RecordBatch:
-        return record(_GROUPS, reps, [best[0]] * len(reps), [best[1]] * len(reps), [size] * len(reps))
-
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over stand-ins (rep, content) in order of content: each with the first of the equal ones before it as its group."""
+    last, group = None, None
     for b in batches:
-        for rep, n, doc, row, content in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if content != body:
-                if reps:
-                    yield group()
-                body, reps, best, size = content, [], (doc, row), 0
-            reps.append(rep)
-            size += n
-            best = _better(best, (doc, row), largest)
-    if reps:
-        yield group()
+        groups = []
+        reps = b.column(0).to_pylist()
+        for rep, content in zip(reps, b.column(1).to_pylist(), strict=True):
+            if content != last:
+                last, group = content, rep
+            groups.append(group)
+        yield record(_MEMBERS, reps, groups)
 
 
 def _ranged(df: DataFrame, text: Column) -> DataFrame:
@@ -84,19 +89,23 @@ def exact_groups(df: DataFrame, keep_largest: bool = False) -> DataFrame:
     smallest doc_id stays, or the largest with keep_largest; of rows that also share that doc_id the first stays.
     A null doc_id stays only if its group has no other, and an empty table gives no rows.
 
-    Each batch first collapses its own copies into stand-ins, so a content that fills a third of the
-    table reaches the sort as one row for each batch. Sampled splitters range-partition the contents,
+    Each task first collapses its own copies into stand-ins, so a content that fills a third of the
+    table reaches the sort as a few rows for each task. Sampled splitters range-partition the contents,
     each partition is sorted externally, and equal neighbours are compared in full. Groups go back to
-    the documents by stand-in, whose copies are at most a batch, so no key is hot.
+    the documents by stand-in, whose copies are a task's at most, so no key is hot.
     """
     batched(df.sparkSession)
     found = df.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     # Written once: stand-ins must be the same for the sort and for the way back.
     stands = written(found.mapInArrow(freed(lambda b: _stand_ins(b, keep_largest)), _STANDS_SQL))
-    order = stands.where("content IS NOT NULL").select("rep", "n", "best", "best_row", "content", "text_sha256")
-    order = order.repartitionByRange(F.substring("content", 1, HEAD), "text_sha256").sortWithinPartitions("content").drop("text_sha256")
-    groups = order.mapInArrow(freed(lambda b: _neighbours(b, keep_largest)), "rep long, keep_id long, keep_row long, group_size long")
-    out = stands.select("doc_id", "row", "rep", "text_sha256").join(groups, "rep")
+    order = stands.where("content IS NOT NULL").select("rep", "content", "text_sha256")
+    order = order.repartitionByRange(F.substring("content", 1, HEAD), "text_sha256").sortWithinPartitions("content").select("rep", "content")
+    members = written(order.mapInArrow(freed(_neighbours), "rep long, group long"))
+    place = F.col("best") if keep_largest else F.bitwise_not("best")
+    rank = F.struct(F.col("best").isNotNull().alias("known"), place.alias("place"), F.bitwise_not("best_row").alias("order"), "best", "best_row")
+    parts = stands.where("n IS NOT NULL").select("rep", "n", rank.alias("rank")).join(members, "rep")
+    groups = parts.groupBy("group").agg(F.sum("n").alias("group_size"), F.max("rank").alias("top")).select("group", "group_size", F.col("top.best").alias("keep_id"), F.col("top.best_row").alias("keep_row"))
+    out = stands.select("doc_id", "row", "rep", "text_sha256").join(members.join(groups, "group"), "rep")
     return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
