@@ -12,15 +12,22 @@ _STRICT = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 _CIDR = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}/(?:3[0-2]|[12]?\d)$"
 
 
-def ip_to_long(text: Column) -> Column:
-    """PRJ-6, lenient: 7 to 15 characters, three dots, digits, octets up to 255; leading zeros are read, an empty octet is 0. Anything else is 0."""
-    parts = F.split(text, r"\.")
+def ip_to_long(text: Column, parts: Column | None = None) -> Column:
+    """PRJ-6, lenient: 7 to 15 characters, three dots, digits, octets up to 255; leading zeros are read, an empty octet is 0. Anything else is 0.
+
+    parts: the text split at its dots, where a plan has that in a column already (see once()).
+    """
+    parts = octets(text) if parts is None else parts
     octet = [F.when(p == "", 0).otherwise(p.try_cast("int")) for p in (F.get(parts, F.lit(i)) for i in range(4))]
     value = sum((o.cast("long") * (1 << (24 - 8 * i)) for i, o in enumerate(octet)), F.lit(0).cast("long"))
     fits = F.length(text).between(7, 15) & text.rlike(r"^\d*\.\d*\.\d*\.\d*\z") & (F.greatest(*octet) <= 255)
     return F.when(F.coalesce(fits, F.lit(False)), value).otherwise(F.lit(0).cast("long"))
 
 
+def octets(text: Column) -> Column:
+    return F.split(text, r"\.")
+
+
 def strict_ip_to_long(text: Column) -> Column:
     """The live rule: no leading zeros, no empty octets. Null if it isn't an address."""
     return F.when(text.rlike(_STRICT.replace("$", r"\z")), ip_to_long(text))

@@ -19,11 +19,12 @@ def parse_wall(field: Column) -> Column:
     Digits are required; other characters give null.
     """
     part = lambda at, n: F.substring(field, at, n).try_cast("int")
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS.split()]), F.substring(field, 4, 3)).cast("int")
-    first = F.call_function("make_date", part(8, 4), F.when(month > 0, month), F.lit(1)).cast("timestamp_ntz")
-    seconds = ((part(1, 2) - 1) * 86400 + part(13, 2) * 3600 + part(16, 2) * 60 + part(19, 2)).cast("long")
-    ok = (F.length(field) >= 20) & field.rlike(r"^\d\d.{4,}\d\d") & (month > 0) & (part(8, 4) > 0)
-    return F.when(ok, first + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)")))
+    place = F.instr(F.lit(MONTHS), F.substring(field, 4, 3))
+    month = F.when(place % 4 == 1, ((place + 3) / 4).cast("int"))
+    first = F.call_function("make_date", part(8, 4), month, F.lit(1)).cast("timestamp_ntz")
+    seconds = (part(1, 2) - 1) * 86400 + part(13, 2) * 3600 + part(16, 2) * 60 + part(19, 2)
+    ok = (F.length(field) >= 20) & field.rlike(r"^\d\d.{4,}\d\d") & (part(8, 4) > 0)
+    return F.when(ok, F.timestamp_add("SECOND", seconds, first))
 
 
 def parse_offset(field: Column) -> Column:
@@ -40,7 +41,7 @@ def within(start: tuple[datetime, bool] | None, end: tuple[datetime, bool] | Non
     A bound with an offset (True) compares instants; one without compares wall clocks, whatever the row's zone.
     """
     wall = F.coalesce(F.col("wall_ts"), F.expr(MISSING))
-    instant = wall - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.coalesce(F.col("offset_sec"), F.lit(0)).cast("decimal(18,6)"))
+    instant = F.timestamp_add("SECOND", -F.coalesce(F.col("offset_sec"), F.lit(0)), wall)
     out = None
     for bound, low in ((start, True), (end, False)):
         if bound:

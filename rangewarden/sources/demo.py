@@ -9,10 +9,10 @@ from pyspark.sql import SparkSession
 from rangewarden.sources.synth import FORMAT, synthetic_log
 
 FILES = {
-    "whitelist.txt": "# ranges that are never banned\n66.249.0.0/16   # a search engine\n",
+    "whitelist.txt": "# ranges that are never banned\n35.217.0.0/16   # a partner\n",
     "blacklist.txt": "# ranges that are always banned\n198.51.100.0/24\n",
-    "ua_whitelist.txt": "Googlebot/2.1\nbingbot/2.0\n",
-    "ua_blacklist.txt": "sqlmap/1.7.2\n",
+    "ua_whitelist.txt": "Googlebot/2.1 (+http://www.google.com/bot.html)\nMozilla/5.0 (compatible; bingbot/2.0; +http://www.bing.com/bingbot.htm)\n",
+    "ua_blacklist.txt": "Anubis-OGTag-Fetcher/1.0\n",
 }
 CONFIG = """[global]
 jailFile = "{d}/jail.json"
@@ -32,17 +32,17 @@ clusterArgSets = [[1000, 8, 16, 0.5], [200, 16, 24, 0.2]]
 useForJail = [false, true]
 
 [static.scripts]
-useragentRegex = "curl|python|Go-http"
+useragentRegex = "curl|python"
 clusterArgSets = [[200, 16, 24, 0.3]]
 useForJail = [true]
 
 [static.first_pages]
-endpointRegex = "^/page/[1-9]$"
+endpointRegex = "^/fake-endpoint-[1-9]$"
 clusterArgSets = [[500, 12, 20, 0.3]]
 """
 
 
-def scaffold(spark: SparkSession, folder: str, lines: int = 100_000, seed: int = 1) -> list[str]:
+def scaffold(spark: SparkSession, folder: str, lines: int = 1_000_000, seed: int = 42) -> list[str]:
     """Writes the folder's files and returns their paths; refuses if one of them is there."""
     to = Path(folder).resolve()
     names = [*FILES, "static.toml", "access.log"]

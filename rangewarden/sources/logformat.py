@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rangewarden.functions.ipcalc import ip_to_long
+from rangewarden.functions.ipcalc import ip_to_long, octets
+from rangewarden.functions.once import once
 from rangewarden.functions.times import parse_offset, parse_wall
 
 #: The codes of fields, the default format, and methods.
@@ -67,8 +68,8 @@ def _fragment(f: Field) -> tuple[str, int]:
     return rf' *+(?:{quoted}|{bracket}|(?!["\[])({cls})(?:"|\]|{d})?+)', 3
 
 
-def line_fields(line: Column, fields: list[Field], only: set[str] | None = None) -> dict[str, Column]:
-    """The fields of a line by code. only: those that are wanted; the pattern ends after the last of them."""
+def line_fields(line: Column, fields: list[Field], only: set[str] | None = None) -> tuple[Column, dict[str, int]]:
+    """The fields of a line as one array of texts, and the place of each code in it. only: those that are wanted; the pattern ends after the last of them."""
     wanted = [i for i, f in enumerate(fields) if f.code != "^" and (only is None or f.code in only)]
     pattern, groups, at = "(?s)^", 0, {}
     for i, f in enumerate(fields[: wanted[-1] + 1]):
@@ -78,9 +79,21 @@ def line_fields(line: Column, fields: list[Field], only: set[str] | None = None)
         groups += n
     # Alternatives of one field stand side by side: the ones that didn't take part are empty.
     target = _SEP.join("".join(f"${g}" for g in at[i]) for i in wanted)
-    line = F.regexp_replace(line, r"\r\z", "")
+    line = F.when(F.endswith(line, F.lit("\r")), F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(line)
     parts = F.split(F.when(F.contains(line, F.lit(_SEP)), F.lit("")).otherwise(F.regexp_replace(line, pattern + r".*\z", target)), _SEP)
-    return {fields[i].code: F.coalesce(F.get(parts, F.lit(k)), F.lit("")) for k, i in enumerate(wanted)}
+    return parts, {fields[i].code: k for k, i in enumerate(wanted)}
+
+
+def _field(at: dict[str, int], code: str) -> Column:
+    return F.coalesce(F.get(F.col("_f"), F.lit(at[code])), F.lit("")) if code in at else F.lit("")
+
+
+def _parsed(lines: DataFrame, log_format: str, column: str, only: set[str] | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """A row a line: its fields (_f) and its address (ip), each evaluated once."""
+    parts, at = line_fields(F.col(column), compile_format(log_format), only)
+    host = _field(at, "h")
+    split = once(once(lines, _f=parts), "_f", _o=octets(host))
+    return once(split, "_f", ip=ip_to_long(host, F.col("_o"))), at
 
 
 def static_method(text: Column) -> Column:
@@ -113,22 +126,22 @@ def parse_lines(lines: DataFrame, log_format: str = DEFAULT_FORMAT, column: str
     A field that the format lacks has its zero value. Columns that a query doesn't use are pruned, and
     with them their part of the work; the fields of a line come from one evaluation of the pattern.
     """
-    f = line_fields(F.col(column), compile_format(log_format))
-    none = F.lit("")
-    request, time = f.get("r", none), f.get("t", none)
+    rows, at = _parsed(lines, log_format, column)
+    none, f = F.lit(""), lambda code: _field(at, code)
+    request, time = f("r"), f("t")
     parts = F.split(request, " +")
-    method = F.when(F.lit("m" in f), f.get("m", none)).otherwise(F.get(parts, F.lit(0)))
-    uri = f["U"] if "U" in f else F.coalesce(F.get(parts, F.lit(1)), none)
-    if "U" in f and "r" in f:
-        uri = F.when(f["U"] != "", f["U"]).otherwise(F.coalesce(F.get(parts, F.lit(1)), none))
-    status, bad_status = status_of(f.get("s", none))
-    size, bad_bytes = bytes_of(f.get("b", none))
-    return lines.select(
-        ip_to_long(f["h"]).alias("ip"), parse_wall(time).alias("wall_ts"), parse_offset(time).alias("offset_sec"), static_method(F.coalesce(method, none)).alias("method"),
-        uri.alias("uri"), status.alias("status"), size.alias("bytes"), f.get("u", none).alias("user_agent"), bad_status.alias("bad_status"), bad_bytes.alias("bad_bytes"),
+    method = f("m") if "m" in at else F.get(parts, F.lit(0))
+    uri = f("U") if "U" in at else F.coalesce(F.get(parts, F.lit(1)), none)
+    if "U" in at and "r" in at:
+        uri = F.when(f("U") != "", f("U")).otherwise(F.coalesce(F.get(parts, F.lit(1)), none))
+    status, bad_status = status_of(f("s"))
+    size, bad_bytes = bytes_of(f("b"))
+    return rows.select(
+        "ip", parse_wall(time).alias("wall_ts"), parse_offset(time).alias("offset_sec"), static_method(F.coalesce(method, none)).alias("method"),
+        uri.alias("uri"), status.alias("status"), size.alias("bytes"), f("u").alias("user_agent"), bad_status.alias("bad_status"), bad_bytes.alias("bad_bytes"),
     )
 
 
 def parse_ips(lines: DataFrame, log_format: str = DEFAULT_FORMAT, column: str = "value") -> DataFrame:
     """PRJ-4: addresses alone; the pattern ends after theirs."""
-    return lines.select(ip_to_long(line_fields(F.col(column), compile_format(log_format), {"h"})["h"]).alias("ip"))
+    return _parsed(lines, log_format, column, {"h"})[0].select("ip")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangewarden.functions.ipcalc import parse_cidr, strict_ip_to_long
+from rangewarden.functions.once import once
 from rangewarden.functions.times import parse_offset, parse_wall
 from rangewarden.sources.logformat import live_method
 
@@ -23,6 +24,11 @@ def stream_log(spark: SparkSession, path: str, max_files: int = 100) -> DataFram
     return spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", max_files).text(path).withColumnRenamed("value", "message")
 
 
+def _free(taken: list[str], *names: str) -> list[str]:
+    """Names like these that no column has."""
+    return [next(x for i in range(len(taken) + 1) if (x := f"_{n}{i}") not in taken) for n in names]
+
+
 def parse_messages(events: DataFrame, column: str = "message") -> DataFrame:
     """PRJ-12: requests of live messages (combined log lines), with parse_error for what is rejected, null otherwise.
 
@@ -31,14 +37,17 @@ def parse_messages(events: DataFrame, column: str = "message") -> DataFrame:
     """
     m = F.col(column)
     quoted = r'"((?:[^"\\]|\\.)*)"'
+    keep = events.columns
     ip_text = F.split_part(m, F.lit(" "), F.lit(1))
-    time = F.regexp_extract(m, r"\[([^\]]*)\]", 1)
-    strings = F.regexp_extract_all(m, F.lit(quoted), F.lit(1))
+    time_text = F.regexp_extract(m, r"\[([^\]]*)\]", 1)
+    tail_text = F.trim(F.regexp_extract(m, rf"(?s)^[^\"]*{quoted} *([^\"]*)", 2))
+    names = _free(keep, "strings", "time", "tail", "ip", "wall")
+    events = once(events, *keep, **{names[0]: F.regexp_extract_all(m, F.lit(quoted), F.lit(1)), names[1]: time_text, names[2]: F.split(tail_text, " +")})
+    events = once(events, *keep, *names[:3], **{names[3]: strict_ip_to_long(ip_text), names[4]: parse_wall(F.col(names[1]))})
+    strings, time, tail, ip, wall = map(F.col, names)
     request = F.get(strings, F.lit(0))
-    tail = F.split(F.trim(F.regexp_extract(m, rf"(?s)^[^\"]*{quoted} *([^\"]*)", 2)), " +")
     two = F.size(tail) >= 2
     status, size = F.when(two, F.get(tail, F.lit(0))), F.when(two, F.get(tail, F.lit(1)))
-    ip, wall = strict_ip_to_long(ip_text), parse_wall(time)
     number = lambda c: F.when(c.rlike(r"^[+-]?\d{1,18}\z"), c.try_cast("long"))
     error: Column = (
         F.when(m.isNull() | (m == ""), "no message").when(~F.contains(m, F.lit(" ")), "no fields").when(F.contains(ip_text, F.lit(":")), "not IPv4").when(ip.isNull(), "bad address")
@@ -46,7 +55,7 @@ def parse_messages(events: DataFrame, column: str = "message") -> DataFrame:
     )
     parts = F.split(request, " ")
     return events.select(
-        "*", error.alias("parse_error"), F.coalesce(ip, F.lit(0).cast("long")).alias("ip"), wall.alias("wall_ts"), parse_offset(time).alias("offset_sec"), live_method(F.get(parts, F.lit(0))).alias("method"),
+        *keep, error.alias("parse_error"), F.coalesce(ip, F.lit(0).cast("long")).alias("ip"), wall.alias("wall_ts"), parse_offset(time).alias("offset_sec"), live_method(F.get(parts, F.lit(0))).alias("method"),
         F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("uri"), F.pmod(F.coalesce(number(status), F.lit(0)), F.lit(65536)).cast("int").alias("status"), F.coalesce(F.when(number(size) >= 0, F.pmod(number(size), F.lit(4294967296))), F.lit(0)).cast("long").alias("bytes"),
         F.coalesce(F.get(strings, F.lit(2)), F.lit("")).alias("user_agent"), F.coalesce(two & (status != "-") & number(status).isNull(), F.lit(False)).alias("bad_status"), F.coalesce(two & (size != "-") & number(size).isNull(), F.lit(False)).alias("bad_bytes"),
     )
@@ -67,11 +76,10 @@ def load_patterns(path: str) -> list[str]:
 
 
 def load_cidrs(path: str) -> list[str]:
-    """SRC-10: prefixes of a list file; one that is malformed, or IPv6, is an error that names its line. A bare address stands for its /32."""
+    """SRC-10: prefixes of a list file; an entry that isn't one, such as a bare address or IPv6, is an error that names its line."""
     out = []
     for number, entry in list_lines(path):
-        text = entry if "/" in entry else f"{entry}/32"
-        if parse_cidr(text) is None:
+        if parse_cidr(entry) is None:
             raise ValueError(f"{path}:{number}: {entry!r} is not an IPv4 range")
-        out.append(text)
+        out.append(entry)
     return out

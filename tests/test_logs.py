@@ -3,9 +3,11 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from rangewarden.functions.ipcalc import parse_ip
+from rangewarden.functions.ipcalc import parse_cidr, parse_ip
 from rangewarden.functions.regexes import RegexError, alternatives, matches, required_literal, to_java
 from rangewarden.functions.times import go_duration, parse_flexible, within
+from rangewarden.operators.prefixes import address_counts
+from rangewarden.sources import synth
 from rangewarden.sources.logformat import DEFAULT_FORMAT, compile_format, parse_ips, parse_lines
 from rangewarden.sources.readers import load_cidrs, load_patterns, parse_messages, read_log
 
@@ -93,10 +95,52 @@ def test_small_parsers():
 
 
 def test_list_files(tmp_path):
-    (tmp_path / "l").write_text("# head\n10.0.0.0/8 # x\n\n1.2.3.4\n")
+    (tmp_path / "l").write_text("# head\n10.0.0.0/8 # x\n\n1.2.3.4/32\n")
     assert load_cidrs(str(tmp_path / "l")) == ["10.0.0.0/8", "1.2.3.4/32"]
-    (tmp_path / "b").write_text("10.0.0.0/8\n::1/64\n")
-    with pytest.raises(ValueError, match=":2:"):
-        load_cidrs(str(tmp_path / "b"))
+    for bad in ("::1/64", "1.2.3.4", "1.2.3.4/33", "::ffff:1.2.3.0/120"):
+        (tmp_path / "b").write_text(f"10.0.0.0/8\n{bad}\n")
+        with pytest.raises(ValueError, match=":2:"):
+            load_cidrs(str(tmp_path / "b"))
     (tmp_path / "u").write_text("sqlmap/1.7.2#stable\n")
     assert load_patterns(str(tmp_path / "u")) == ["sqlmap/1.7.2"]
+
+
+def test_a_line_meets_its_pattern_once(spark):
+    lines = spark.createDataFrame([(line(),)], "value string")
+    counted = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
+    assert counted(parse_ips(lines)) == counted(address_counts(parse_ips(lines))) == 1
+    requests = parse_lines(lines)
+    kept = requests.where(matches(F.col("user_agent"), "age") & (F.col("ip") != 0))
+    assert counted(address_counts(kept)) == 1
+    # The size's leading zeros are another pattern.
+    assert counted(requests) <= 3
+
+
+def test_long_lines_are_dropped(spark, tmp_path):
+    (tmp_path / "a.log").write_text(line() + "\n" + line(ua="x" * 5000) + "\n")
+    assert read_log(spark, str(tmp_path / "a.log")).count() == 2 and read_log(spark, str(tmp_path / "a.log"), 5000).count() == 1
+
+
+def test_invented_logs_have_their_shares(spark):
+    rows = parse_lines(synth.synthetic_log(spark, 40_000, 7), synth.FORMAT).collect()
+    assert len(rows) == 40_000 and all(r["ip"] and r["method"] == "GET" and 1800 <= r["bytes"] <= 8800 for r in rows)
+    share = lambda test: sum(map(test, rows)) / len(rows)
+    for net, want in synth.HOT.items():
+        assert abs(share(lambda r, net=net: r["ip"] >> 16 == parse_ip(net.split("/")[0]) >> 16) - want) < 0.004
+    for agent, want in synth.AGENTS.items():
+        assert abs(share(lambda r, agent=agent: r["user_agent"] == agent) - want) < 0.012
+    assert abs(share(lambda r: r["status"] == 200) - 0.6) < 0.012 and abs(share(lambda r: r["uri"] == "/fake-endpoint-1") - 1 / sum(k**-1.1 for k in range(1, 101))) < 0.012
+    assert not any(s <= r["ip"] <= e for r in rows for s, e, _ in map(parse_cidr, synth.RESERVED)) and max(r["ip"] for r in rows) < 224 << 24
+    times = [r["wall_ts"] for r in rows]
+    assert max(times) - min(times) > timedelta(hours=71) and all(abs((t - times[0]).total_seconds() - i * synth.SPAN_SECONDS / len(rows)) <= 601 for i, t in enumerate(times))
+    again = synth.synthetic_log(spark, 50, 7).collect()
+    assert again == synth.synthetic_log(spark, 50, 7).collect() != synth.synthetic_log(spark, 50, 8).collect()
+
+
+def test_random_addresses(spark):
+    for cidr, n in (("10.0.0.0/29", 6), ("10.0.0.4/31", 2), ("10.0.0.9/32", 1)):
+        start, end, _ = parse_cidr(cidr)
+        got = {r["ip"] for r in synth.random_addresses(spark, cidr, 200).collect()}
+        assert len(got) == n and min(got) >= start and max(got) <= end
+    with pytest.raises(ValueError):
+        synth.random_addresses(spark, "nothing", 1)
