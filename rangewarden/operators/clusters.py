@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangewarden.functions.ipcalc import cidr_text, prefix_of, size_of
-from rangewarden.operators.prefixes import percent, prefix_counts, range_counts
+from rangewarden.operators.prefixes import percent, prefix_counts
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,7 @@ class ClusterSet:
         return int(max(self.mean_subnet_difference, 0.0) * 1000)
 
 
-def detect(counts: DataFrame, sets: list[ClusterSet], *by: str) -> DataFrame:
+def detect(counts: DataFrame, sets: list[ClusterSet], *by: str, owners: list | None = None) -> DataFrame:
     """Detected ranges (set_id, start, len, cnt) of address counts, for all sets over one aggregation.
 
     A prefix is a candidate if it has min_size requests, and its depth is max_depth or its halves are
@@ -33,13 +33,19 @@ def detect(counts: DataFrame, sets: list[ClusterSet], *by: str) -> DataFrame:
     along a path, so what a walk from the root would report are the candidates that have no candidate above them. Candidates
     nest or are disjoint, so a running maximum of their ends, in order of their starts, tells.
     The root's own count is 0, so /0 can only be reported for a min_size of 0; its reports count all.
+    owners: for each set the value of the first of the columns ``by`` that it is for; without them each set is for all.
     """
     if not sets:
         raise ValueError("no cluster set")
     lo, hi = min(s.min_depth for s in sets), max(s.max_depth for s in sets)
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("set_id"), F.lit(s.min_size).cast("long").alias("min_size"), F.lit(s.min_depth).alias("min_depth"), F.lit(s.max_depth).alias("max_depth"), F.lit(s.milli).cast("long").alias("milli")) for i, s in enumerate(sets)])).alias("s")
+    known = [
+        F.struct(F.lit(i).alias("set_id"), F.lit(s.min_size).cast("long").alias("min_size"), F.lit(s.min_depth).alias("min_depth"), F.lit(s.max_depth).alias("max_depth"), F.lit(s.milli).cast("long").alias("milli"), F.lit(owners[i] if owners else None).alias("owner"))
+        for i, s in enumerate(sets)
+    ]
     least = min(s.min_size for s in sets)
-    nodes = prefix_counts(counts, lo, hi, *by).where(F.col("cnt") >= least).select("*", each).select("*", "s.*").drop("s")
+    nodes = prefix_counts(counts, lo, hi, *by).where(F.col("cnt") >= least).select("*", F.explode(F.array(*known)).alias("s")).select("*", "s.*").drop("s")
+    if owners:
+        nodes = nodes.where(F.col("owner") == F.col(by[0]))
     balanced = (F.col("l") > 0) & (F.col("r") > 0) & ((F.col("l") == F.col("r")) | (2000 * F.abs(F.col("l") - F.col("r")) < F.col("milli") * F.col("cnt")))
     found = nodes.where("cnt >= min_size AND depth BETWEEN min_depth AND max_depth").where((F.col("depth") == F.col("max_depth")) | balanced)
     start = F.col("prefix") * size_of(F.col("depth"))
@@ -49,8 +55,8 @@ def detect(counts: DataFrame, sets: list[ClusterSet], *by: str) -> DataFrame:
 
 
 def cluster_report(counts: DataFrame, found: DataFrame, *by: str) -> DataFrame:
-    """CLU-4: found ranges as text with their requests and share of all; a /0 counts everything."""
+    """CLU-4: found ranges (with their cnt, as detect() gives them) as text with their requests and share of all; a /0 counts everything."""
     total = counts.groupBy(*by).agg(F.sum("cnt").alias("total"))
-    joined = found.select(*by, "set_id", "start", "len").join(range_counts(counts, found, *by), [*by, "start", "len"])
-    joined = joined.join(F.broadcast(total), list(by)) if by else joined.withColumn("total", F.lit(counts.agg(F.sum("cnt")).first()[0]).cast("long"))
-    return joined.select(*by, "set_id", cidr_text(F.col("start"), F.col("len")).alias("cidr"), F.col("n").alias("requests"), percent(F.col("n"), F.col("total")).alias("percent"))
+    joined = found.join(total, list(by)) if by else found.withColumn("total", F.coalesce(total.scalar(), F.lit(0).cast("long")))
+    requests = F.when(F.col("len") == 0, F.col("total")).otherwise(F.col("cnt"))
+    return joined.select(*by, "set_id", cidr_text(F.col("start"), F.col("len")).alias("cidr"), requests.alias("requests"), percent(requests, F.col("total")).alias("percent"))

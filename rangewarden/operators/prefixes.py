@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rangewarden.functions.ipcalc import prefix_of
@@ -35,10 +35,8 @@ def in_ranges(counts: DataFrame, ranges: DataFrame, *by: str) -> DataFrame:
 
     An equi-join on the length and the prefix: each address is looked up once for each length there is, 33 at most.
     """
-    lengths = [r[0] for r in ranges.select("len").distinct().collect()]
-    if not lengths:
-        return counts.join(ranges.withColumnRenamed("len", "range_len"), [*by], "inner").where("false") if by else counts.join(ranges, F.lit(False))
-    keyed = counts.withColumn("len", F.explode(F.array(*[F.lit(x) for x in sorted(lengths)]))).withColumn("range_prefix", prefix_of(F.col("ip"), F.col("len")))
+    lengths = ranges.agg(F.collect_set("len")).scalar()
+    keyed = counts.withColumn("len", F.explode(lengths)).withColumn("range_prefix", prefix_of(F.col("ip"), F.col("len")))
     return keyed.join(ranges.withColumn("range_prefix", prefix_of(F.col("start"), F.col("len"))), [*by, "len", "range_prefix"]).drop("range_prefix")
 
 
@@ -67,8 +65,3 @@ def stats(requests: DataFrame, *by: str) -> DataFrame:
 def top_talkers(counts: DataFrame, n: int) -> DataFrame:
     """TOP-1: the n addresses of most requests, of equal ones the lower address; none for n <= 0."""
     return counts.orderBy(F.desc("cnt"), "ip").limit(max(0, n))
-
-
-def share_of_total(counts: DataFrame) -> DataFrame:
-    """Each row with the total over all rows; counts is small by nature, as after a cluster search."""
-    return counts.withColumn("total", F.sum("cnt").over(Window.partitionBy()))

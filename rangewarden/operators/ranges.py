@@ -7,12 +7,17 @@ looked up once for each shorter length there is. Nothing compares all ranges wit
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rangewarden.functions.ipcalc import cidr_bounds, cidr_text, prefix_of, size_of
 from rangewarden.shipping import ship
 
+#: The length of the prefixes by which ranges are dealt.
+BLOCK = 8
+#: No length: a range that can't be joined.
+BAR = 99
+
 
 def parsed(df: DataFrame, column: str = "cidr") -> DataFrame:
     """df with start, end and len of its prefixes; nulls where the text isn't one."""
@@ -25,51 +30,111 @@ def _ends(df: DataFrame) -> DataFrame:
 
 
 def remove_contained(ranges: DataFrame, *by: str) -> DataFrame:
-    """MRG-2: ranges (start, len) that no other one contains; of equal ones one stays."""
-    df = _ends(ranges.select(*by, "start", "len").distinct())
+    """MRG-2: ranges (start, len) that no other one contains; of equal ones one stays.
+
+    Ranges of a /8 are one partition of the window. Shorter prefixes, 255 at most in a group, are compared among
+    themselves, and what lies in a /8 that one of them holds goes.
+    """
+    df = ranges.select(*by, "start", "len").distinct()
+    short = _outermost(df.where(F.col("len") < BLOCK), *by)
+    blocks = short.select(*by, F.explode(F.sequence(_block("start"), _block(F.col("start") + size_of(F.col("len")) - 1))).alias("block")).distinct()
+    long = df.where(F.col("len") >= BLOCK).withColumn("block", _block("start")).join(blocks, [*by, "block"], "left_anti")
+    return short.union(_outermost(long, *by, "block").select(*by, "start", "len"))
+
+
+def _block(address: Column | str) -> Column:
+    """The /8 of an address."""
+    return prefix_of(F.col(address) if isinstance(address, str) else address, BLOCK)
+
+
+def _outermost(df: DataFrame, *by: str) -> DataFrame:
     before = Window.partitionBy(*by).orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("reach", F.max("end").over(before)).where("reach IS NULL OR reach < end").select(*by, "start", "len")
+    return _ends(df).withColumn("reach", F.max("end").over(before)).where("reach IS NULL OR reach < end").select(*by, "start", "len")
 
 
 def merge_siblings(ranges: list[tuple[int, int]], passes: int = 2) -> list[tuple[int, int]]:
     """MRG-3, 4: left-to-right passes that join two halves of a prefix. Two passes, and not until nothing changes: that is the rule."""
     now = sorted(ranges)
     for _ in range(passes):
-        out: list[tuple[int, int]] = []
-        for start, length in now:
-            size = 1 << (32 - length)
-            if out and out[-1] == (start - size, length) and (start - size) % (2 * size) == 0:
-                out[-1] = (start - size, length - 1)
-            else:
-                out.append((start, length))
-        now = out
+        now = _pass(now)
     return now
 
 
+def _pass(items: list[tuple[int, int]], arrives: list[bool] | None = None) -> list[tuple[int, int]]:
+    """A pass over items in order; one that doesn't arrive, but was made in its place, isn't joined with the one before it."""
+    out: list[tuple[int, int]] = []
+    for i, (start, length) in enumerate(items):
+        size = 1 << (32 - length) if length <= 32 else 0
+        if size and out and (arrives is None or arrives[i]) and out[-1] == (start - size, length) and (start - size) % (2 * size) == 0:
+            out[-1] = (start - size, length - 1)
+        else:
+            out.append((start, length))
+    return out
+
+
+def _merged_block(items: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Both passes within a /8, as (kind, start, len): kind tells when all of the /8 was one range, if it was: at first (0), after a pass (1, 2), or never (the rows, and a bar)."""
+    items = sorted(items)
+    for kind in "012":
+        if len(items) == 1 and items[0][1] == BLOCK:
+            return [(kind, *items[0])]
+        if kind != "2":
+            items = _pass(items)
+    return [("bar", items[0][0], BAR), *(("done", *x) for x in items)]
+
+
+def _stitched(rows: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Both passes over the /8s of _merged_block() and shorter ranges (kind 0): a bar stands for what can't be joined."""
+    rows = sorted(rows, key=lambda x: x[1])
+    first = _pass([(s, BAR if k == "2" else n) for k, s, n in rows], [k == "0" for k, _, _ in rows])
+    late = {s for k, s, _ in rows if k == "2"}
+    second = [(s, BLOCK if s in late and n == BAR else n) for s, n in first]
+    return [x for x in _pass(second, [s not in late or n != BAR for s, n in first]) if x[1] != BAR]
+
+
 def merge_ranges(ranges: DataFrame, *by: str) -> DataFrame:
-    """MRG-1: what contains no other, with neighbouring halves joined by two passes. A group is one cluster set's ranges, so it is small."""
+    """MRG-1: what contains no other, with neighbouring halves joined by two passes.
+
+    Each /8 is merged by itself. What is then one /8 as a whole, and shorter prefixes, 511 at most in a group, are merged
+    in the same two passes, as if all had been one list.
+    """
     ship(ranges.sparkSession)
     plain = remove_contained(ranges, *by)
-    keys = list(by) or ["_all"]
-    plain = plain if by else plain.withColumn("_all", F.lit(0))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name in by]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged = merge_siblings(list(zip(pdf["start"].tolist(), pdf["len"].tolist(), strict=True)))
-        out = pd.DataFrame(merged, columns=["start", "len"])
-        for k in keys:
-            out.insert(0, k, pdf[k].iloc[0])
-        return out[[*keys, "start", "len"]]
+    def of_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_merged_block(list(zip(pdf["start"].tolist(), pdf["len"].tolist(), strict=True))), columns=["kind", "start", "len"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in by})[[*by, "kind", "start", "len"]]
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name in keys), "start long", "len int"])
-    return plain.groupBy(*keys).applyInPandas(fold, schema).select(*by, "start", "len")
+    def of_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_stitched(list(zip(pdf["kind"].tolist(), pdf["start"].tolist(), pdf["len"].tolist(), strict=True))), columns=["start", "len"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in by})[[*by, "start", "len"]]
+
+    blocks = plain.where(F.col("len") >= BLOCK).withColumn("block", _block("start")).groupBy(*by, "block").applyInPandas(of_block, ", ".join([*fields, "kind string", "start long", "len int"]))
+    rest = blocks.where("kind <> 'done'").union(plain.where(F.col("len") < BLOCK).select(*by, F.lit("0").alias("kind"), "start", "len"))
+    stitched = rest.groupBy(*by).applyInPandas(of_group, ", ".join([*fields, "start long", "len int"]))
+    return blocks.where("kind = 'done'").select(*by, "start", "len").union(stitched)
 
 
 def interval_union(ranges: DataFrame, *by: str) -> DataFrame:
-    """RNG-1: intervals (start, end) joined where they overlap or touch."""
+    """RNG-1: intervals (start, end) joined where they overlap or touch.
+
+    Intervals are cut at the borders of the /8s, whose parts are joined by themselves; of the results only those
+    at a border, two at most in each /8, meet once more.
+    """
+    df = _ends(ranges).select(*by, "start", "end")
+    parts = df.withColumn("block", F.explode(F.sequence(_block("start"), _block("end")))).withColumns({"lo": F.col("block") * size_of(BLOCK), "hi": (F.col("block") + 1) * size_of(BLOCK) - 1})
+    parts = parts.select(*by, "block", F.greatest("start", "lo").alias("start"), F.least("end", "hi").alias("end"))
+    joined = _islands(parts, *by, "block")
+    border = (F.col("start") % size_of(BLOCK) == 0) | (F.col("end") % size_of(BLOCK) == size_of(BLOCK) - 1)
+    return joined.where(~border).select(*by, "start", "end").union(_islands(joined.where(border), *by))
+
+
+def _islands(df: DataFrame, *by: str) -> DataFrame:
     order = Window.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0)
-    marked = _ends(ranges).select(*by, "start", "end").withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = df.select(*by, "start", "end").withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
@@ -86,12 +151,11 @@ def cover(intervals: DataFrame) -> DataFrame:
     return blocks.where(outside).select(*rest, (F.col("b") * F.col("z")).alias("start"), "len")
 
 
-def _within(inner: DataFrame, outer: DataFrame, how: str) -> DataFrame:
+def _within(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """inner's rows (key, start, len) joined with the outer prefixes (wstart, wlen) that contain them."""
-    lengths = sorted(r[0] for r in outer.select("wlen").distinct().collect())  # 33 at most
-    looked = inner.withColumn("wlen", F.explode(F.array(*[F.lit(x) for x in lengths]))) if lengths else inner.withColumn("wlen", F.lit(None).cast("int"))
-    looked = looked.where("wlen <= len").withColumn("wprefix", prefix_of(F.col("start"), F.col("wlen")))
-    return looked.join(outer.withColumn("wprefix", prefix_of(F.col("wstart"), F.col("wlen"))), ["wlen", "wprefix"], how)
+    lengths = outer.agg(F.collect_set("wlen")).scalar()  # 33 at most
+    looked = inner.withColumn("wlen", F.explode(lengths)).where("wlen <= len").withColumn("wprefix", prefix_of(F.col("start"), F.col("wlen")))
+    return looked.join(outer.withColumn("wprefix", prefix_of(F.col("wstart"), F.col("wlen"))), ["wlen", "wprefix"])
 
 
 def _white(white: DataFrame) -> DataFrame:
@@ -102,7 +166,7 @@ def _white(white: DataFrame) -> DataFrame:
 def drop_fully_whitelisted(black: DataFrame, white: DataFrame) -> DataFrame:
     """RNG-5, JOIN-2: ranges (cidr) that no single entry of the whitelist contains; texts that aren't prefixes stay."""
     df = black.select(F.monotonically_increasing_id().alias("ord"), "cidr") if "ord" not in black.columns else black.select("ord", "cidr")
-    inside = _within(parsed(df).where("start IS NOT NULL"), _white(white), "inner").select("cidr").distinct()
+    inside = _within(parsed(df).where("start IS NOT NULL"), _white(white)).select("cidr").distinct()
     return df.join(inside, "cidr", "left_anti").select("ord", "cidr")
 
 
@@ -115,11 +179,11 @@ def remove_whitelisted(black: DataFrame, white: DataFrame) -> DataFrame:
     rows = parsed(black.select("ord", "cidr"))
     whole = rows.where("start IS NOT NULL")
     w = _white(white)
-    inside = _within(whole, w, "inner").select("ord").distinct()
+    inside = _within(whole, w).select("ord").distinct()
     left = whole.join(inside, "ord", "left_anti")
     # Entries inside a range: here the entry is looked up among the ranges.
     as_outer = left.select(F.col("start").alias("wstart"), F.col("len").alias("wlen"), "ord", F.col("end").alias("bend"))
-    holes = _within(w.select(F.col("wstart").alias("start"), F.col("wlen").alias("len")), as_outer, "inner").select("ord", F.col("wstart").alias("bstart"), "bend", "start", (F.col("start") + size_of(F.col("len")) - 1).alias("end"))
+    holes = _within(w.select(F.col("wstart").alias("start"), F.col("wlen").alias("len")), as_outer).select("ord", F.col("wstart").alias("bstart"), "bend", "start", (F.col("start") + size_of(F.col("len")) - 1).alias("end"))
     order = Window.partitionBy("ord").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = holes.withColumn("from", F.coalesce(reach + 1, "bstart")).withColumn("last", F.row_number().over(Window.partitionBy("ord").orderBy(F.desc("end"), F.desc("start"))) == 1)
@@ -143,6 +207,6 @@ def covered_by_union(black: DataFrame, white: DataFrame) -> DataFrame:
 def overlapping(black: DataFrame, white: DataFrame) -> DataFrame:
     """JOIN-4: ranges (ord, cidr) that share an address with the whitelist."""
     whole, w = parsed(black.select("ord", "cidr")).where("start IS NOT NULL"), _white(white)
-    inside = _within(whole, w, "inner").select("ord")
-    around = _within(w.select(F.col("wstart").alias("start"), F.col("wlen").alias("len")), whole.select(F.col("start").alias("wstart"), F.col("len").alias("wlen"), "ord"), "inner").select("ord")
+    inside = _within(whole, w).select("ord")
+    around = _within(w.select(F.col("wstart").alias("start"), F.col("wlen").alias("len")), whole.select(F.col("start").alias("wstart"), F.col("len").alias("wlen"), "ord")).select("ord")
     return whole.select("ord", "cidr").join(inside.union(around).distinct(), "ord", "left_semi")

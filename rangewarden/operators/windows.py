@@ -6,16 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A bound on size from here on is none: no window can hold so many rows.
+UNBOUNDED = 1 << 31
+
+
 def survivors(rows: DataFrame, cutoff: Column, max_size: int, *by: str) -> DataFrame:
     """Rows (ts, arrival) left in a queue: old ones leave from its head up to the first that is young enough, then the earliest arrivals beyond max_size.
 
     A young row shields older ones that arrived after it. Apply it to the last survivors with each batch;
     over a whole history it differs, as the size can push out a row that shielded others.
     """
-    young = F.when(F.col("ts") >= cutoff, 1).otherwise(0)
-    order = Window.partitionBy(*by).orderBy("arrival")
-    rows = rows.withColumn("open", F.max(young).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("open = 1").drop("open")
-    return rows.withColumn("back", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("arrival")))).where(F.col("back") <= max_size).drop("back")
+    young = F.min(F.when(F.col("ts") >= cutoff, F.col("arrival")))
+    if by:
+        first = rows.groupBy(*by).agg(young.alias("first"))
+        rows = rows.join(first, list(by)).where("arrival >= first").drop("first")
+        return rows.withColumn("back", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("arrival")))).where(F.col("back") <= max_size).drop("back")
+    rows = rows.where(F.col("arrival") >= rows.agg(young).scalar())
+    # The latest arrivals of each task, then those of all: no task gets more than the bound from each.
+    return rows if max_size >= UNBOUNDED else rows.orderBy(F.desc("arrival")).limit(max_size)
 
 
 def address_stats(rows: DataFrame, *by: str) -> DataFrame:

@@ -5,6 +5,7 @@ from rangewarden.functions.ipcalc import format_cidr, parse_cidr
 from rangewarden.operators import ranges
 from rangewarden.plans.static import merge
 
+#: Fixed values (FIXTURES.md): ranges and what is left of them, merged or less a whitelist.
 MERGES = [
     ("192.168.1.2/32 192.168.1.3/32", "192.168.1.2/31"),
     ("10.0.0.0/24 10.0.0.128/25", "10.0.0.0/24"),
@@ -102,3 +103,36 @@ def test_published_ranges_never_hold_whitelisted_addresses(spark):
 def test_union_joins_neighbours(spark):
     got = ranges.interval_union(spark.createDataFrame([(0, 9), (10, 12), (14, 15), (3, 4)], "start long, end long")).collect()
     assert sorted(map(tuple, got)) == [(0, 12), (14, 15)]
+
+
+def random_ranges(rng, n, least, most, spread=32):
+    return sorted({(rng.randrange(1 << min(k, spread)) << (32 - k), k) for k in (rng.randint(least, most) for _ in range(n))})
+
+
+def test_merging_blocks_is_merging_all(spark):
+    rng = random.Random(3)
+    cases = [random_ranges(rng, n, lo, hi) for n, lo, hi in [(30, 5, 10), (60, 7, 10), (200, 8, 10), (300, 8, 9), (40, 1, 9), (500, 9, 11)] for _ in range(6)]
+    cases += [[(a << 24, 8) for a in range(256)], [(a << 23, 9) for a in range(512)], [(a << 22, 10) for a in range(1024)], [(a << 23, 9) for a in range(2)] + [(a << 24, 8) for a in range(1, 4)]]
+    rows = [(i, *r) for i, x in enumerate(cases) for r in x]
+    got = ranges.merge_ranges(spark.createDataFrame(rows, "k int, start long, len int"), "k").collect()
+    for i, x in enumerate(cases):
+        assert sorted((r["start"], r["len"]) for r in got if r["k"] == i) == sorted(merge(x)), i
+    (one,) = (c for c in cases if len(c) == 512)
+    assert sorted(map(tuple, ranges.merge_ranges(spark.createDataFrame(one, "start long, len int")).collect())) == sorted(merge(one))
+
+
+def test_outermost_and_union_across_blocks(spark):
+    rng = random.Random(4)
+    found = random_ranges(rng, 150, 3, 12) + random_ranges(rng, 150, 12, 30, 14) * 2
+    df = spark.createDataFrame(found, "start long, len int")
+    size = lambda n: 1 << (32 - n)
+    want = {(s, n) for s, n in found if not any((s, n) != (a, m) and a <= s and s + size(n) <= a + size(m) for a, m in found)}
+    assert sorted(map(tuple, ranges.remove_contained(df).collect())) == sorted(want)
+    spans = [(s, min((1 << 32) - 1, s + rng.choice([0, 5, 1 << 20, 1 << 26]))) for s, _ in found] + [(0, 3 << 24), ((3 << 24) + 1, 4 << 24)]
+    joined = []
+    for s, e in sorted(spans):
+        if joined and s <= joined[-1][1] + 1:
+            joined[-1][1] = max(joined[-1][1], e)
+        else:
+            joined.append([s, e])
+    assert sorted(map(list, ranges.interval_union(spark.createDataFrame(spans, "start long, end long")).collect())) == joined
