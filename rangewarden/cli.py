@@ -7,15 +7,15 @@ import json
 import logging
 import signal
 import sys
-import tempfile
 import threading
 
 from pyspark.sql import SparkSession
 
 from rangewarden.functions.times import go_duration
-from rangewarden.plans.config import Config, ConfigError, from_flags, load_config
+from rangewarden.plans.config import Config, ConfigError, check_logging, from_flags, load_config
 
 LEVELS = {"debug": logging.DEBUG, "info": logging.INFO, "warn": logging.WARNING, "error": logging.ERROR}
+log = logging.getLogger("rangewarden")
 
 
 class JsonLines(logging.Formatter):
@@ -23,15 +23,14 @@ class JsonLines(logging.Formatter):
         return json.dumps({"time": self.formatTime(record), "level": record.levelname, "msg": record.getMessage()})
 
 
-def set_up_logging(level: str = "info", form: str = "text") -> None:
-    """SNK-9: leveled lines on standard error, as text or JSON."""
-    if level not in LEVELS or form not in ("text", "json"):
-        raise ConfigError([f"log: unknown level or format: {level}, {form}"])
+def set_up_logging(level: str = "", form: str = "") -> None:
+    """SNK-9: leveled lines on standard error, as text or JSON; info and text where nothing is given."""
+    check_logging(level, form)
     handler = logging.StreamHandler(sys.stderr)
-    handler.setFormatter(JsonLines() if form == "json" else logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    handler.setFormatter(JsonLines() if form.lower() == "json" else logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
     own = logging.getLogger("rangewarden")
     own.handlers, own.propagate = [handler], False
-    own.setLevel(LEVELS[level])
+    own.setLevel(LEVELS[level.lower() or "info"])
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,8 +42,8 @@ def parser() -> argparse.ArgumentParser:
         for flag in ("--jail-file", "--ban-file", "--whitelist", "--blacklist", "--ua-whitelist", "--ua-blacklist", "--user-agent-regex", "--endpoint-regex"):
             m.add_argument(flag)
         m.add_argument("--cluster-set", action="append", dest="cluster_sets", help="minSize,minDepth,maxDepth,difference")
-        m.add_argument("--log-level", default="info", choices=sorted(LEVELS))
-        m.add_argument("--log-form", default="text", choices=("text", "json"))
+        m.add_argument("--log-level", help="debug, info, warn or error")
+        m.add_argument("--log-form", help="text or json")
         if mode == "static":
             for flag in ("--log-file", "--log-format", "--start", "--end", "--plot-path"):
                 m.add_argument(flag)
@@ -59,8 +58,8 @@ def parser() -> argparse.ArgumentParser:
             m.add_argument("--sleep", type=go_duration)
     g = modes.add_parser("generate")
     g.add_argument("folder")
-    g.add_argument("--lines", type=int, default=100_000)
-    g.add_argument("--seed", type=int, default=1)
+    g.add_argument("--lines", type=int, default=1_000_000)
+    g.add_argument("--seed", type=int, default=42)
     return p
 
 
@@ -77,10 +76,14 @@ def configured(args: argparse.Namespace) -> Config:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        set_up_logging(getattr(args, "log_level", "info"), getattr(args, "log_form", "text"))
-        if args.mode != "generate":
+        if args.mode == "generate":
+            set_up_logging()
+        else:
             config = configured(args)
             config.validate(args.mode)
+            # A flag goes before the file.
+            set_up_logging(args.log_level or config.log_level, args.log_form or config.log_form)
+            log.info("%s analysis begins", args.mode)
     except (ConfigError, OSError, ValueError) as e:
         print(e, file=sys.stderr)
         return 1
@@ -105,9 +108,10 @@ def run_live(spark: SparkSession, config: Config, landing: str | None) -> None:
     from rangewarden.sources.lumberjack import LumberjackServer, stream_events
     from rangewarden.streaming.live import LiveEngine, serve
 
-    landing = landing or tempfile.mkdtemp(prefix="rangewarden-landing-")
-    source = LumberjackServer(landing, port=int(config.port))
+    landing = landing or f"{shared_dir(spark)}/landing"
+    source = LumberjackServer(landing, port=int(config.port), read_timeout=config.read_timeout.total_seconds())
     engine = LiveEngine(spark, config, f"{shared_dir(spark)}/live")
+    engine.attach(source)
     query = engine.start(stream_events(spark, landing), f"{shared_dir(spark)}/live-checkpoint")
     server, beat, done = serve(engine, config.stats_listen) if config.stats_listen else None, engine.beat(), threading.Event()
     for s in (signal.SIGINT, signal.SIGTERM):

@@ -31,7 +31,7 @@ def to_plain(report: dict) -> str:
             out.append(f"Set {a['min_size']},{a['min_depth']},{a['max_depth']},{a['mean_subnet_difference']:g}: {len(c['merged_ranges'])} ranges, {total:,} requests ({share:.2f}%)")
             out += [f"  {r['cidr']:<18} {r['requests']:>12,} {r['percentage']:>7.2f}%" for r in c["merged_ranges"]]
     for kind in ("warnings", "errors"):
-        out += [f"{kind[:-1].title()}: {w['type']}: {w['message']}" for w in report.get(kind, [])]
+        out += [f"{kind[:-1].title()}: {w['type']}: {w['message']}" for w in report.get(kind, []) if w["type"] != "info"]
     return "\n".join(out) + "\n"
 
 
@@ -56,6 +56,13 @@ def metric(name: str, kind: str, text: str, samples: list[tuple[dict, float]]) -
     return "\n".join([f"# HELP {name} {text}", f"# TYPE {name} {kind}", *rows]) + "\n"
 
 
+_SOURCE = (
+    ("received_batches", "batches_total", "counter", "Batches that the source received."), ("received_events", "events_total", "counter", "Events that the source received."),
+    ("source_errors", "errors_total", "counter", "Connections that ended in an error."), ("last_received", "last_batch_timestamp_seconds", "gauge", "Time of the source's last batch."),
+    ("queue_depth", "queue_depth", "gauge", "Events received and not processed."),
+)
+
+
 def metrics(snapshot: dict) -> str:
     """A live snapshot in the text format of metric scrapers."""
     p, w, j, i = "rangewarden_", snapshot["windows"], snapshot["jail"], snapshot["ingest"]
@@ -70,6 +77,7 @@ def metrics(snapshot: dict) -> str:
         metric(f"{p}ingest_requests_total", "counter", "Requests received.", [({}, i["requests"])]),
         metric(f"{p}ingest_parse_errors_total", "counter", "Messages refused.", [({}, i["parse_errors"])]),
         metric(f"{p}ingest_malformed_total", "counter", "Malformed fields.", [({}, i["malformed"])]),
+        *(metric(f"{p}source_{name}", kind, text, [({}, i[key])]) for key, name, kind, text in _SOURCE if key in i),
         metric(f"{p}window_requests", "gauge", "Requests in the window.", each("requests")),
         metric(f"{p}window_unique_ips", "gauge", "Addresses in the window.", each("unique_ips")),
         metric(f"{p}window_max_requests", "gauge", "The window's bound.", each("max_size")),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rangewarden.functions.ipcalc import format_cidr, parse_cidr
 from rangewarden.operators import clusters, filters, prefixes, ranges
+from rangewarden.operators.grids import grid
 from rangewarden.operators.jail import ban_file, load_jail, save_jail, write_atomic
 from rangewarden.plans.config import Config, Trie
 from rangewarden.sources.logformat import parse_ips, parse_lines
@@ -21,31 +22,45 @@ def _pass(trie: Trie) -> Column:
     return F.lit(True) if keep is None else keep
 
 
+#: Stands in a trie's place for all lines, whatever they hold.
+ALL = -1
+
+
 def trie_counts(requests: DataFrame, tries: list[Trie]) -> DataFrame:
     """All tries over one scan: for each trie, address and verdict (invalid addresses too) the requests that pass its filter.
 
-    A request becomes one row with the numbers of the tries it passes, and partial sums travel from there.
+    A request becomes one row with the numbers of the tries it passes, and partial sums travel from there. The trie
+    ALL has one row for all requests, with those whose status (bad_status) and size (bad_bytes) is malformed.
     """
-    numbers = F.filter(F.array(*[F.when(_pass(t), F.lit(i)) for i, t in enumerate(tries)]), lambda x: x.isNotNull())
-    verdict = F.col("verdict") if "verdict" in requests.columns else F.lit(None).cast("int")
-    return requests.select(F.explode(numbers).alias("trie"), "ip", verdict.alias("verdict")).groupBy("trie", "ip", "verdict").agg(F.count("*").alias("cnt"))
+    numbers = F.filter(F.array(F.lit(ALL), *[F.when(_pass(t), F.lit(i)) for i, t in enumerate(tries)]), lambda x: x.isNotNull())
+    own = lambda c: F.col(c) if c in requests.columns else F.lit(None)
+    each = requests.select(F.explode(numbers).alias("trie"), "ip", own("verdict").cast("int").alias("verdict"), *[F.coalesce(own(c).cast("int"), F.lit(0)).alias(c) for c in ("bad_status", "bad_bytes")])
+    of_trie = lambda c: F.when(F.col("trie") != ALL, F.col(c)).alias(c)
+    bad = [F.sum(F.when(F.col("trie") == ALL, F.col(c)).otherwise(0)).alias(c) for c in ("bad_status", "bad_bytes")]
+    return each.groupBy("trie", of_trie("ip"), of_trie("verdict")).agg(F.count("*").alias("cnt"), *bad)
+
 
+def analyse(spark: SparkSession, requests: DataFrame, tries: list[Trie], agents: DataFrame | None = None, plot: bool = False) -> dict:
+    """The report: for each trie its counters, ranges and clusters, detected and merged. What reaches the driver are counters, found ranges and listed addresses.
 
-def analyse(spark: SparkSession, requests: DataFrame, tries: list[Trie], agents: DataFrame | None = None) -> dict:
-    """The report: for each trie its counters, ranges and clusters, detected and merged. What reaches the driver are counters and found ranges."""
+    plot: also the requests of each /16, as cells.
+    """
     if agents is not None:
         requests = filters.with_verdict(requests, agents)
-    every = trie_counts(requests, tries).persist()
+    asked_for = [*tries, Trie("")] if plot else tries
+    every = trie_counts(requests, asked_for).persist()
     try:
         n = lambda c: F.coalesce(F.sum(F.when(c, F.col("cnt")).otherwise(0)), F.lit(0)).cast("long")
         valid, white = F.col("ip") != 0, F.col("verdict").eqNullSafe(1)
-        stats = {r["trie"]: r for r in every.groupBy("trie").agg(n(~valid).alias("invalid"), n(valid & white).alias("white"), n(valid & F.col("verdict").eqNullSafe(-1)).alias("black"), n(valid & ~white).alias("total"), F.countDistinct(F.when(valid & ~white, F.col("ip"))).alias("unique")).collect()}
-        counts = every.where(valid & ~white).groupBy("trie", "ip").agg(F.sum("cnt").alias("cnt"))
+        of_trie = every.where(F.col("trie") != ALL)
+        stats = {r["trie"]: r for r in every.groupBy("trie").agg(n(~valid).alias("invalid"), n(valid & white).alias("white"), n(valid & F.col("verdict").eqNullSafe(-1)).alias("black"), n(valid & ~white).alias("total"), F.countDistinct(F.when(valid & ~white, F.col("ip"))).alias("unique"), F.sum("cnt").alias("lines"), F.sum("bad_status").alias("bad_status"), F.sum("bad_bytes").alias("bad_bytes")).collect()}
+        counts = of_trie.where(valid & ~white).groupBy("trie", "ip").agg(F.sum("cnt").alias("cnt"))
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for i, t in enumerate(tries):
-            if t.sets:
-                for r in clusters.detect(counts.where(F.col("trie") == i), list(t.sets)).orderBy("set_id", "start", "len").collect():
-                    found.setdefault((i, r["set_id"]), []).append((r["start"], r["len"]))
+        sets = [(i, k, s) for i, t in enumerate(tries) for k, s in enumerate(t.sets) if 0 <= s.min_depth <= s.max_depth <= 32]
+        errors = [{"type": "invalid_depth_params", "message": f"{t.name}: depths {s.min_depth} to {s.max_depth} are not within 0 to 32, the set is left out"} for t in tries for s in t.sets if not 0 <= s.min_depth <= s.max_depth <= 32]
+        if sets:
+            for r in clusters.detect(counts, [s for _, _, s in sets], "trie", owners=[i for i, _, _ in sets]).orderBy("set_id", "start", "len").collect():
+                found.setdefault(sets[r["set_id"]][:2], []).append((r["start"], r["len"]))
         merged = {k: merge(v) for k, v in found.items()}
         asked = {(i, *r) for (i, _), v in [*found.items(), *merged.items()] for r in v} | {(i, b[0], b[2]) for i, t in enumerate(tries) for x in t.ranges if (b := parse_cidr(x))}
         held = _requests(spark, counts, asked)
@@ -65,11 +80,15 @@ def analyse(spark: SparkSession, requests: DataFrame, tries: list[Trie], agents:
                 "clusters": [{"set": {"min_size": c.min_size, "min_depth": c.min_depth, "max_depth": c.max_depth, "mean_subnet_difference": c.mean_subnet_difference, "use_for_jail": c.use_for_jail}, "detected_ranges": [row(r) for r in found.get((i, k), [])], "merged_ranges": [row(r) for r in merged.get((i, k), [])]} for k, c in enumerate(t.sets)],
                 "warnings": warnings,
             })
-        lists = {v: [format_cidr(r[0], 32) for r in every.where(valid & (F.col("verdict") == v)).select("ip").distinct().orderBy("ip").collect()] for v in ((1, -1) if agents is not None else ())}
+        listed = of_trie.where(valid & F.col("verdict").isin(1, -1)).select("verdict", "ip").distinct().orderBy("ip").collect() if agents is not None else []
+        lists = {v: [format_cidr(r["ip"], 32) for r in listed if r["verdict"] == v] for v in (1, -1)}
+        cells = [(r["o1"], r["o2"], r["n"]) for r in grid(of_trie.where(valid & (F.col("trie") == len(tries))).select("ip", "cnt")).collect()] if plot else []
     finally:
         every.unpersist()
     out.sort(key=lambda x: x["name"])
-    return {"general": {"unique_ips": max((x["stats"]["unique_ips"] for x in out), default=0)}, "tries": out, "ua_whitelist_ips": lists.get(1, []), "ua_blacklist_ips": lists.get(-1, [])}
+    whole = stats.get(ALL)
+    lines = {"total_requests": whole["lines"], "bad_status": whole["bad_status"], "bad_bytes": whole["bad_bytes"]} if whole else {"total_requests": 0, "bad_status": 0, "bad_bytes": 0}
+    return {"general": {"unique_ips": max((x["stats"]["unique_ips"] for x in out), default=0)}, "tries": out, "ua_whitelist_ips": lists[1], "ua_blacklist_ips": lists[-1], "lines": lines, "cells": cells, "errors": errors}
 
 
 def merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -107,28 +126,29 @@ def run_static(spark: SparkSession, config: Config, now: datetime | None = None)
     """SRC to JAIL-9 for a configuration: checks it, analyses its log, updates jail and ban file, returns the report."""
     config.validate("static")
     began, now, lists = time.time(), now or datetime.now(timezone.utc), config.lists()
-    lines = read_log(spark, config.log_file)
+    lines = read_log(spark, config.log_file, config.max_line_length)
     listed = lists["ua_whitelist"] or lists["ua_blacklist"]
-    plain = not listed and not any(t.filtered for t in config.tries) and not config.plot_path
+    plain = not listed and not any(t.filtered for t in config.tries)
     requests = parse_ips(lines, config.log_format) if plain else parse_lines(lines, config.log_format)
     agents = filters.user_agent_list(spark, lists["ua_whitelist"], lists["ua_blacklist"]) if listed else None
     warnings: list[dict] = []
-    if lines.isEmpty():
+    report = analyse(spark, requests, config.tries, agents, plot=bool(config.plot_path))
+    counted, cells = report.pop("lines"), report.pop("cells")
+    total = counted["total_requests"]
+    if not total:
         return {"general": {"log_file": config.log_file, "total_requests": 0, "unique_ips": 0, "generated_at": now.isoformat()}, "tries": [], "warnings": [{"type": "empty_logfile", "message": "the log has no lines"}], "errors": []}
-    report = analyse(spark, requests, config.tries, agents)
-    bad = None if plain else requests.agg(F.count("*").alias("n"), F.count_if("bad_status").alias("s"), F.count_if("bad_bytes").alias("b")).first()
-    total = bad["n"] if bad else lines.count()
-    if bad and (bad["s"] or bad["b"]):
-        warnings.append({"type": "malformed_field", "message": f"{bad['s']} malformed statuses, {bad['b']} malformed sizes"})
+    if counted["bad_status"] or counted["bad_bytes"]:
+        warnings.append({"type": "malformed_field", "message": f"{counted['bad_status']} malformed statuses, {counted['bad_bytes']} malformed sizes"})
     report["general"] |= {"log_file": config.log_file, "total_requests": total, "generated_at": now.isoformat(), "seconds": round(time.time() - began, 3)}
     report["general"]["active_filters"] = [active_filters(parameters(t), lists) for t in config.tries]
-    report["warnings"], report["errors"] = warnings + [w for t in report["tries"] for w in t["warnings"]], []
+    if not config.tries:
+        warnings.append({"type": "config_warning", "message": "no trie is configured"})
+    report["warnings"] = warnings + [w for t in report["tries"] for w in t["warnings"]]
     if config.plot_path:
-        from rangewarden.operators.grids import grid
         from rangewarden.plans.report import heatmap_html
 
-        cells = grid(prefixes.address_counts(requests)).collect()
-        write_atomic(config.plot_path, heatmap_html([(r["o1"], r["o2"], r["n"]) for r in cells]))
+        write_atomic(config.plot_path, heatmap_html(cells))
+        report["warnings"].append({"type": "info", "message": f"map of the traffic written to {config.plot_path}"})
     if config.jail_file and config.ban_file:
         publish(spark, config, report, lists, now)
     return report
@@ -153,13 +173,15 @@ def publish(spark: SparkSession, config: Config, report: dict, lists: dict[str,
         report["warnings"].append({"type": "jail_update", "message": f"{len(add)} ranges jailed"})
     bans, black = compose(spark, [x["cidr"] for x in jail.active()], lists["blacklist"], white)
     write_atomic(config.ban_file, ban_file(bans, black, now))
+    if black:
+        report["warnings"].append({"type": "blacklist_applied", "message": f"{len(black)} entries of the blacklist are in the ban file"})
 
 
-def compose(spark: SparkSession, bans: list[str], blacklist: list[str], white: list[str]) -> tuple[list[str], list[str]]:
-    """RNG-6 for lists on the driver."""
-    if not white:
+def compose(spark: SparkSession, bans: list[str], blacklist: list[str], white: DataFrame | list[str] | None) -> tuple[list[str], list[str]]:
+    """RNG-6 for lists on the driver; the whitelist may be a table (cidr)."""
+    if white is None or isinstance(white, list) and not white:
         return bans, blacklist
     frame = lambda xs: spark.createDataFrame(list(enumerate(xs)), "ord long, cidr string")
-    got = ranges.compose_ban_lists(frame(bans), frame(blacklist), frame(white)).collect()
+    got = ranges.compose_ban_lists(frame(bans), frame(blacklist), frame(white) if isinstance(white, list) else white).collect()
     key = lambda r: (r["ord"], (parse_cidr(r["cidr"]) or (0,))[0])
     return tuple([r["cidr"] for r in sorted((x for x in got if x["section"] == s), key=key)] for s in ("bans", "blacklist"))

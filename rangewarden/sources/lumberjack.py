@@ -113,7 +113,8 @@ class LumberjackServer:
         name = f"{time.time_ns():020d}-{uuid.uuid4().hex}.json"
         hidden = os.path.join(self.folder, f".{name}")
         with open(hidden, "w", encoding="utf-8") as f:
-            f.writelines(json.dumps({"message": e["message"] if isinstance(e.get("message"), str) else None}) + "\n" for e in events if isinstance(e, dict))
+            events = [e for e in events if isinstance(e, dict)]
+            f.writelines(json.dumps({"message": e["message"] if isinstance(e.get("message"), str) else None}) + "\n" for e in events)
             f.flush()
             os.fsync(f.fileno())
         os.replace(hidden, os.path.join(self.folder, name))

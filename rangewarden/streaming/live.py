@@ -7,15 +7,15 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta, timezone
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewarden.functions.ipcalc import format_cidr, format_ip
+from rangewarden.functions.ipcalc import cidr_text, format_cidr, format_ip
 from rangewarden.operators import clusters, filters, prefixes, ranges, windows
-from rangewarden.operators.clusters import ClusterSet
 from rangewarden.operators.jail import Jail, ban_file, load_jail, save_jail, write_atomic
 from rangewarden.plans.config import Config, Trie
 from rangewarden.plans.report import metrics
@@ -26,11 +26,29 @@ from rangewarden.sources.readers import parse_messages
 MAX_BANS, MAX_LIST, TALKERS_EVERY = 500, 1000, 5
 
 
+@dataclass
+class State:
+    """What a batch leaves to the next: tables of survivors and of listed addresses, and counters."""
+
+    batch: int | None = None
+    iterations: int = 0
+    tables: dict[str, str] = field(default_factory=dict)
+    seen: str | None = None
+    counters: dict[str, int] = field(default_factory=lambda: {"batches": 0, "requests": 0, "parse_errors": 0, "malformed": 0})
+    passed: dict[str, list[int]] = field(default_factory=dict)
+    talkers: dict[str, list[dict]] = field(default_factory=dict)
+
+    def paths(self) -> set[str]:
+        return {*self.tables.values(), *([self.seen] if self.seen else [])}
+
+
 class LiveEngine:
-    """State between batches: a table of survivors for each window, addresses of listed agents, and the jail.
+    """Windows of survivors, addresses of listed agents, counters and the jail, kept from batch to batch.
 
-    process() runs for each batch, in foreachBatch or by hand; the clock is given. A window's
-    survivors are a Parquet table of the state folder, named by batch, so a batch that is run again starts from the same state.
+    process() runs for each batch, in foreachBatch or by hand; the clock is given. All tables lie in the state folder, and
+    each batch ends with a record there of what it left and what it began with. So an engine that starts anew goes on where
+    the last one ended, and a batch that is run again starts from the same state. Jailing a range that is jailed already
+    changes nothing, so that holds for the jail too. Tables that no record needs are deleted.
     """
 
     def __init__(self, spark: SparkSession, config: Config, state_dir: str, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)):
@@ -39,89 +57,142 @@ class LiveEngine:
         self.lists = config.lists()
         self.agents = filters.user_agent_list(spark, self.lists["ua_whitelist"], self.lists["ua_blacklist"])
         self.jail: Jail = load_jail(config.jail_file)
-        self.run, self.tables, self.before = uuid.uuid4().hex, {}, {}
-        self.seen: dict[int, dict[int, datetime]] = {1: {}, -1: {}}
-        self.counters = {"batches": 0, "requests": 0, "parse_errors": 0, "malformed": 0}
-        self.passed = {w.name: [0, 0] for w in config.windows}
-        self.talkers: dict[str, list[dict]] = {}
-        self.began, self.iterations, self.last = time.time(), 0, ()
+        self.state, self.before = self._load()
+        self.source = None
+        self.listed = {1: 0, -1: 0}
+        self.began, self.last = time.time(), ()
         self.lock = threading.Lock()
         self.published: tuple[list[str], list[str]] | None = None
         self.snapshot: dict | None = None
 
+    @property
+    def counters(self) -> dict[str, int]:
+        return self.state.counters
+
+    def _files(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _load(self) -> tuple[State, State]:
+        """The last batch's state and the one before it, from the newest record that was finished."""
+        fs, p = self._files(f"{self.dir}/records")
+        if not fs.exists(p):
+            return State(), State()
+        done = [int(f.getPath().getName()) for f in fs.listStatus(p) if self._done(f.getPath().toString())]
+        if not done:
+            return State(), State()
+        kept = json.loads(self.spark.read.text(f"{self.dir}/records/{max(done)}").first()[0])
+        return State(**kept["now"]), State(**kept["before"])
+
+    def _done(self, path: str) -> bool:
+        fs, p = self._files(f"{path}/_SUCCESS")
+        return fs.exists(p)
+
+    def _save(self, now: State, before: State) -> None:
+        record = json.dumps({"now": asdict(now), "before": asdict(before)})
+        number = now.iterations
+        self.spark.createDataFrame([(record,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.dir}/records/{number}")
+        # A batch that was run again has the number of its first run.
+        old = (self.state.paths() | self.before.paths()) - now.paths() - before.paths()
+        self.state, self.before = now, before
+        for path in [*old, f"{self.dir}/records/{number - 2}"]:
+            fs, p = self._files(path)
+            fs.delete(p, True)
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         with self.lock:
             self._process(batch, batch_id)
 
     def _process(self, batch: DataFrame, batch_id: int) -> None:
         began, now = time.time(), self.clock()
-        parsed = filters.with_verdict(parse_messages(batch.select("message", (F.lit(batch_id).cast("long") * (1 << 40) + F.monotonically_increasing_id()).alias("arrival"))), self.agents).persist()
+        before = self.before if self.state.batch == batch_id else self.state
+        state = State(batch_id, before.iterations + 1, talkers=before.talkers, passed={k: [*v] for k, v in before.passed.items()})
+        arrival = (F.lit(state.iterations).cast("long") * (1 << 40) + F.monotonically_increasing_id()).alias("arrival")
+        parsed = filters.with_verdict(parse_messages(batch.select("message", arrival)), self.agents).persist()
         try:
             c = parsed.agg(F.count("*").alias("n"), F.count_if(F.col("parse_error").isNotNull()).alias("e"), F.coalesce(F.sum(F.col("bad_status").cast("int") + F.col("bad_bytes").cast("int")), F.lit(0)).alias("m")).first()
-            self.counters = {"batches": self.counters["batches"] + 1, "requests": self.counters["requests"] + c["n"] - c["e"], "parse_errors": self.counters["parse_errors"] + c["e"], "malformed": self.counters["malformed"] + c["m"]}
+            old = before.counters
+            state.counters = {"batches": old["batches"] + 1, "requests": old["requests"] + c["n"] - c["e"], "parse_errors": old["parse_errors"] + c["e"], "malformed": old["malformed"] + c["m"]}
             good = parsed.where("parse_error IS NULL AND ip <> 0 AND wall_ts IS NOT NULL")
             # Agents are told apart before any window's filter; whoever was listed is remembered by when it was processed.
-            for v in (1, -1):
-                self.seen[v] |= {r[0]: now for r in good.where(F.col("verdict") == v).select("ip").distinct().collect()}
-            self._purge(now)
-            rows = good.where("NOT (verdict <=> 1)").withColumn("ts", F.col("wall_ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("offset_sec").cast("decimal(18,6)")))
-            found = []
-            shown = []
-            self.iterations += 1
+            fresh = good.where("verdict IN (1, -1)").select("verdict", "ip", F.lit(now).cast("timestamp").alias("at"))
+            state.seen = self._path("seen", state)
+            self._listed(before, now).unionByName(fresh).groupBy("verdict", "ip").agg(F.max("at").alias("at")).write.mode("overwrite").parquet(state.seen)
+            rows = good.where("NOT (verdict <=> 1)").withColumn("ts", F.timestamp_add("SECOND", -F.col("offset_sec"), F.col("wall_ts")))
+            found, shown, all_ = [], [], rows.count()
             for w in self.config.windows:
-                ranges_, view = self._window(w, rows, batch_id, now)
+                ranges_, view = self._window(w, rows, all_, before, state, now)
                 found += ranges_
                 shown.append(view)
-            self._punish(merge(found), now)
+            merged = merge(found)
+            self._punish(merged, state, now)
         finally:
             parsed.unpersist()
-        self.last = (shown, len(merge(found)), began, time.time() - began)
+        self._save(state, before)
+        self.last = (shown, len(merged), began, time.time() - began)
         self._show(now)
 
-    def _window(self, w: Trie, rows: DataFrame, batch_id: int, now: datetime) -> tuple[list[tuple[int, int]], dict]:
+    def _path(self, name: str, state: State) -> str:
+        return f"{self.dir}/{name}/{state.iterations}-{uuid.uuid4().hex[:8]}"
+
+    def _window(self, w: Trie, rows: DataFrame, all_: int, before: State, state: State, now: datetime) -> tuple[list[tuple[int, int]], dict]:
         keep = filters.request_filter(w.user_agent_regex, w.endpoint_regex)
         mine = (rows if keep is None else rows.where(keep)).select("ts", "arrival", "ip")
-        n, all_ = mine.count(), rows.count()
-        self.passed[w.name][0] += n
-        self.passed[w.name][1] += all_ - n
-        old = self.tables.get(w.name)
-        if old and old[0] == batch_id:  # the batch is run again
-            old = self.before.get(w.name)
-        fresh = mine if not old else self.spark.read.schema("ts timestamp_ntz, arrival long, ip long").parquet(old[1]).union(mine)
+        n = mine.count()
+        accepted, rejected = before.passed.get(w.name, (0, 0))
+        state.passed[w.name] = [accepted + n, rejected + all_ - n]
+        old = before.tables.get(w.name)
+        fresh = mine if not old else self._rows(old).union(mine)
         cutoff = F.lit((now.astimezone(timezone.utc) - w.max_age).replace(tzinfo=None)).cast("timestamp_ntz")
-        path = f"{self.dir}/{self.run}/{w.name}/{batch_id}"
+        state.tables[w.name] = path = self._path(f"window-{w.name}", state)
         windows.survivors(fresh, cutoff, w.max_size).write.mode("overwrite").parquet(path)
-        self.before[w.name], self.tables[w.name] = old, (batch_id, path)
-        now_rows = self.spark.read.schema("ts timestamp_ntz, arrival long, ip long").parquet(path)
+        now_rows = self._rows(path)
         counts = prefixes.address_counts(now_rows)
         got = clusters.detect(counts, list(w.sets)).collect()
         total = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"), F.count("*").alias("u")).first()
-        if self.iterations == 1 or self.iterations % TALKERS_EVERY == 0:
-            self.talkers[w.name] = [{"ip": format_ip(r["ip"]), "count": r["cnt"], "last": r["last"].isoformat()} for r in windows.address_stats(now_rows).orderBy(F.desc("cnt"), "ip").limit(max(0, self.config.top_talkers)).collect()]
-        view = {"name": w.name, "requests": total["n"], "unique_ips": total["u"], "max_size": w.max_size, "accepted": self.passed[w.name][0], "rejected": self.passed[w.name][1], "top_talkers": self.talkers.get(w.name, []), "sets": [{"detected": sum(r["set_id"] == i for r in got), "requests": sum(r["cnt"] for r in got if r["set_id"] == i)} for i in range(len(w.sets))]}
+        if state.iterations == 1 or state.iterations % TALKERS_EVERY == 0:
+            state.talkers = state.talkers | {w.name: [{"ip": format_ip(r["ip"]), "count": r["cnt"], "last": r["last"].isoformat()} for r in windows.address_stats(now_rows).orderBy(F.desc("cnt"), "ip").limit(max(0, self.config.top_talkers)).collect()]}
+        view = {"name": w.name, "requests": total["n"], "unique_ips": total["u"], "max_size": w.max_size, "accepted": state.passed[w.name][0], "rejected": state.passed[w.name][1], "top_talkers": state.talkers.get(w.name, []), "sets": [{"detected": sum(r["set_id"] == i for r in got), "requests": sum(r["cnt"] for r in got if r["set_id"] == i)} for i in range(len(w.sets))]}
         return [(r["start"], r["len"]) for r in got if w.sets[r["set_id"]].use_for_jail], view
 
-    def _purge(self, now: datetime) -> None:
-        oldest = now - max(w.max_age for w in self.config.windows)
-        for v, m in self.seen.items():
-            self.seen[v] = {ip: at for ip, at in m.items() if at >= oldest}
+    def _rows(self, path: str) -> DataFrame:
+        return self.spark.read.schema("ts timestamp_ntz, arrival long, ip long").parquet(path)
+
+    def window_rows(self, name: str) -> DataFrame:
+        """The requests (ts, arrival, ip) that a window holds after the last batch."""
+        return self._rows(self.state.tables[name])
+
+    def _listed(self, state: State, now: datetime) -> DataFrame:
+        """Addresses of listed agents (verdict, ip, at) that were seen within the longest window."""
+        schema = "verdict int, ip long, at timestamp"
+        seen = self.spark.read.schema(schema).parquet(state.seen) if state.seen else self.spark.createDataFrame([], schema)
+        return seen.where(F.col("at") >= F.lit(now - max(w.max_age for w in self.config.windows)).cast("timestamp"))
+
+    def listed_addresses(self, verdict: int) -> DataFrame:
+        """Addresses (ip, at) of agents on the whitelist (1) or the blacklist (-1) that count now."""
+        return self._listed(self.state, self.clock()).where(F.col("verdict") == verdict).select("ip", "at")
 
-    def _white(self) -> list[str]:
-        return self.lists["whitelist"] + [format_cidr(ip, 32) for ip in sorted(self.seen[1])]
+    def _white(self, state: State, now: datetime) -> DataFrame:
+        """The whitelist and the addresses of whitelisted agents, as a table: there may be many."""
+        fixed = self.spark.createDataFrame([(x,) for x in self.lists["whitelist"]], "cidr string")
+        return fixed.union(self._listed(state, now).where("verdict = 1").select(cidr_text(F.col("ip"), F.lit(32))))
 
-    def _punish(self, merged: list[tuple[int, int]], now: datetime) -> None:
+    def _punish(self, merged: list[tuple[int, int]], state: State, now: datetime) -> None:
         """One merge over all windows, what is whitelisted goes, listed agents go to jail; then jail and ban file are written."""
-        add, white = [format_cidr(*r) for r in merged], self._white()
-        if add and white:
-            frame = lambda xs: self.spark.createDataFrame(list(enumerate(xs)), "ord long, cidr string")
-            add = [r["cidr"] for r in ranges.drop_fully_whitelisted(frame(add), frame(white)).orderBy("ord").collect()]
-        self.jail.update(add + [format_cidr(ip, 32) for ip in sorted(self.seen[-1])], now)
+        add = [format_cidr(*r) for r in merged]
+        if add:
+            frame = self.spark.createDataFrame(list(enumerate(add)), "ord long, cidr string")
+            add = [r["cidr"] for r in ranges.drop_fully_whitelisted(frame, self._white(state, now)).orderBy("ord").collect()]
+        black = [format_cidr(r["ip"], 32) for r in self._listed(state, now).where("verdict = -1").select("ip").orderBy("ip").collect()]
+        self.jail.update(add + black, now)
         self.jail.prune(now)
         save_jail(self.jail, self.config.jail_file)
-        self._publish(now, always=True)
+        self._publish(state, now, always=True)
 
-    def _publish(self, now: datetime, always: bool = False) -> bool:
-        lists = compose(self.spark, [x["cidr"] for x in self.jail.active()], self.lists["blacklist"], self._white())
+    def _publish(self, state: State, now: datetime, always: bool = False) -> bool:
+        self.listed = {1: 0, -1: 0} | {r["verdict"]: r["count"] for r in self._listed(state, now).groupBy("verdict").count().collect()}
+        white = self._white(state, now) if self.lists["whitelist"] or self.listed[1] else None
+        lists = compose(self.spark, [x["cidr"] for x in self.jail.active()], self.lists["blacklist"], white)
         if not always and lists == self.published:
             return False
         write_atomic(self.config.ban_file, ban_file(*lists, now))
@@ -132,15 +203,26 @@ class LiveEngine:
         """STR-9, without data: bans end, and the ban file is written if that changes it."""
         with self.lock:
             now = self.clock()
-            self._purge(now)
             self.jail.expire(now)
             if self.jail.prune(now):
                 save_jail(self.jail, self.config.jail_file)
-            changed = self._publish(now)
+            changed = self._publish(self.state, now)
             if self.last:
                 self._show(now)
             return changed
 
+    def _ingest(self) -> dict:
+        """SRC-9: the counters of what was processed, and of the source where there is one: what it received and what still waits."""
+        out: dict = {**self.counters}
+        if self.source is not None:
+            s, processed = self.source.stats, self.counters["requests"] + self.counters["parse_errors"] - self.processed_before
+            out |= {"received_batches": s.batches, "received_events": s.events, "source_errors": s.errors, "last_received": s.last_batch, "queue_depth": max(0, s.events - processed)}
+        return out
+
+    def attach(self, source) -> None:
+        """A source whose stats (batches, events, errors, last_batch) count from now on."""
+        self.source, self.processed_before = source, self.counters["requests"] + self.counters["parse_errors"]
+
     def _show(self, now: datetime) -> None:
         """STR-11: an immutable snapshot takes the place of the last one."""
         shown, merged, began, took = self.last
@@ -148,10 +230,10 @@ class LiveEngine:
         stages = [{"stage": c.id, "active": sum(p.active for p in c.prisoners), "prisoners": len(c.prisoners)} for c in self.jail.cells]
         bans, black = self.published or ([], [])
         self.snapshot = {
-            "generated_at": now.isoformat(), "uptime_seconds": round(time.time() - self.began, 3), "iterations": self.iterations, "last_batch": round(began, 3), "last_seconds": round(took, 3), "ingest": self.counters, "windows": shown, "merged_ranges": merged,
+            "generated_at": now.isoformat(), "uptime_seconds": round(time.time() - self.began, 3), "iterations": self.state.iterations, "last_batch": round(began, 3), "last_seconds": round(took, 3), "ingest": self._ingest(), "windows": shown, "merged_ranges": merged,
             "jail": {"active": len(active), "stages": stages, "bans": [x | {"ban_start": x["ban_start"].isoformat(), "expires": x["expires"].isoformat()} for x in active[:MAX_BANS]], "truncated": len(active) > MAX_BANS},
             "published": {"bans": len(bans), "blacklist": len(black)}, "lists": {k: {"count": len(v), "cidrs": v[:MAX_LIST]} for k, v in (("whitelist", self.lists["whitelist"]), ("blacklist", self.lists["blacklist"]))},
-            "ua_ips": {"whitelist": len(self.seen[1]), "blacklist": len(self.seen[-1])}, "ban_list": bans + black,
+            "ua_ips": {"whitelist": self.listed[1], "blacklist": self.listed[-1]}, "ban_list": bans + black,
         }
 
     def start(self, messages: DataFrame, checkpoint: str, available_now: bool = False):
@@ -199,19 +281,3 @@ def serve(engine: LiveEngine, listen: str) -> ThreadingHTTPServer:
     server = ThreadingHTTPServer((host or "0.0.0.0", int(port)), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     return server
-
-
-def replay(spark: SparkSession, messages: DataFrame, sets: list[ClusterSet], max_age: timedelta, max_size: int, batches: int = 3) -> DataFrame:
-    """Messages (message, event_id) in a few batches through one window, as the stream would bring them: the ranges found after the last one."""
-    from rangewarden.shipping import shared_dir
-
-    state, parsed = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}", parse_messages(messages)
-    rows = parsed.where("parse_error IS NULL AND ip <> 0").select("event_id", F.col("wall_ts").alias("ts"), F.col("event_id").alias("arrival"), "ip")
-    now = rows.agg(F.max("ts")).first()[0]
-    last = None
-    for b in range(batches):
-        mine = rows.where(F.pmod("event_id", F.lit(batches)) == b).select("ts", "arrival", "ip")
-        fresh = mine if last is None else spark.read.schema(mine.schema).parquet(last).union(mine)
-        last = f"{state}/{b}"
-        windows.survivors(fresh, F.lit(now - max_age).cast("timestamp_ntz"), max_size).write.parquet(last)
-    return clusters.detect(prefixes.address_counts(spark.read.schema("ts timestamp_ntz, arrival long, ip long").parquet(last)), sets)

@@ -3,9 +3,10 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
-from rangewarden.plans.config import ConfigError, from_flags, from_toml
+from rangewarden.operators.clusters import ClusterSet
+from rangewarden.plans.config import ConfigError, Trie, from_flags, from_toml, quoted
 from rangewarden.plans.report import metrics, to_compact_json, to_json, to_plain
-from rangewarden.plans.static import run_static
+from rangewarden.plans.static import analyse, run_static
 from rangewarden.streaming.live import LiveEngine, serve
 
 TOML = """
@@ -80,19 +81,47 @@ def test_empty_log(spark, tmp_path):
     assert report["warnings"][0]["type"] == "empty_logfile"
 
 
+def test_warnings(spark, folder):
+    report = run_static(spark, from_toml(TOML.format(d=folder)), datetime(2025, 3, 1, tzinfo=timezone.utc))
+    kinds = {w["type"] for w in report["warnings"]}
+    assert {"info", "blacklist_applied", "jail_update"} <= kinds and "Warning: info" not in to_plain(report)
+    rows = spark.createDataFrame([(1,)], "ip long")
+    assert analyse(spark, rows, [Trie("a", sets=(ClusterSet(1, 9, 3, 0.1), ClusterSet(1, 30, 40, 0.1)))])["errors"][1]["type"] == "invalid_depth_params"
+
+
 def test_configs_tell_all_that_is_wrong(tmp_path):
     bad = '[global]\nwhitelist = "/nowhere"\nfoo = "x"\n[static]\nlogFile = "/none"\n[static.a]\nclusterArgSets = [[1, 9, 3, 0.1], [1, 2]]\nuseForJail = [true]\nuseragentRegex = "(?=x)"\n'
     with pytest.raises(ConfigError) as e:
         from_toml(bad).validate("static")
     text = str(e.value)
-    for part in ("global.whitelist", "unknown key foo", "does not exist", "minDepth <= maxDepth", "four numbers", "useForJail", "look-around"):
+    assert text.startswith("configuration errors (7):\n1. ")
+    for part in ('[global] invalid whitelist "/nowhere": want a file', '[global] unknown key "foo" (want: banFile,', "does not exist", "minDepth <= maxDepth", "clusterArgSets row 1", "useForJail", "look-around"):
         assert part in text
+    with pytest.raises(ConfigError, match="invalid format .*want text or json"):
+        from_toml(f'[log]\nformat = "xml"\n[static]\nlogFile = "{tmp_path}"\n[static.a]\n').validate("static")
     with pytest.raises(ConfigError):
         from_toml("[other]\n")
     with pytest.raises(ConfigError, match="banFile"):
         from_flags("live", port="1").validate("live")
 
 
+@pytest.mark.parametrize("text", ["static = 5", "[static]\nlogFile = 3", "[static.a]\nuseForJail = true", "[static.a]\nuseForJail = [1]", "[live.a]\nslidingWindowMaxTime = 'soon'", "[live]\ntopTalkers = 'x'", "[static.a]\nclusterArgSets = 1", "[global]\nbanFile = 1", "[live.a]\nslidingWindowMaxSize = 1.5", "[log]\nlevel = 1"])
+def test_wrong_types_fail_at_once(text):
+    with pytest.raises(ConfigError, match="invalid"):
+        from_toml(text)
+
+
+def test_messages_stay_on_their_lines():
+    assert quoted("a\nb") == '"a\\nb"' and quoted("é" * 100) == '"' + "é" * 60 + '\u2026"' and quoted(True) == '"true"'
+    e = ConfigError(["b\x07\n2. forged", "a"])
+    assert str(e).splitlines() == ["configuration errors (2):", "1. a", "2. b\\x07\\n2. forged"]
+
+
+def test_log_settings_of_a_file():
+    c = from_toml('[log]\nlevel = "WARN"\nformat = "json"\n[static]\nmaxLineLength = 10\n')
+    assert (c.log_level, c.log_form, c.max_line_length) == ("WARN", "json", 10) and from_toml("").max_line_length == 2 << 20
+
+
 def message(ip, at, ua="Browser"):
     return (f'{ip} - - [{at.strftime("%d/%b/%Y:%H:%M:%S")} +0000] "GET /x HTTP/1.1" 200 5 "-" "{ua}"',)
 
@@ -117,6 +146,44 @@ def test_live(spark, folder):
     assert 'rangewarden_window_requests{window="hot"} 1' in metrics(engine.snapshot)
 
 
+def bans(folder):
+    return [x for x in (folder / "ban.txt").read_text().splitlines() if not x.startswith("#")]
+
+
+def test_live_goes_on_after_a_restart(spark, folder):
+    now = datetime(2025, 2, 6, 12, tzinfo=timezone.utc)
+    batch = lambda xs: spark.createDataFrame([message(*x) for x in xs], "message string")
+    one = batch([(f"10.5.5.{i}", now) for i in range(0, 256, 2)] + [("9.9.9.9", now, "BadBot"), ("8.8.8.8", now, "Googlebot")])
+    two = batch([(f"10.5.5.{i}", now) for i in range(1, 256, 2)])
+    config = lambda: from_toml(TOML.format(d=folder))
+    engine = lambda name: LiveEngine(spark, config(), str(folder / name), clock=lambda: now)
+    first = engine("state")
+    first.process(one, 0)
+    second = engine("state")  # after the loss of the first
+    assert second.state == first.state and second.counters["requests"] == 130
+    second.process(two, 1)
+    want, rows = bans(folder), sorted(map(tuple, second.window_rows("hot").select("ts", "ip").collect()))
+    assert "10.5.5.0/24" in want and "9.9.9.9/32" in want and len(rows) == 257
+    third = engine("state")
+    third.process(two, 1)  # the stream runs its last batch again
+    assert bans(folder) == want and sorted(map(tuple, third.window_rows("hot").select("ts", "ip").collect())) == rows
+    assert third.state.iterations == 2 and third.counters == second.counters
+    third.process(batch([]), 2)
+    kept = {p.name for p in (folder / "state" / "window-hot").iterdir() if p.is_dir()}
+    assert len(kept) == 2 and third.snapshot["windows"][0]["requests"] == 257
+
+
+def test_live_counts_what_waits(spark, folder):
+    class Source:
+        class stats:
+            batches, events, errors, last_batch = 3, 10, 1, 5.0
+
+    engine = LiveEngine(spark, from_toml(TOML.format(d=folder)), str(folder / "state"))
+    engine.attach(Source)
+    engine.process(spark.createDataFrame([message("1.1.1.1", datetime.now(timezone.utc)), ("junk",)], "message string"), 0)
+    assert engine.snapshot["ingest"]["queue_depth"] == 8 and "rangewarden_source_queue_depth 8" in metrics(engine.snapshot)
+
+
 def test_live_stream_and_http(spark, folder):
     import urllib.error
     import urllib.request
