@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rangewarden import queries as q
 from rangewarden.operators import clusters, prefixes
 from rangewarden.operators.clusters import ClusterSet
+from rangewarden.shipping import shared_dir
 from rangewarden.sources import logformat, synth
 
 LINES = 1_000_000
@@ -35,7 +36,7 @@ def main() -> None:
     catalogue["unique_ips"](spark, sf_dir).collect()  # the JVM warms up
     for name in ("total_requests", "unique_ips", "trie_stats_filtered", "prefix_counts_d8_24", "cluster_standard", "cluster_multi_set", "cluster_lineitem", "cluster_percentages", "remove_whitelisted", "filter_combined", "parse_default", "parse_ip_only", "heatmap16", "grid_capture", "top_talkers", "window_cluster"):
         timed(name, lambda name=name: catalogue[name](spark, sf_dir))
-    log = f"{os.environ.get('TMPDIR', '/tmp')}/rangewarden-bench-{os.getpid()}"
+    log = f"{shared_dir(spark)}/bench-{os.getpid()}"
     synth.synthetic_log(spark, LINES, 1).repartition(int(cpus)).write.text(log)
     lines = spark.read.option("lineSep", "\n").text(log)
     timed("log_1m_parse_all", lambda: logformat.parse_lines(lines, synth.FORMAT))

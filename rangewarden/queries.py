@@ -103,6 +103,30 @@ _REST_SQL = f"""SELECT ord, cidr FROM bt WHERE ord NOT IN (SELECT ord FROM b) UN
  UNION ALL SELECT ord, concat({_ip_sql("blk")}, '/', len) FROM cut WHERE blk IS NOT NULL AND ord IN (SELECT b.ord FROM b JOIN w ON b.start <= w.e AND w.start <= b.e)"""
 
 
+#: Ranges of events: of clicks a blacklist, of purchases a whitelist. Rows are numbered by event, and a range may come more than once.
+def _black(spark, d):
+    return _event_ranges(spark, d, "click", 12, 21)
+
+
+def _white(spark, d):
+    return _event_ranges(spark, d, "purchase", 18, 15)
+
+
+def _event_ranges(spark, d, kind, least, n):
+    r = req(spark, d).where((F.col("user_agent") == kind) & (F.col("ip") != 0)).withColumn("len", (F.lit(least) + F.col("user_id") % n).cast("int"))
+    start = ipcalc.prefix_of(F.col("ip"), F.col("len")) * ipcalc.size_of(F.col("len"))
+    return r.select(F.col("event_id").alias("ord"), ipcalc.cidr_text(start, F.col("len")).alias("cidr"))
+
+
+def _event_ranges_sql(name, kind, least, n):
+    size = "(1::BIGINT << (32 - len))"
+    return f"""{name} AS (SELECT ord, concat({_ip_sql("start")}, '/', len) AS cidr FROM (SELECT ord, len, ip - ip % {size} AS start FROM (
+  SELECT event_id AS ord, CAST({least} + user_id % {n} AS INTEGER) AS len, ip FROM req WHERE user_agent = '{kind}' AND ip <> 0)))"""
+
+
+_TABLES = f"""WITH RECURSIVE {REQ}, {_event_ranges_sql("bt", "click", 12, 21)}, {_event_ranges_sql("wt", "purchase", 18, 15)}, b AS {_PARSED.format("bt")}, w AS {_PARSED.format("wt")}"""
+
+
 def _found_ranges(spark, d):
     return clusters.detect(counts(spark, d), [DEEP, STANDARD]).select("start", "len")
 
@@ -249,6 +273,10 @@ def _list(spark, texts):
     return ranges.parsed(_texts(spark, texts)).where("start IS NOT NULL")
 
 
+def _list_of(df):
+    return ranges.parsed(df).where("start IS NOT NULL").select("start", "len")
+
+
 def _ban_rows(spark, d):
     return clusters.detect(counts(spark, d), [ClusterSet(1, 24, 32, 0.0)])
 
@@ -281,11 +309,14 @@ def queries() -> dict:
         "interval_union": lambda s, d: ranges.interval_union(_found_ranges(s, d)),
         "interval_cover": lambda s, d: ranges.cover(counts(s, d).select("ip", F.col("ip").alias("start"), (F.col("ip") + F.col("ip") % 1000).alias("end")).where("end < 4294967296")),
         "interval_subtract": lambda s, d: ranges.remove_whitelisted(_texts(s, BLACK[:2]), _texts(s, WHITE)),
-        "remove_whitelisted": lambda s, d: ranges.remove_whitelisted(_texts(s, BLACK), _texts(s, WHITE)),
-        "whitelist_drop_full": lambda s, d: ranges.drop_fully_whitelisted(_texts(s, BLACK), _texts(s, WHITE)),
-        "whitelist_covered_union": lambda s, d: ranges.covered_by_union(_texts(s, BLACK), _texts(s, WHITE)),
-        "whitelist_overlap": lambda s, d: ranges.overlapping(_texts(s, BLACK), _texts(s, WHITE)),
-        "publish_bans": lambda s, d: ranges.compose_ban_lists(_texts(s, BLACK), _texts(s, BLACK[3:]), _texts(s, WHITE)),
+        "remove_whitelisted": lambda s, d: ranges.remove_whitelisted(_black(s, d), _white(s, d)),
+        "remove_whitelisted_odd": lambda s, d: ranges.remove_whitelisted(_texts(s, BLACK), _texts(s, WHITE)),
+        "whitelist_drop_full": lambda s, d: ranges.drop_fully_whitelisted(_black(s, d), _white(s, d)),
+        "whitelist_covered_union": lambda s, d: ranges.covered_by_union(_black(s, d), _white(s, d)),
+        "whitelist_overlap": lambda s, d: ranges.overlapping(_black(s, d), _white(s, d)),
+        "publish_bans": lambda s, d: ranges.compose_ban_lists(_black(s, d), _white(s, d), _texts(s, WHITE)),
+        "ranges_outermost": lambda s, d: ranges.remove_contained(_list_of(_black(s, d))),
+        "ranges_union": lambda s, d: ranges.interval_union(_list_of(_black(s, d).union(_white(s, d)))),
         "filter_time_wall": lambda s, d: _middle(s, d, False),
         "filter_time_instant": lambda s, d: _middle(s, d, True),
         "filter_time_end_only_missing_ts": _end_only,
@@ -319,7 +350,7 @@ def queries() -> dict:
         "top_talkers": lambda s, d: prefixes.top_talkers(counts(s, d), 20),
         "top_talkers_ties": lambda s, d: prefixes.top_talkers(counts(s, d).withColumn("cnt", F.lit(4).cast("long")), 7),
         "top_talkers_none": lambda s, d: prefixes.top_talkers(counts(s, d), 0),
-        "active_bans_capped": lambda s, d: _ban_rows(s, d).orderBy("start", "len").limit(500).select("start", "len"),
+        "active_bans_capped": _live_bans,
         "window_survivors_time": lambda s, d: _window(s, d, 1 << 40),
         "window_survivors_size": lambda s, d: _window(s, d, 200),
         "window_ip_stats": lambda s, d: windows.address_stats(_window(s, d, 400)),
@@ -332,25 +363,120 @@ def queries() -> dict:
         "jail_active_meta": lambda s, d: _jail(_ABSORB).to_frame(s).where("active").select("cidr", "stage", ((F.unix_timestamp("expires") - int(NOW.timestamp())) / 60).cast("long").alias("expires_minute")),
         "synth_log_shape": lambda s, d: logformat.parse_lines(synth.synthetic_log(s, 20000, 7), synth.FORMAT).groupBy("method").agg(F.count("*").alias("n"), F.countDistinct("user_agent").alias("agents")),
         "static_report": lambda s, d: _static_report(s, d),
+        "static_stats": lambda s, d: _static_stats(s, d),
+        "static_jail": lambda s, d: _static_jail(s, d),
         "stream_window_cluster": lambda s, d: _stream(s, d),
+        "stream_ua_ttl": lambda s, d: _stream_listed(s, d),
     }
     return q
 
 
-def _static_report(spark, d):
+_VIEWS = ClusterSet(50, 16, 28, 0.5)
+
+
+def _report(spark, d):
     from rangewarden.plans.config import Trie
     from rangewarden.plans.static import analyse
 
-    tries = [Trie("all", sets=(STANDARD, DEEP)), Trie("views", user_agent_regex="view", sets=(ClusterSet(50, 16, 28, 0.5),), ranges=tuple(RANGES[:2]))]
-    report = analyse(spark, req(spark, d), tries)
-    rows = [(t["name"], i, r["cidr"], r["requests"]) for t in report["tries"] for i, s in enumerate(t["clusters"]) for r in s["merged_ranges"]]
-    return spark.createDataFrame(rows, "trie string, set_id int, cidr string, requests long")
+    tries = [Trie("all", sets=(STANDARD, DEEP)), Trie("views", user_agent_regex="view", sets=(_VIEWS,), ranges=tuple(RANGES[:2]))]
+    return analyse(spark, req(spark, d), tries, filters.user_agent_list(spark, ["purchase"], ["error"]))
+
+
+def _static_report(spark, d):
+    """Ranges that the tries' cluster sets find, and those that were asked for (set -1)."""
+    rows = [(t["name"], i, r["cidr"], r["requests"], round(r["percentage"], 6)) for t in _report(spark, d)["tries"] for i, found in [*enumerate(s["detected_ranges"] for s in t["clusters"]), (-1, t["cidr_ranges"])] for r in found]
+    return spark.createDataFrame(rows, "trie string, set_id int, cidr string, requests long, percentage double")
+
+
+def _static_stats(spark, d):
+    rows = [(t["name"], *(t["stats"][k] for k in ("total_requests_after_filtering", "unique_ips", "skipped_invalid_ips", "ua_whitelisted", "ua_blacklisted"))) for t in _report(spark, d)["tries"]]
+    return spark.createDataFrame(rows, "trie string, total long, unique_ips long, invalid long, white long, black long")
+
+
+def _static_jail(spark, d):
+    """Bans of a fresh jail that took the ranges of one trie and the addresses of blacklisted agents, and the sections of the ban file."""
+    import tempfile
+
+    from rangewarden.plans.config import Config, Trie
+    from rangewarden.plans.static import analyse, publish
+
+    folder = tempfile.mkdtemp(prefix="rangewarden-")  # jail and ban file are files of the driver
+    config = Config(jail_file=f"{folder}/jail.json", ban_file=f"{folder}/ban.txt")
+    jailing = Trie("views", sets=(ClusterSet(20, 16, 24, 0.5, True),))
+    report = analyse(spark, req(spark, d), [jailing], filters.user_agent_list(spark, ["purchase"], ["error"]))
+    publish(spark, config, report | {"warnings": [], "errors": []}, {"whitelist": WHITE, "blacklist": BLACK[:2]}, NOW)
+    with open(config.ban_file, encoding="utf-8") as f:
+        section, rows = "", []
+        for line in f.read().splitlines():
+            if line.startswith("#"):
+                section = {"# Active jail bans:": "bans", "# Manual blacklist entries:": "blacklist"}.get(line, section)
+            else:
+                rows.append((section, line))
+    return spark.createDataFrame(rows, "section string, cidr string")
+
+
+def _live(spark, windows, clock, **lists):
+    import tempfile
+    import uuid
+
+    from rangewarden.plans.config import Config
+    from rangewarden.shipping import shared_dir
+    from rangewarden.streaming.live import LiveEngine
+
+    folder = tempfile.mkdtemp(prefix="rangewarden-")  # jail, ban file and lists are files of the driver
+    paths = {}
+    for name, entries in lists.items():
+        paths[name] = f"{folder}/{name}"
+        with open(paths[name], "w", encoding="utf-8") as f:
+            f.writelines(f"{x}\n" for x in entries)
+    config = Config(jail_file=f"{folder}/jail.json", ban_file=f"{folder}/ban.txt", port="5044", windows=windows, **paths)
+    return LiveEngine(spark, config, f"{shared_dir(spark)}/live-{uuid.uuid4().hex}", clock)
+
+
+def _messages(spark, d, lo, hi):
+    """Live messages of the events from one id up to another, in their order."""
+    lines = _lines(spark, d, "combined").where(F.col("event_id").between(lo, hi))
+    return lines.orderBy("event_id").select(F.col("value").alias("message"))
+
+
+def _batches(spark, d, n):
+    least, most = spark.read.parquet(f"{d}/events.parquet").agg(F.min("event_id"), F.max("event_id")).first()
+    cuts = [least + (most - least + 1) * i // n for i in range(n + 1)]
+    return [_messages(spark, d, a, b - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _window_of(name, max_age, max_size, *sets):
+    from rangewarden.plans.config import Trie
+
+    return Trie(name, sets=sets, max_age=max_age, max_size=max_size)
 
 
 def _stream(spark, d):
-    from rangewarden.streaming.live import replay
+    """The ranges in a window of 5,000 requests after the live engine has taken all events in three batches."""
+    sets = (ClusterSet(50, 16, 28, 0.5),)
+    engine = _live(spark, [_window_of("all", timedelta(days=100_000), 5000, *sets)], lambda: NOW)
+    for i, batch in enumerate(_batches(spark, d, 3)):
+        engine.process(batch, i)
+    return clusters.detect(prefixes.address_counts(engine.window_rows("all")), list(sets))
+
+
+def _stream_listed(spark, d):
+    """Addresses of listed agents that the live engine still knows an hour after the last of two batches, which came an hour after the first."""
+    hours = [0]
+    engine = _live(spark, [_window_of("short", timedelta(minutes=90), 1000, ClusterSet(10**9, 32, 32, 0.0))], lambda: NOW + timedelta(hours=hours[0]), ua_whitelist=["Bot \\\"x\\\" view"], ua_blacklist=["Bot \\\"x\\\" click"])
+    for i, batch in enumerate(_batches(spark, d, 2)):
+        hours[0] = i
+        engine.process(batch, i)
+    hours[0] = 2
+    return engine.listed_addresses(1).select("ip", F.lit(1).alias("verdict")).union(engine.listed_addresses(-1).select("ip", F.lit(-1)))
 
-    return replay(spark, _lines(spark, d, "combined").select(F.col("value").alias("message"), "event_id"), [ClusterSet(50, 16, 28, 0.5)], max_age=timedelta(days=400), max_size=5000)
+
+def _live_bans(spark, d):
+    """What a snapshot lists of the bans after one batch of all events: the first 500 in order of their addresses."""
+    engine = _live(spark, [_window_of("all", timedelta(days=100_000), 1 << 40, ClusterSet(2, 20, 32, 0.0, True))], lambda: NOW)
+    engine.process(_batches(spark, d, 1)[0], 0)
+    bans = engine.snapshot["jail"]["bans"]
+    return spark.createDataFrame([(b["cidr"],) for b in bans], "cidr string")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -371,6 +497,23 @@ def oracle_sql() -> dict[str, str]:
  FROM (SELECT b.i, b.start, b.len, p.cs, p.cl, b.len = p.cl AND p.cs + (1::BIGINT << (32 - b.len)) = b.start AND p.cs % (1::BIGINT << (33 - b.len)) = 0 AS m FROM {name} p JOIN {base} b ON b.i = p.i + 1)),
  {name}_out AS (SELECT row_number() OVER (ORDER BY start, len) AS i, start, len FROM (SELECT es AS start, el AS len FROM {name} WHERE es IS NOT NULL UNION ALL SELECT cs, cl FROM {name} WHERE i = (SELECT max(i) FROM {name})))"""
     merged = f"""{bans.replace("WITH", "WITH RECURSIVE", 1)}, base AS (SELECT row_number() OVER (ORDER BY start, len) AS i, start, len FROM found), {step("p1", "base")}, {step("p2", "p1_out")} SELECT start, len FROM p2_out"""
+    live_base = f"WITH RECURSIVE {T}, {_cluster_ctes([ClusterSet(2, 20, 32, 0.0)])}"
+    live_merged = f"""{live_base}, base AS (SELECT row_number() OVER (ORDER BY start, len) AS i, start, len FROM found), {step("p1", "base")}, {step("p2", "p1_out")}"""
+    kept = f"{REQ}, v AS (SELECT *, CASE user_agent WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 END AS verdict FROM req), t AS (SELECT ip, count(*) AS cnt FROM v WHERE ip <> 0 AND verdict IS DISTINCT FROM 1"
+    trie = lambda name, where, sets: f"""SELECT '{name}' AS trie, set_id, concat({_ip_sql("start")}, '/', len) AS cidr, cnt AS requests, round(cnt / total * 100, 6) AS percentage FROM (
+ WITH {kept}{where} GROUP BY ip), {_cluster_ctes(sets)} SELECT *, (SELECT sum(cnt) FROM t) AS total FROM found)"""
+    asked = f"""SELECT 'views' AS trie, -1 AS set_id, cidr, n AS requests, round(n / total * 100, 6) AS percentage FROM (WITH {kept} AND user_agent LIKE '%view%' GROUP BY ip), rt(ord, cidr) AS (VALUES {_values(RANGES[:2])}), rg AS {_PARSED.format("rt")}
+ SELECT cidr, (SELECT CAST(coalesce(sum(cnt), 0) AS BIGINT) FROM t WHERE ip BETWEEN rg.start AND rg.e) AS n, (SELECT sum(cnt) FROM t) AS total FROM rg)"""
+    static = f"{trie('all', '', [STANDARD, DEEP])} UNION ALL {trie('views', " AND user_agent LIKE '%view%'", [_VIEWS])} UNION ALL {asked}"
+    static_stats = f"""WITH {REQ}, x AS (SELECT 'all' AS trie, * FROM req UNION ALL SELECT 'views', * FROM req WHERE user_agent LIKE '%view%')
+ SELECT trie, count(*) FILTER (ip <> 0 AND user_agent <> 'purchase') AS total, count(DISTINCT ip) FILTER (ip <> 0 AND user_agent <> 'purchase') AS unique_ips, count(*) FILTER (ip = 0) AS invalid,
+ count(*) FILTER (ip <> 0 AND user_agent = 'purchase') AS white, count(*) FILTER (ip <> 0 AND user_agent = 'error') AS black FROM x GROUP BY trie"""
+    jailing = f"WITH RECURSIVE {kept} GROUP BY ip), {_cluster_ctes([ClusterSet(20, 16, 24, 0.5)])}, base AS (SELECT row_number() OVER (ORDER BY start, len) AS i, start, len FROM found), {step('p1', 'base')}, {step('p2', 'p1_out')}"
+    static_jail = f"""{jailing}, wt AS (SELECT * FROM (VALUES {_values(WHITE)}) x(ord, cidr) UNION ALL SELECT 1000 + row_number() OVER (), concat({_ip_sql('ip')}, '/32') FROM (SELECT DISTINCT ip FROM v WHERE verdict = 1 AND ip <> 0)), w AS {_PARSED.format('wt')},
+ jailed AS (SELECT start, start + (1::BIGINT << (32 - len)) - 1 AS e, len FROM p2_out p WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.start <= p.start AND w.e >= p.start + (1::BIGINT << (32 - p.len)) - 1)),
+ every AS (SELECT start, len FROM jailed UNION ALL SELECT ip, 32 FROM (SELECT DISTINCT ip FROM v WHERE verdict = -1 AND ip <> 0) q WHERE NOT EXISTS (SELECT 1 FROM jailed j WHERE q.ip BETWEEN j.start AND j.e)),
+ bt AS (SELECT row_number() OVER (ORDER BY start, len) AS ord, concat({_ip_sql('start')}, '/', len) AS cidr FROM every UNION ALL SELECT -1 - ord, cidr FROM (VALUES {_values(BLACK[:2])}) y(ord, cidr)), b AS {_PARSED.format('bt')}
+ {_CUT_SQL} SELECT CASE WHEN ord < 0 THEN 'blacklist' ELSE 'bans' END AS section, cidr FROM ({_REST_SQL})"""
     parsed_agent = "concat('Bot \\\"x\\\" ', user_agent)".replace('\\"', '\\"')
     return {
         "prefix_counts_d8_24": f"{wt} SELECT CAST(d AS INTEGER) AS depth, ip >> (32 - d) AS prefix, CAST(sum(cnt) AS BIGINT) AS cnt FROM t, range(8, 25) g(d) GROUP BY d, ip >> (32 - d)",
@@ -399,14 +542,20 @@ def oracle_sql() -> dict[str, str]:
         "merge_ranges": merged,
         "interval_union": f"""{both}, o AS (SELECT start, e, max(e) OVER (ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM fr), i AS (SELECT *, sum(CASE WHEN m IS NULL OR start > m + 1 THEN 1 ELSE 0 END) OVER (ORDER BY start, e ROWS UNBOUNDED PRECEDING) AS k FROM o)
  SELECT min(start) AS start, max(e) AS "end" FROM i GROUP BY k""",
-        "interval_cover": f"""WITH RECURSIVE {T}, cut AS (SELECT ip, ip AS s, ip + ip % 1000 AS e, CAST(NULL AS BIGINT) AS blk, CAST(NULL AS INTEGER) AS len FROM t WHERE ip % 50 = 0 AND ip + ip % 1000 < 4294967296
- UNION ALL SELECT ip, s + (1::BIGINT << bits), e, s, CAST(32 - bits AS INTEGER) FROM (SELECT ip, s, e, (SELECT max(k) FROM range(0, 33) r(k) WHERE s % (1::BIGINT << k) = 0 AND s + (1::BIGINT << k) - 1 <= e) AS bits FROM cut WHERE s <= e)) SELECT ip, blk AS start, len FROM cut WHERE blk IS NOT NULL""",
+        "interval_cover": f"""WITH {T}, a AS (SELECT ip, ip + ip % 1000 AS e, unnest(generate_series(ip, ip + ip % 1000)) AS x FROM t WHERE ip + ip % 1000 < 4294967296),
+ k AS (SELECT ip, x, max(k) AS k FROM a, range(0, 11) g(k) WHERE x - x % (1::BIGINT << k) >= ip AND x - x % (1::BIGINT << k) + (1::BIGINT << k) - 1 <= e GROUP BY ip, x)
+ SELECT DISTINCT ip, x - x % (1::BIGINT << k) AS start, CAST(32 - k AS INTEGER) AS len FROM k""",
         "interval_subtract": f"{_lists_sql()}{_CUT_SQL} SELECT ord::BIGINT AS ord, cidr FROM ({_REST_SQL}) WHERE ord < 2",
-        "remove_whitelisted": f"{_lists_sql()}{_CUT_SQL} SELECT ord::BIGINT AS ord, cidr FROM ({_REST_SQL})",
-        "whitelist_drop_full": f"{_lists_sql()} SELECT ord::BIGINT AS ord, cidr FROM bt WHERE ord NOT IN (SELECT b.ord FROM b JOIN w ON b.start >= w.start AND b.e <= w.e)",
-        "whitelist_covered_union": f"{_lists_sql()}{_CUT_SQL} SELECT ord::BIGINT AS ord, cidr FROM b WHERE ord NOT IN (SELECT ord FROM ({_REST_SQL}))",
-        "whitelist_overlap": f"{_lists_sql()} SELECT ord::BIGINT AS ord, cidr FROM b WHERE EXISTS (SELECT 1 FROM w WHERE b.start <= w.e AND w.start <= b.e)",
-        "publish_bans": f"{_lists_sql()}{_CUT_SQL}, rest AS ({_REST_SQL}) SELECT ord::BIGINT AS ord, cidr, 'bans' AS section FROM rest UNION ALL SELECT ord::BIGINT - 3, cidr, 'blacklist' FROM rest WHERE ord >= 3",
+        "remove_whitelisted": f"{_TABLES}{_CUT_SQL} SELECT ord, cidr FROM ({_REST_SQL})",
+        "remove_whitelisted_odd": f"{_lists_sql()}{_CUT_SQL} SELECT ord::BIGINT AS ord, cidr FROM ({_REST_SQL})",
+        "whitelist_drop_full": f"{_TABLES} SELECT ord, cidr FROM bt WHERE ord NOT IN (SELECT b.ord FROM b JOIN w ON b.start >= w.start AND b.e <= w.e)",
+        "whitelist_covered_union": f"{_TABLES}{_CUT_SQL} SELECT ord, cidr FROM b WHERE ord NOT IN (SELECT ord FROM ({_REST_SQL}))",
+        "whitelist_overlap": f"{_TABLES} SELECT DISTINCT b.ord, b.cidr FROM b JOIN w ON b.start <= w.e AND w.start <= b.e",
+        "publish_bans": f"""WITH RECURSIVE {REQ}, {_event_ranges_sql("bb", "click", 12, 21)}, {_event_ranges_sql("ww", "purchase", 18, 15)}, bt AS (SELECT ord, cidr FROM bb UNION ALL SELECT -ord - 1, cidr FROM ww), wt(ord, cidr) AS (VALUES {_values(WHITE)}), b AS {_PARSED.format("bt")}, w AS {_PARSED.format("wt")}
+ {_CUT_SQL} SELECT CASE WHEN ord < 0 THEN -ord - 1 ELSE ord END AS ord, cidr, CASE WHEN ord < 0 THEN 'blacklist' ELSE 'bans' END AS section FROM ({_REST_SQL})""",
+        "ranges_outermost": f"{_TABLES}, d AS (SELECT DISTINCT start, e, len FROM b) SELECT start, len FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.start <= d.start AND o.e >= d.e AND o.len < d.len)",
+        "ranges_union": f"""{_TABLES}, d AS (SELECT start, e FROM b UNION SELECT start, e FROM w), o AS (SELECT start, e, max(e) OVER (ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM d), i AS (SELECT *, sum(CASE WHEN m IS NULL OR start > m + 1 THEN 1 ELSE 0 END) OVER (ORDER BY start, e ROWS UNBOUNDED PRECEDING) AS k FROM o)
+ SELECT min(start) AS start, max(e) AS "end" FROM i GROUP BY k""",
         "filter_time_wall": f"{w}, {_MIDDLE} SELECT event_id FROM req, b WHERE wall_ts BETWEEN s AND e",
         "filter_time_instant": f"{w}, {_MIDDLE} SELECT event_id FROM req, b WHERE wall_ts - to_seconds(offset_sec) BETWEEN s AND e",
         "filter_time_end_only_missing_ts": f"{w}, {_MIDDLE} SELECT event_id FROM req, b WHERE event_id % 10 = 0 OR wall_ts <= e",
@@ -443,7 +592,12 @@ def oracle_sql() -> dict[str, str]:
         "top_talkers": f"{wt} SELECT ip, cnt FROM t ORDER BY cnt DESC, ip LIMIT 20",
         "top_talkers_ties": f"{wt} SELECT ip, 4::BIGINT AS cnt FROM t ORDER BY ip LIMIT 7",
         "top_talkers_none": f"{wt} SELECT ip, cnt FROM t LIMIT 0",
-        "active_bans_capped": f"{bans} SELECT start, len FROM found ORDER BY start, len LIMIT 500",
+        "active_bans_capped": f"{live_merged} SELECT cidr FROM (SELECT concat({_ip_sql('start')}, '/', len) AS cidr, start, len FROM p2_out) ORDER BY start, len LIMIT 500",
+        "static_report": static,
+        "static_stats": static_stats,
+        "static_jail": static_jail,
+        "stream_window_cluster": f"WITH {REQ}, t AS (SELECT ip, count(*) AS cnt FROM (SELECT * FROM req WHERE ip <> 0 ORDER BY event_id DESC LIMIT 5000) GROUP BY ip), {_cluster_ctes([ClusterSet(50, 16, 28, 0.5)])} SELECT * FROM found",
+        "stream_ua_ttl": f"WITH {REQ}, cut AS (SELECT min(event_id) + (max(event_id) - min(event_id) + 1) // 2 AS c FROM events) SELECT DISTINCT ip, CASE WHEN user_agent = 'view' THEN 1 ELSE -1 END AS verdict FROM req, cut WHERE event_id >= c AND ip <> 0 AND user_agent IN ('view', 'click')",
         "window_survivors_time": f"WITH {_window_ctes(1 << 40)} SELECT * FROM win",
         "window_survivors_size": f"WITH {_window_ctes(200)} SELECT * FROM win",
         "window_ip_stats": f"WITH {_window_ctes(400)} SELECT ip, count(*) AS cnt, arg_max(ts, arrival) AS last FROM win GROUP BY ip",
