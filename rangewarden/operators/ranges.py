@@ -6,6 +6,7 @@ looked up once for each shorter length there is. Nothing compares all ranges wit
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,27 +171,58 @@ def drop_fully_whitelisted(black: DataFrame, white: DataFrame) -> DataFrame:
     return df.join(inside, "cidr", "left_anti").select("ord", "cidr")
 
 
+def _cut(intervals: DataFrame, *keep: str) -> DataFrame:
+    """Intervals (start, end) cut at the borders of the /8s, with their block."""
+    parts = intervals.withColumn("block", F.explode(F.sequence(_block("start"), _block("end"))))
+    return parts.select(*keep, "block", F.greatest("start", F.col("block") * size_of(BLOCK)).alias("start"), F.least("end", (F.col("block") + 1) * size_of(BLOCK) - 1).alias("end"))
+
+
+def _left(black: pd.DataFrame, white: pd.DataFrame) -> pd.DataFrame:
+    """Of a /8: what disjoint white intervals leave of each black one (ord, start, end); a touched one that nothing is left of has nulls."""
+    white = white.sort_values("start")
+    ws, we = white["start"].to_numpy(), white["end"].to_numpy()
+    start, end = black["start"].to_numpy(), black["end"].to_numpy()
+    first, last = np.searchsorted(we, start), np.searchsorted(ws, end, side="right")
+    n = np.maximum(last - first, 0)
+    row = np.repeat(np.arange(len(black)), n + 1)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+    at = first[row] + k
+    # The k-th gap lies between the k-th white interval that touches and the one before it.
+    lo = np.where(k == 0, start[row], we[np.minimum(at - 1, len(we) - 1)] + 1) if len(we) else start[row]
+    hi = np.where(k == n[row], end[row], ws[np.minimum(at, len(ws) - 1)] - 1) if len(ws) else end[row]
+    out = pd.DataFrame({"ord": black["ord"].to_numpy()[row], "start": lo, "end": hi, "touched": n[row] > 0})
+    gaps = out[out["start"] <= out["end"]]
+    gone = out[out["touched"]].drop_duplicates("ord").assign(start=None, end=None)
+    return pd.concat([gaps.astype({"start": object, "end": object}), gone])
+
+
+def _gaps(whole: DataFrame, white: DataFrame) -> DataFrame:
+    """What the union of the whitelist leaves of each range (ord, start, end), in parts by /8, and whether it touches the range (touched)."""
+    ship(whole.sparkSession)
+    holes = _cut(interval_union(_white(white).select(F.col("wstart").alias("start"), F.col("wlen").alias("len"))))
+    parts = _cut(whole.select("ord", "start", "end"), "ord")
+    return parts.groupBy("block").cogroup(holes.groupBy("block")).applyInPandas(_left, "ord long, start long, end long, touched boolean")
+
+
 def remove_whitelisted(black: DataFrame, white: DataFrame) -> DataFrame:
-    """RNG-2, 4: ranges (ord, cidr) less the whitelist, as texts in (ord, cidr).
+    """RNG-2, 4: ranges (ord, cidr) less the whitelist, as texts in (ord, cidr); ord tells the ranges apart.
 
     What isn't a prefix, and what no entry overlaps, stays as it is written; what the union of the
-    entries covers goes; of the rest the gaps come back as prefixes.
+    entries covers goes; of the rest the gaps come back as prefixes. Both sides meet by /8, and the gaps of a range are joined again.
     """
     rows = parsed(black.select("ord", "cidr"))
-    whole = rows.where("start IS NOT NULL")
-    w = _white(white)
-    inside = _within(whole, w).select("ord").distinct()
-    left = whole.join(inside, "ord", "left_anti")
-    # Entries inside a range: here the entry is looked up among the ranges.
-    as_outer = left.select(F.col("start").alias("wstart"), F.col("len").alias("wlen"), "ord", F.col("end").alias("bend"))
-    holes = _within(w.select(F.col("wstart").alias("start"), F.col("wlen").alias("len")), as_outer).select("ord", F.col("wstart").alias("bstart"), "bend", "start", (F.col("start") + size_of(F.col("len")) - 1).alias("end"))
-    order = Window.partitionBy("ord").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = holes.withColumn("from", F.coalesce(reach + 1, "bstart")).withColumn("last", F.row_number().over(Window.partitionBy("ord").orderBy(F.desc("end"), F.desc("start"))) == 1)
-    gaps = marked.select("ord", F.col("from").alias("start"), (F.col("start") - 1).alias("end")).union(marked.where("last").select("ord", (F.col("end") + 1).alias("start"), F.col("bend").alias("end")))
-    parts = cover(gaps.where("start <= end")).select("ord", cidr_text(F.col("start"), F.col("len")).alias("cidr"))
-    verbatim = rows.where("start IS NULL").select("ord", "cidr").union(left.join(holes.select("ord").distinct(), "ord", "left_anti").select("ord", "cidr"))
-    return verbatim.union(parts)
+    own = Window.partitionBy("ord")
+    gaps = _gaps(rows.where("start IS NOT NULL"), white).withColumn("touched", F.max("touched").over(own)).where("start IS NOT NULL")
+    # Gaps that the border of a /8 cut are joined again.
+    order = own.orderBy("start")
+    new = F.when(F.lag("end").over(order) + 1 == F.col("start"), 0).otherwise(1)
+    gaps = gaps.withColumn("new", new).withColumn("gap", F.sum("new").over(order)).groupBy("ord", "gap").agg(F.min("start").alias("from"), F.max("end").alias("to"), F.first("touched").alias("touched"))
+    known = rows.select("ord", "cidr", F.col("start").alias("whole")).join(gaps, "ord", "left").where("whole IS NULL OR from IS NOT NULL")
+    # What stays as it is written stands for one address here, and its text comes back after cover().
+    as_is = ~F.coalesce("touched", F.lit(False))
+    none = F.lit(0).cast("long")
+    each = known.select("ord", F.when(as_is, F.col("cidr")).alias("cidr"), F.when(as_is, none).otherwise(F.col("from")).alias("start"), F.when(as_is, none).otherwise(F.col("to")).alias("end"))
+    return cover(each).select("ord", F.coalesce("cidr", cidr_text(F.col("start"), F.col("len"))).alias("cidr"))
 
 
 def compose_ban_lists(bans: DataFrame, blacklist: DataFrame, white: DataFrame) -> DataFrame:
@@ -200,13 +232,12 @@ def compose_ban_lists(bans: DataFrame, blacklist: DataFrame, white: DataFrame) -
 
 def covered_by_union(black: DataFrame, white: DataFrame) -> DataFrame:
     """JOIN-3: ranges (ord, cidr) that the whitelist's entries together cover."""
-    rows = parsed(black.select("ord", "cidr")).where("start IS NOT NULL").select("ord", "cidr")
-    return rows.join(remove_whitelisted(rows, white).select("ord").distinct(), "ord", "left_anti")
+    whole = parsed(black.select("ord", "cidr")).where("start IS NOT NULL")
+    left = _gaps(whole, white).where("start IS NOT NULL").select("ord").distinct()
+    return whole.select("ord", "cidr").join(left, "ord", "left_anti")
 
 
 def overlapping(black: DataFrame, white: DataFrame) -> DataFrame:
     """JOIN-4: ranges (ord, cidr) that share an address with the whitelist."""
-    whole, w = parsed(black.select("ord", "cidr")).where("start IS NOT NULL"), _white(white)
-    inside = _within(whole, w).select("ord")
-    around = _within(w.select(F.col("wstart").alias("start"), F.col("wlen").alias("len")), whole.select(F.col("start").alias("wstart"), F.col("len").alias("wlen"), "ord")).select("ord")
-    return whole.select("ord", "cidr").join(inside.union(around).distinct(), "ord", "left_semi")
+    whole = parsed(black.select("ord", "cidr")).where("start IS NOT NULL")
+    return whole.select("ord", "cidr").join(_gaps(whole, white).where("touched").select("ord").distinct(), "ord", "left_semi")
