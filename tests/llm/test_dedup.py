@@ -7,10 +7,11 @@ import pytest
 import xxhash
 
 from rangewarden.llm.components import components
+from rangewarden.llm.doubling import repeated_windows
 from rangewarden.llm.embedding_dedup import embedding_groups
 from rangewarden.llm.exact_dedup import exact_dedup, exact_groups
 from rangewarden.llm.simhash import _FIRSTS, fingerprint, group_pairs, linked, near_duplicates, near_pairs, parities, parities_allow, shingle_hashes, simhash_groups
-from rangewarden.llm.suffix_dedup import without_repeats
+from rangewarden.llm.suffix_dedup import BLOCK, without_repeats
 
 WORDS = "of the and thing ontion reble ere wh st Of and, THE ét é ß".split()
 
@@ -246,6 +247,39 @@ def test_repeats_of_many_null_ids(spark):
     assert sorted((str(r["doc_id"]), bytes(r["left"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got) == sorted(brute_repeats(rows))
 
 
+def test_plain_doubling_finds_the_same(spark):
+    df, rows = frame(spark, [t for t in texts(60, 12, 40) if t] + ["x" * 120, "y" * 49, "y" * 50, "y" * 51])
+    keyed = df.where("doc_id IS NOT NULL").selectExpr("doc_id AS doc", "xxhash64(cast(text AS binary)) AS tag", "cast(coalesce(text, '') AS binary) AS body")
+    first = {}
+    known = [(d, (t or "").encode()) for d, t, *_ in rows if d is not None]
+    for d, b in known:
+        for s in range(len(b) - 49):
+            first[b[s : s + 50]] = min(first.get(b[s : s + 50], d), d)
+    want = sorted({(d, s) for d, b in known for s in range(len(b) - 49) if first[b[s : s + 50]] < d})
+    assert want and sorted({(r["doc"], r["at"]) for r in repeated_windows(keyed).collect()}) == want
+
+
+def test_long_texts_lose_what_repeats(spark):
+    rng = random.Random(13)
+    line = lambda n: "".join(rng.choices("abcdefghij klmnop", k=n))
+    shared = line(300)
+    long = line(BLOCK // 2) + shared + line(BLOCK // 2) + shared + line(40)  # more windows than are looked at at once
+    got = {r["doc_id"]: r for r in without_repeats(spark.createDataFrame([(1, "head#" + shared), (2, long)], "doc_id long, text string")).collect()}
+    assert (got[2]["n_bytes"], got[2]["n_removed"], got[2]["n_spans"]) == (len(long), 600, 2) and bytes(got[2]["left"]) == long.replace(shared, "").encode()
+
+
+def test_embeddings_at_the_default_target(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(800, 24))
+    near = base[rng.integers(0, 800, 1600)] + rng.normal(size=(1600, 24)) * rng.choice([0.02, 0.05, 0.065], size=(1600, 1))
+    x = np.concatenate([base, near]).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_groups(df, cell=40).collect()}
+    assert all(got[i] <= n for i, n in enumerate(links)) and sum(got.values()) >= 0.99 * links.sum() > 0
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 16))
