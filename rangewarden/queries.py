@@ -199,17 +199,20 @@ def _end_only(spark, d):
 _MIDDLE = """span AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events), b AS (SELECT date_trunc('second', lo + (hi - lo) / 4) AS s, date_trunc('second', lo + (hi - lo) / 2) AS e FROM span)"""
 
 
+_WINDOW_SETS = [ClusterSet(20, 16, 28, 0.5), ClusterSet(10, 20, 32, 0.9), ClusterSet(5, 16, 26, 1.0)]
+
+
 def _window_rows(spark, d):
     return req(spark, d).where("ip <> 0").select(F.col("wall_ts").alias("ts"), F.col("event_id").alias("arrival"), "ip")
 
 
 def _window(spark, d, size):
     _, hi = _span(spark, d)
-    return windows.survivors(_window_rows(spark, d), F.lit(hi - timedelta(hours=6)).cast("timestamp_ntz"), size)
+    return windows.survivors(_window_rows(spark, d), F.lit(hi - timedelta(hours=240)).cast("timestamp_ntz"), size)
 
 
 def _window_ctes(size):
-    return f"""{REQ}, q AS (SELECT wall_ts AS ts, event_id AS arrival, ip FROM req WHERE ip <> 0), o AS (SELECT *, max(CASE WHEN ts >= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (ORDER BY arrival) AS open FROM q),
+    return f"""{REQ}, q AS (SELECT wall_ts AS ts, event_id AS arrival, ip FROM req WHERE ip <> 0), o AS (SELECT *, max(CASE WHEN ts >= (SELECT max(ts) FROM events) - INTERVAL 240 HOUR THEN 1 ELSE 0 END) OVER (ORDER BY arrival) AS open FROM q),
  win AS (SELECT ts, arrival, ip FROM (SELECT *, row_number() OVER (ORDER BY arrival DESC) AS back FROM o WHERE open = 1) WHERE back <= {size})"""
 
 
@@ -354,7 +357,7 @@ def queries() -> dict:
         "window_survivors_time": lambda s, d: _window(s, d, 1 << 40),
         "window_survivors_size": lambda s, d: _window(s, d, 200),
         "window_ip_stats": lambda s, d: windows.address_stats(_window(s, d, 400)),
-        "window_cluster": lambda s, d: clusters.detect(_window(s, d, 300).groupBy("ip").agg(F.count("*").alias("cnt")), [ClusterSet(20, 16, 28, 0.5)]),
+        "window_cluster": lambda s, d: clusters.detect(_window(s, d, 300).groupBy("ip").agg(F.count("*").alias("cnt")), _WINDOW_SETS),
         "jail_first_offense": _jailed([(0, ["10.0.0.0/24", "203.0.113.0/26"])]),
         "jail_escalate": _jailed(_CLIMB, 301),
         "jail_absorb": _jailed(_ABSORB, 22),
@@ -601,7 +604,7 @@ def oracle_sql() -> dict[str, str]:
         "window_survivors_time": f"WITH {_window_ctes(1 << 40)} SELECT * FROM win",
         "window_survivors_size": f"WITH {_window_ctes(200)} SELECT * FROM win",
         "window_ip_stats": f"WITH {_window_ctes(400)} SELECT ip, count(*) AS cnt, arg_max(ts, arrival) AS last FROM win GROUP BY ip",
-        "window_cluster": f"WITH {_window_ctes(300)}, t AS (SELECT ip, count(*) AS cnt FROM win GROUP BY ip), {_cluster_ctes([ClusterSet(20, 16, 28, 0.5)])} SELECT * FROM found",
+        "window_cluster": f"WITH {_window_ctes(300)}, t AS (SELECT ip, count(*) AS cnt FROM win GROUP BY ip), {_cluster_ctes(_WINDOW_SETS)} SELECT * FROM found",
         "jail_first_offense": "SELECT * FROM (VALUES (1, '10.0.0.0/24', 0::BIGINT, true), (1, '203.0.113.0/26', 0, true)) x(stage, cidr, minute, active)",
         "jail_escalate": "SELECT 3 AS stage, '10.0.0.0/24' AS cidr, 300::BIGINT AS minute, true AS active",
         "jail_absorb": "SELECT * FROM (VALUES (1, '10.0.0.0/24', 0::BIGINT, false), (2, '10.0.1.0/24', 20, true)) x(stage, cidr, minute, active)",
