@@ -50,6 +50,7 @@ def parser() -> argparse.ArgumentParser:
             m.add_argument("--range", action="append", dest="ranges")
             m.add_argument("--compact", action="store_true")
             m.add_argument("--plain", action="store_true")
+            m.add_argument("--view", nargs="?", const="", help="maps and ranges as text, of all tries or of the one that is named")
         else:
             for flag in ("--port", "--stats-listen", "--landing"):
                 m.add_argument(flag)
@@ -65,7 +66,7 @@ def parser() -> argparse.ArgumentParser:
 
 def configured(args: argparse.Namespace) -> Config:
     """A configuration file, or flags; a file leaves no other flag but those of output and logging."""
-    flags = {k: v for k, v in vars(args).items() if k not in ("mode", "config", "compact", "plain", "log_level", "log_form", "landing") and v is not None}
+    flags = {k: v for k, v in vars(args).items() if k not in ("mode", "config", "compact", "plain", "view", "log_level", "log_form", "landing") and v is not None}
     if args.config:
         if flags:
             raise ConfigError([f"--config excludes --{k.replace('_', '-')}" for k in flags])
@@ -93,9 +94,13 @@ def main(argv: list[str] | None = None) -> int:
 
         print("\n".join(scaffold(spark, args.folder, args.lines, args.seed)))
     elif args.mode == "static":
-        from rangewarden.plans.report import to_compact_json, to_json, to_plain
+        from rangewarden.plans.report import to_compact_json, to_json, to_plain, to_view
         from rangewarden.plans.static import run_static
 
+        if args.view is not None:
+            report = run_static(spark, config, grids=True)
+            print(to_view(report, report.get("grids", {}), args.view or None))
+            return 0
         print((to_plain if args.plain else to_compact_json if args.compact else to_json)(run_static(spark, config)))
     else:
         run_live(spark, config, args.landing)

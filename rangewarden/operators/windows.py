@@ -29,3 +29,10 @@ def survivors(rows: DataFrame, cutoff: Column, max_size: int, *by: str) -> DataF
 def address_stats(rows: DataFrame, *by: str) -> DataFrame:
     """AGG-16: for each address its requests in the window and the time of the latest arrival."""
     return rows.groupBy(*by, "ip").agg(F.count("*").alias("cnt"), F.max_by("ts", "arrival").alias("last"))
+
+
+def rates(requests: DataFrame, by: Column, name: str, seconds: int = 10) -> DataFrame:
+    """AGG-21: requests a second in each span of so many seconds (from its begin), by a column such as the status or the /24; partial counts travel."""
+    begin = F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("wall_ts").cast("timestamp")) / seconds) * seconds).cast("timestamp_ntz")
+    counted = requests.where("wall_ts IS NOT NULL").groupBy(begin.alias("begin"), by.alias(name)).agg(F.count("*").alias("n"))
+    return counted.select("begin", name, (F.col("n") / seconds).alias("rate"))

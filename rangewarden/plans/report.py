@@ -47,6 +47,30 @@ c.onmousemove=e=>{{const k=Math.floor(e.offsetY/4)+'.'+Math.floor(e.offsetX/4);d
 </script></body></html>"""
 
 
+#: Fixed value: characters from no traffic to the most.
+SHADES = " .:-=+*#%@"
+
+
+def grid_text(cells: list[tuple[int, int, int]], scale: int = 8) -> str:
+    """SNK-8: the /16 grid as text, blocks of scale by scale cells, first octets down and second ones across, shaded by the logarithm of their requests."""
+    sums: dict[tuple[int, int], int] = {}
+    for a, b, n in cells:
+        sums[a // scale, b // scale] = sums.get((a // scale, b // scale), 0) + n
+    most, side = max(sums.values(), default=1), -(-256 // scale)
+    shade = lambda n: SHADES[math.ceil(math.log1p(n) / math.log1p(most) * (len(SHADES) - 1))] if n else SHADES[0]
+    rows = ["".join(shade(sums.get((i, j), 0)) for j in range(side)) for i in range(side)]
+    return "\n".join(["     +" + "-" * side + "+", *(f"{i * scale:4d} |{row}|" for i, row in enumerate(rows)), "     +" + "-" * side + "+"]) + "\n"
+
+
+def to_view(report: dict, grids: dict[str, list[tuple[int, int, int]]], trie: str | None = None) -> str:
+    """SNK-8: a page for each trie, or for one: its grid, counters and ranges as text."""
+    out = []
+    for t in report["tries"]:
+        if trie in (None, t["name"]):
+            out.append(f"=== {t['name']} ===\n" + grid_text(grids.get(t["name"], [])) + to_plain(report | {"tries": [t], "warnings": [], "errors": []}))
+    return "\n".join(out)
+
+
 def escape_label(value: str) -> str:
     return value.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
 

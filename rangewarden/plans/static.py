@@ -40,10 +40,10 @@ def trie_counts(requests: DataFrame, tries: list[Trie]) -> DataFrame:
     return each.groupBy("trie", of_trie("ip"), of_trie("verdict")).agg(F.count("*").alias("cnt"), *bad)
 
 
-def analyse(spark: SparkSession, requests: DataFrame, tries: list[Trie], agents: DataFrame | None = None, plot: bool = False) -> dict:
+def analyse(spark: SparkSession, requests: DataFrame, tries: list[Trie], agents: DataFrame | None = None, plot: bool = False, grids: bool = False) -> dict:
     """The report: for each trie its counters, ranges and clusters, detected and merged. What reaches the driver are counters, found ranges and listed addresses.
 
-    plot: also the requests of each /16, as cells.
+    plot: also the requests of each /16, as cells. grids: also those of each trie, by its name.
     """
     if agents is not None:
         requests = filters.with_verdict(requests, agents)
@@ -83,12 +83,15 @@ def analyse(spark: SparkSession, requests: DataFrame, tries: list[Trie], agents:
         listed = of_trie.where(valid & F.col("verdict").isin(1, -1)).select("verdict", "ip").distinct().orderBy("ip").collect() if agents is not None else []
         lists = {v: [format_cidr(r["ip"], 32) for r in listed if r["verdict"] == v] for v in (1, -1)}
         cells = [(r["o1"], r["o2"], r["n"]) for r in grid(of_trie.where(valid & (F.col("trie") == len(tries))).select("ip", "cnt")).collect()] if plot else []
+        by_trie: dict[str, list[tuple[int, int, int]]] = {t.name: [] for t in tries}
+        for r in grid(counts.where(F.col("trie") < len(tries)), "trie").collect() if grids else []:  # 65,536 cells a trie at most
+            by_trie[tries[r["trie"]].name].append((r["o1"], r["o2"], r["n"]))
     finally:
         every.unpersist()
     out.sort(key=lambda x: x["name"])
     whole = stats.get(ALL)
     lines = {"total_requests": whole["lines"], "bad_status": whole["bad_status"], "bad_bytes": whole["bad_bytes"]} if whole else {"total_requests": 0, "bad_status": 0, "bad_bytes": 0}
-    return {"general": {"unique_ips": max((x["stats"]["unique_ips"] for x in out), default=0)}, "tries": out, "ua_whitelist_ips": lists[1], "ua_blacklist_ips": lists[-1], "lines": lines, "cells": cells, "errors": errors}
+    return {"general": {"unique_ips": max((x["stats"]["unique_ips"] for x in out), default=0)}, "tries": out, "ua_whitelist_ips": lists[1], "ua_blacklist_ips": lists[-1], "lines": lines, "cells": cells, "grids": by_trie, "errors": errors}
 
 
 def merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -122,7 +125,7 @@ def active_filters(p: dict, lists: dict[str, list[str]]) -> list[str]:
     return [f"{names[k]}: {p[k]}" for k in names if k in p] + [f"{counted[k]}: {len(v):,} entries" for k, v in lists.items() if v]
 
 
-def run_static(spark: SparkSession, config: Config, now: datetime | None = None) -> dict:
+def run_static(spark: SparkSession, config: Config, now: datetime | None = None, grids: bool = False) -> dict:
     """SRC to JAIL-9 for a configuration: checks it, analyses its log, updates jail and ban file, returns the report."""
     config.validate("static")
     began, now, lists = time.time(), now or datetime.now(timezone.utc), config.lists()
@@ -132,8 +135,10 @@ def run_static(spark: SparkSession, config: Config, now: datetime | None = None)
     requests = parse_ips(lines, config.log_format) if plain else parse_lines(lines, config.log_format)
     agents = filters.user_agent_list(spark, lists["ua_whitelist"], lists["ua_blacklist"]) if listed else None
     warnings: list[dict] = []
-    report = analyse(spark, requests, config.tries, agents, plot=bool(config.plot_path))
+    report = analyse(spark, requests, config.tries, agents, plot=bool(config.plot_path), grids=grids)
     counted, cells = report.pop("lines"), report.pop("cells")
+    if not grids:
+        report.pop("grids")
     total = counted["total_requests"]
     if not total:
         return {"general": {"log_file": config.log_file, "total_requests": 0, "unique_ips": 0, "generated_at": now.isoformat()}, "tries": [], "warnings": [{"type": "empty_logfile", "message": "the log has no lines"}], "errors": []}

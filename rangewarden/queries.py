@@ -358,6 +358,8 @@ def queries() -> dict:
         "window_survivors_size": lambda s, d: _window(s, d, 200),
         "window_ip_stats": lambda s, d: windows.address_stats(_window(s, d, 400)),
         "window_cluster": lambda s, d: clusters.detect(_window(s, d, 300).groupBy("ip").agg(F.count("*").alias("cnt")), _WINDOW_SETS),
+        "request_rates": lambda s, d: windows.rates(req(s, d).where("ip <> 0"), ipcalc.subnet24(ipcalc.long_to_ip(F.col("ip"))), "subnet"),
+        "request_rates_by_agent": lambda s, d: windows.rates(req(s, d), F.col("user_agent"), "user_agent", 3600),
         "jail_first_offense": _jailed([(0, ["10.0.0.0/24", "203.0.113.0/26"])]),
         "jail_escalate": _jailed(_CLIMB, 301),
         "jail_absorb": _jailed(_ABSORB, 22),
@@ -605,6 +607,8 @@ def oracle_sql() -> dict[str, str]:
         "window_survivors_size": f"WITH {_window_ctes(200)} SELECT * FROM win",
         "window_ip_stats": f"WITH {_window_ctes(400)} SELECT ip, count(*) AS cnt, arg_max(ts, arrival) AS last FROM win GROUP BY ip",
         "window_cluster": f"WITH {_window_ctes(300)}, t AS (SELECT ip, count(*) AS cnt FROM win GROUP BY ip), {_cluster_ctes(_WINDOW_SETS)} SELECT * FROM found",
+        "request_rates": f"{w} SELECT time_bucket(INTERVAL 10 SECOND, wall_ts, TIMESTAMP '1970-01-01') AS begin, concat_ws('.', ip >> 24, (ip >> 16) & 255, (ip >> 8) & 255, '0/24') AS subnet, count(*) / 10 AS rate FROM req WHERE ip <> 0 GROUP BY ALL",
+        "request_rates_by_agent": f"{w} SELECT time_bucket(INTERVAL 3600 SECOND, wall_ts, TIMESTAMP '1970-01-01') AS begin, user_agent, count(*) / 3600 AS rate FROM req GROUP BY ALL",
         "jail_first_offense": "SELECT * FROM (VALUES (1, '10.0.0.0/24', 0::BIGINT, true), (1, '203.0.113.0/26', 0, true)) x(stage, cidr, minute, active)",
         "jail_escalate": "SELECT 3 AS stage, '10.0.0.0/24' AS cidr, 300::BIGINT AS minute, true AS active",
         "jail_absorb": "SELECT * FROM (VALUES (1, '10.0.0.0/24', 0::BIGINT, false), (2, '10.0.1.0/24', 20, true)) x(stage, cidr, minute, active)",

@@ -5,7 +5,7 @@ import pytest
 
 from rangewarden.operators.clusters import ClusterSet
 from rangewarden.plans.config import ConfigError, Trie, from_flags, from_toml, quoted
-from rangewarden.plans.report import metrics, to_compact_json, to_json, to_plain
+from rangewarden.plans.report import grid_text, metrics, to_compact_json, to_json, to_plain, to_view
 from rangewarden.plans.static import analyse, run_static
 from rangewarden.streaming.live import LiveEngine, serve
 
@@ -81,6 +81,15 @@ def test_empty_log(spark, tmp_path):
     assert report["warnings"][0]["type"] == "empty_logfile"
 
 
+def test_view_as_text(spark, folder):
+    report = run_static(spark, from_toml(TOML.format(d=folder)), datetime(2025, 3, 1, tzinfo=timezone.utc), grids=True)
+    assert sum(n for *_, n in report["grids"]["all"]) == 2700 and sum(n for *_, n in report["grids"]["api"]) == 200
+    pages = to_view(report, report["grids"])
+    assert "=== all ===" in pages and "=== api ===" in pages and "=== all ===" not in to_view(report, report["grids"], "api")
+    rows = grid_text([(0, 0, 1), (8, 255, 100)]).splitlines()
+    assert len(rows) == 34 and rows[1].startswith("   0 |") and rows[1][6] != " " and rows[2].endswith("@|") and rows[3].strip("16 |") == ""
+
+
 def test_warnings(spark, folder):
     report = run_static(spark, from_toml(TOML.format(d=folder)), datetime(2025, 3, 1, tzinfo=timezone.utc))
     kinds = {w["type"] for w in report["warnings"]}
