@@ -43,6 +43,11 @@ def detect(counts: DataFrame, sets: list[ClusterSet], *by: str, owners: list | N
         for i, s in enumerate(sets)
     ]
     least = min(s.min_size for s in sets)
+    if least > 0 and lo > 0:
+        # Counts only fall along a path: below a shortest prefix of fewer requests there is nothing to find, and most addresses are there.
+        top = prefix_of(F.col("ip"), lo).alias("_top")
+        heavy = counts.groupBy(*by, top).agg(F.sum("cnt").alias("_n")).where(F.col("_n") >= least).select(*by, "_top")
+        counts = counts.select(*by, "ip", "cnt", top).join(heavy, [*by, "_top"], "left_semi").drop("_top")
     nodes = prefix_counts(counts, lo, hi, *by).where(F.col("cnt") >= least).select("*", F.explode(F.array(*known)).alias("s")).select("*", "s.*").drop("s")
     if owners:
         nodes = nodes.where(F.col("owner") == F.col(by[0]))
