@@ -22,6 +22,10 @@ TILE = 8192
 TOGETHER = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
+#: Words compared at once, so that they stay in a core's cache; pairs found that are turned into edges at once.
+AT_ONCE, FOUND = 1 << 16, 1 << 20
+#: Bits of a block by which words of two tiles are matched: below the least all words are compared, beyond the most they don't count.
+LEAST_BITS, MOST_BITS = 8, 16
 #: Groups of texts with a common hash up to this size are compared pair by pair; rows of groups at once.
 SMALL, MEET = 64, 1 << 16
 #: Texts, the nearest by fingerprint, that a text of a large group meets at first.
@@ -71,20 +75,54 @@ def fingerprints(df: DataFrame, words: int) -> DataFrame:
     return texts(df, "doc_id").mapInArrow(freed(run), "doc_id long, fp long")
 
 
-def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarray:
-    """Edges between places of a, then b, that join whatever words differ in at most radius bits; with same, a is b.
+def matches(words: np.ndarray, radius: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each of radius + 1 blocks of bits: its first bit, its mask, the words' places in order of the block, and where each value begins. None if the blocks are too short to tell words apart."""
+    out, cuts = [], [64 * k // (radius + 1) for k in range(radius + 2)]
+    if cuts[1] < LEAST_BITS:
+        return out
+    for lo, hi in itertools.pairwise(cuts):
+        mask = (1 << min(hi - lo, MOST_BITS)) - 1
+        value = (words >> np.uint64(lo) & np.uint64(mask)).astype(np.int64)
+        out.append((lo, mask, np.argsort(value, kind="stable"), np.r_[0, np.cumsum(np.bincount(value, minlength=mask + 1))]))
+    return out
+
 
-    The edges of a block of rows lead to the first place each place reaches: no more than places, however many pairs are near.
+def near_words(a: np.ndarray, b: np.ndarray, radius: int, known: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all words of a and b that differ in at most radius bits, in parts; a pair may come more than once. known: matches() of b.
+
+    Words that near agree in one of radius + 1 blocks of bits at least: only those that do are compared by exclusive-or, unless so many do that comparing all is less work.
+    """
+    known = matches(b, radius) if known is None else known
+    asked = []
+    for lo, mask, order, begins in known:
+        value = (a >> np.uint64(lo) & np.uint64(mask)).astype(np.int64)
+        asked.append((order, begins[value], begins[value + 1] - begins[value]))
+    if not asked or sum(int(n.sum()) for _, _, n in asked) * 16 > len(a) * len(b):
+        step = max(1, AT_ONCE // max(1, len(b)))
+        for lo in range(0, len(a), step):
+            near = np.bitwise_count(a[lo : lo + step, None] ^ b[None]) <= radius
+            if near.any():
+                i, j = np.nonzero(near)
+                yield i + lo, j
+        return
+    for order, first, n in asked:
+        i = np.repeat(np.arange(len(a)), n)
+        j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - first, n)]
+        near = np.bitwise_count(a[i] ^ b[j]) <= radius
+        if near.any():
+            yield i[near], j[near]
+
+
+def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool, known: list | None = None) -> np.ndarray:
+    """Edges between places of a, then b, that join whatever words differ in at most radius bits; with same, a is b. known: matches() of b.
+
+    The edges of a part of the pairs lead to the first place each place reaches: no more than places, however many pairs are near.
     """
     edges: list[np.ndarray] = []
     shift = 0 if same else len(a)
-    step = max(1, (1 << 22) // max(1, len(b)))
-    for lo in range(0, len(a), step):
-        i, j = np.nonzero(np.bitwise_count(a[lo : lo + step, None] ^ b[None]) <= radius)
-        i, j = i + lo, j + shift
-        i, j = i[i < j], j[i < j]
-        if not len(i):
-            continue
+
+    def join(parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
         label = np.arange(len(b) + shift)
         while True:
             least = np.minimum(label[i], label[j])
@@ -94,6 +132,19 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarray:
             np.minimum.at(label, j, least)
         far = np.flatnonzero(label != np.arange(len(label)))
         edges.append(np.stack([label[far], far], axis=1))
+
+    waiting, n = [], 0
+    for i, j in near_words(a, b, radius, known):
+        j = j + shift
+        i, j = i[i < j], j[i < j]
+        if len(i):
+            waiting.append((i, j))
+            n += len(i)
+        if n >= FOUND:
+            join(waiting)
+            waiting, n = [], 0
+    if waiting:
+        join(waiting)
     return np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
 
 
@@ -102,7 +153,7 @@ def near_pairs(fps: DataFrame, radius: int, tile: int = TILE, together: int = TO
 
     Fingerprints are dealt into tiles by the bits set in their two halves; a tile holds at most about
     ``tile`` of them. A pair of tiles whose counts differ by more than the radius in sum is skipped, as
-    no pair in it can be near; any other pair of tiles is compared in full by exclusive-or and bit counts.
+    no pair in it can be near; any other pair of tiles is compared by exclusive-or and bit counts, see near_words().
     Tiles are dealt into strips of about ``together``; a task compares one strip with another, so a tile
     travels once for each strip and not once for each tile it meets.
     """
@@ -120,13 +171,13 @@ def near_pairs(fps: DataFrame, radius: int, tile: int = TILE, together: int = TO
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def block(place: int | None, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for i, (strip, hi, lo, part, a) in enumerate(held):
-            for other, hi2, lo2, part2, b in held[i:]:
+        for i, (strip, hi, lo, part, a, _) in enumerate(held):
+            for other, hi2, lo2, part2, b, known in held[i:]:
                 same = (strip, hi, lo, part) == (other, hi2, lo2, part2)
                 # Tiles of one strip meet in the block of that strip alone.
                 if abs(hi - hi2) + abs(lo - lo2) > radius or strip == other and place != strip * strips + strip:
                     continue
-                found, both = linked(a, b, radius, same), (a if same else np.r_[a, b]).view(np.int64)
+                found, both = linked(a, b, radius, same, known), (a if same else np.r_[a, b]).view(np.int64)
                 if len(found):
                     yield record(schema, pa.array(both[found[:, 0]]), pa.array(both[found[:, 1]]))
 
@@ -138,7 +189,8 @@ def near_pairs(fps: DataFrame, radius: int, tile: int = TILE, together: int = TO
                 if place != now:
                     yield from block(now, held)
                     now, held = place, []
-                held.append((*(batch.column(c)[k].as_py() for c in range(1, 5)), np.array(batch.column(5)[k].values).view(np.uint64)))
+                words = np.array(batch.column(5)[k].values).view(np.uint64)
+                held.append((*(batch.column(c)[k].as_py() for c in range(1, 5)), words, matches(words, radius)))
         yield from block(now, held)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,7 +10,7 @@ from rangewarden.llm.components import components
 from rangewarden.llm.doubling import repeated_windows
 from rangewarden.llm.embedding_dedup import embedding_groups
 from rangewarden.llm.exact_dedup import exact_dedup, exact_groups
-from rangewarden.llm.simhash import _FIRSTS, fingerprint, group_pairs, linked, near_duplicates, near_pairs, parities, parities_allow, shingle_hashes, simhash_groups
+from rangewarden.llm.simhash import _FIRSTS, fingerprint, group_pairs, linked, matches, near_duplicates, near_pairs, near_words, parities, parities_allow, shingle_hashes, simhash_groups
 from rangewarden.llm.suffix_dedup import BLOCK, without_repeats
 
 WORDS = "of the and thing ontion reble ere wh st Of and, THE ét é ß".split()
@@ -298,3 +298,18 @@ def test_embeddings(spark):
         n[j] += 1
     assert {k: (r["n_links"], r["component_id"], r["kept"]) for k, r in got.items()} == {i: (n[i], comp[i], comp[i] == i) for i in range(len(x))}
     assert embedding_groups(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("radius", [0, 3, 4, 7, 12])
+def test_tiles_find_each_pair_and_compare_few(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    flips = np.array([sum(1 << int(k) for k in rng.choice(64, rng.integers(0, radius + 3), replace=False)) for _ in base], dtype=np.uint64)
+    a, b = base, base ^ flips
+    want = {(i, j) for i, j in zip(*np.nonzero(np.bitwise_count(a[:, None] ^ b[None]) <= radius), strict=True)}
+    assert {(x, y) for i, j in near_words(a, b, radius) for x, y in zip(i, j, strict=True)} == want and len(want) > 100
+    same = np.repeat(base[:3], 200)  # all are near: comparing all is less work
+    assert sum(len(i) for i, _ in near_words(same, same, radius)) >= 3 * 200 * 200
+    # Of words at random, tiles at radius 4 match less than a hundredth.
+    tried = sum(int((begins[1:] - begins[:-1]).astype(float) @ (begins[1:] - begins[:-1])) for _, _, _, begins in matches(a, radius))
+    assert tried < 0.01 * len(a) ** 2 + (radius + 1) * len(a) * 2 or radius > 4
