@@ -26,12 +26,12 @@ BLOCK = 1 << 16
 AT_ONCE, FOUND = 1 << 16, 1 << 20
 #: Bits of a block by which words of two tiles are matched: below the least all words are compared, beyond the most they don't count.
 LEAST_BITS, MOST_BITS = 8, 16
-#: Groups of texts with a common hash up to this size are compared pair by pair; rows of groups at once.
-SMALL, MEET = 64, 1 << 16
+#: Groups of texts with a common hash up to this size are compared pair by pair; rows of groups, and pairs, at once.
+SMALL, MEET, PAIRS = 64, 1 << 16, 1 << 18
 #: Texts, the nearest by fingerprint, that a text of a large group meets at first.
 NEAREST = 8
-#: Documents, and characters of each, that tell which hashes are common: it changes the work, not the result.
-SAMPLE, SAMPLE_CHARS = 2000, 4000
+#: Documents (at least, and a share of all), and characters of each, that tell which hashes are common, and how many are held: it changes the work, not the result.
+SAMPLE, SAMPLE_SHARE, SAMPLE_CHARS, COMMON = 2000, 1 / 64, 4000, 1 << 17
 _FIRSTS = np.dtype([("hash", "<i8"), ("key", "<i8"), ("fp", "<u8"), ("n", "<i8"), ("at", "<i8")])
 _OPEN = np.dtype([("hash", "<i8"), ("key", "<i8"), ("fp", "<u8"), ("n", "<i8"), ("at", "<i8"), ("label", "<i8")])
 _PAIRS = np.dtype([("a", "<i8"), ("b", "<i8"), ("tree", "?"), ("hash", "<i8")])
@@ -291,12 +291,17 @@ def grown(group: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray
 
 
 def group_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
-    """Of rows sorted by hash: pairs (a, b, tree, hash) of keys that share a hash and may be similar.
+    """All of pairs_of_groups() at once."""
+    return np.concatenate([np.zeros(0, _PAIRS), *pairs_of_groups(rows, radius, similarity)])
+
+
+def pairs_of_groups(rows: np.ndarray, radius: int, similarity: float) -> Iterator[np.ndarray]:
+    """Of rows sorted by hash: pairs (a, b, tree, hash) of keys that share a hash and may be similar, in parts.
 
     In groups of more than SMALL each one meets those before it whose fingerprints are nearest, if they are within the radius
     (the nearest makes a tree), and besides only those that no chain of trees' pairs joins it with.
     """
-    found, new = [], np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]
+    new = np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]
     size = np.diff(np.r_[np.flatnonzero(new), len(rows)])
     small = rows[np.repeat((size > 1) & (size <= SMALL), size)]
     for d in range(1, SMALL):
@@ -306,20 +311,19 @@ def group_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
             break
         a, b = a[same], b[same]
         may = _may_be_similar(a["n"], a["at"], b["n"], b["at"], similarity)
-        found.append(_pairs(a[may], b[may]))
+        yield _pairs(a[may], b[may])
     for lo, k in zip(np.flatnonzero(new)[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         group = rows[lo : lo + k]
         label, near = grown(group, radius, similarity)
-        found += near
+        yield from near
         for at, may in _rows_before(group, similarity):
             i, j = np.nonzero(may & (label[at : at + len(may), None] != label[None]))
-            found.append(_pairs(group[i + at], group[j]))
-    return np.concatenate(found) if found else np.zeros(0, _PAIRS)
+            yield _pairs(group[i + at], group[j])
 
 
-def open_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+def open_pairs(rows: np.ndarray, radius: int, similarity: float) -> Iterator[np.ndarray]:
     """Of rows sorted by hash, with the groups of linked texts they are in (label): what one tree joins and links don't. All but the largest linked group of a tree meet the others of the tree."""
-    found, new = [np.zeros(0, _PAIRS)], np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]
+    new = np.r_[True, rows["hash"][1:] != rows["hash"][:-1]]
     for group in np.split(rows, np.flatnonzero(new)[1:]):
         tree, _ = grown(group, radius, similarity)
         order = np.argsort(tree, kind="stable")
@@ -327,20 +331,24 @@ def open_pairs(rows: np.ndarray, radius: int, similarity: float) -> np.ndarray:
             labels, n = np.unique(own["label"], return_counts=True)
             for x in own[own["label"] != labels[n.argmax()]] if len(labels) > 1 else ():
                 y = own[(own["label"] != x["label"]) & _may_be_similar(x["n"], x["at"], own["n"], own["at"], similarity)]
-                found.append(_pairs(np.full(len(y), x), y))
-    return np.concatenate(found)
+                yield _pairs(np.full(len(y), x), y)
 
 
 def common_hashes(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that a sample of the texts holds more than once, sorted, and how often."""
-    seen: dict[int, int] = {}
-    share = min(1.0, SAMPLE / max(1, docs.count()))
+    share = max(SAMPLE_SHARE, min(1.0, SAMPLE / max(1, docs.count())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(shingle_hashes(text, words), dtype="<u8")).view(np.int64))], names=["hash"])
+
     picked = docs.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    for (text,) in picked.select(F.substring("text", 1, SAMPLE_CHARS)).limit(2 * SAMPLE).collect():
-        for h in set(shingle_hashes(text, words)):
-            seen[h] = seen.get(h, 0) + 1
-    often = sorted(h for h, n in seen.items() if n > 1)
-    return np.array(often, dtype="<u8"), np.array([seen[h] for h in often], dtype=np.int64)
+    seen = picked.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).mapInArrow(freed(run), "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    often = seen.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
+    hashes, times = (often.column(c).to_numpy() for c in ("hash", "n"))
+    order = np.argsort(hashes.view("<u8"))
+    return hashes.view("<u8")[order], times[order].astype(np.int64)
 
 
 def profiles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -376,8 +384,21 @@ def _plain(pairs: np.ndarray) -> np.ndarray:
     return out
 
 
+def in_parts(found: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Pairs, about PAIRS of them held at once. One may come from many hashes: once in a part is enough, but for those of trees."""
+    waiting, n = [], 0
+    for part in itertools.chain(found, [None]):
+        if part is not None:
+            waiting.append(part)
+            n += len(part)
+        if n and (part is None or n >= PAIRS):
+            both = np.concatenate(waiting)
+            waiting, n = [], 0
+            yield np.unique(np.where(both["tree"], both, _plain(both)))
+
+
 def met(rows: DataFrame, kind: np.dtype, fn) -> DataFrame:
-    """Pairs (a, b) that fn makes of the rows of one hash or more, which it gets together, sorted by hash and key; and the hashes in whose trees a pair is."""
+    """Pairs (a, b) that fn makes, in parts, of the rows of one hash or more, which it gets together, sorted by hash and key; and the hashes in whose trees a pair is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, most = [], 0
@@ -395,11 +416,9 @@ def met(rows: DataFrame, kind: np.dtype, fn) -> DataFrame:
             # The last group may go on in the next batch.
             end = len(part) if b is None or not len(part) else int(np.searchsorted(part["hash"], part["hash"][-1]))
             waiting, most = [part[end:]], 0
-            found = fn(part[:end]) if end else np.zeros(0, _PAIRS)
-            # A pair may come from many hashes: once is enough, but for those of trees.
-            found = np.unique(np.where(found["tree"], found, _plain(found)))
-            for lo in range(0, len(found), MEET):
-                yield pa.RecordBatch.from_arrays([pa.array(found[c][lo : lo + MEET]) for c in _PAIRS.names], names=list(_PAIRS.names))
+            for found in in_parts(fn(part[:end])) if end else ():
+                for lo in range(0, len(found), MEET):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[c][lo : lo + MEET]) for c in _PAIRS.names], names=list(_PAIRS.names))
 
     out = rows.select(*kind.names).repartition("hash").sortWithinPartitions("hash", "key").mapInArrow(freed(run), "a long, b long, tree boolean, hash long")
     return out.groupBy("a", "b").agg(F.collect_set(F.when(F.col("tree"), F.col("hash"))).alias("hashes"))
@@ -442,7 +461,7 @@ def similar_links(first: DataFrame, docs: DataFrame, words: int, radius: int, si
     the tree joined and the links don't: under each hash whose tree has such a pair, all but the largest of these meet the others.
     """
     hashes, known = first.where("hash IS NOT NULL"), first.where("hash IS NULL").select("key", "odd", "n").dropDuplicates(["key"])
-    pairs = written(met(hashes, _FIRSTS, lambda rows: group_pairs(rows, radius, similarity)))
+    pairs = written(met(hashes, _FIRSTS, lambda rows: pairs_of_groups(rows, radius, similarity)))
     links = [verified(pairs, known, docs, words, similarity)]
     failed = written(pairs.where("size(hashes) > 0").join(links[0], ["a", "b"], "left_anti").select("a", "b", F.explode("hashes").alias("hash")))
     if not failed.isEmpty():

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from rangewarden.llm.components import components
 from rangewarden.llm.doubling import repeated_windows
 from rangewarden.llm.embedding_dedup import embedding_groups
 from rangewarden.llm.exact_dedup import exact_dedup, exact_groups
-from rangewarden.llm.simhash import _FIRSTS, fingerprint, group_pairs, linked, matches, near_duplicates, near_pairs, near_words, parities, parities_allow, shingle_hashes, simhash_groups
+from rangewarden.llm.simhash import _FIRSTS, fingerprint, group_pairs, in_parts, linked, matches, near_duplicates, near_pairs, near_words, pairs_of_groups, parities, parities_allow, shingle_hashes, simhash_groups
 from rangewarden.llm.suffix_dedup import BLOCK, without_repeats
 
 WORDS = "of the and thing ontion reble ere wh st Of and, THE ét é ß".split()
@@ -313,3 +314,13 @@ def test_tiles_find_each_pair_and_compare_few(radius):
     # Of words at random, tiles at radius 4 match less than a hundredth.
     tried = sum(int((begins[1:] - begins[:-1]).astype(float) @ (begins[1:] - begins[:-1])) for _, _, _, begins in matches(a, radius))
     assert tried < 0.01 * len(a) ** 2 + (radius + 1) * len(a) * 2 or radius > 4
+
+
+def test_pairs_of_large_groups_come_in_parts():
+    rng = np.random.default_rng(6)
+    rows = np.zeros(3000, _FIRSTS)
+    rows["key"], rows["n"], rows["fp"] = np.arange(3000), 50, rng.integers(0, 1 << 63, 3000, dtype=np.uint64)  # unrelated texts with a common hash
+    tracemalloc.start()
+    n = sum(len(part) for part in in_parts(pairs_of_groups(rows, 3, 0.8)))
+    assert n == 3000 * 2999 // 2 and tracemalloc.get_traced_memory()[1] < 80e6  # all pairs at once take 112 MB, and several times that with their copies
+    tracemalloc.stop()
