@@ -28,6 +28,8 @@ AT_ONCE, FOUND = 1 << 16, 1 << 20
 LEAST_BITS, MOST_BITS = 8, 16
 #: Groups of texts with a common hash up to this size are compared pair by pair; rows of groups, and pairs, at once.
 SMALL, MEET, PAIRS = 64, 1 << 16, 1 << 18
+#: Tiles of texts that travel together: a task compares one such strip with another.
+STRIP = 8
 #: Texts, the nearest by fingerprint, that a text of a large group meets at first.
 NEAREST = 8
 #: Documents (at least, and a share of all), and characters of each, that tell which hashes are common, and how many are held: it changes the work, not the result.
@@ -378,12 +380,6 @@ def profiles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     return docs.select("key", "doc", "text").mapInArrow(freed(run), "hash long, key long, fp long, n int, at int, doc long, odd binary")
 
 
-def _plain(pairs: np.ndarray) -> np.ndarray:
-    out = pairs.copy()
-    out["hash"] = 0
-    return out
-
-
 def in_parts(found: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
     """Pairs, about PAIRS of them held at once. One may come from many hashes: once in a part is enough, but for those of trees."""
     waiting, n = [], 0
@@ -394,7 +390,9 @@ def in_parts(found: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
         if n and (part is None or n >= PAIRS):
             both = np.concatenate(waiting)
             waiting, n = [], 0
-            yield np.unique(np.where(both["tree"], both, _plain(both)))
+            both["hash"][~both["tree"]] = 0
+            both = both[np.lexsort([both[c] for c in ("hash", "tree", "b", "a")])]  # sorting whole records takes far longer
+            yield both[np.r_[True, np.any([both[c][1:] != both[c][:-1] for c in _PAIRS.names], axis=0)]]
 
 
 def met(rows: DataFrame, kind: np.dtype, fn) -> DataFrame:
@@ -452,29 +450,99 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, words: int, si
     return links
 
 
+def near_texts(known: DataFrame, radius: int, similarity: float, tile: int = TILE, together: int = STRIP) -> DataFrame:
+    """Pairs (a, b) of texts (key, fp, n) with near fingerprints: each text with the nearest, NEAREST at most, of those before it within the radius.
+
+    Texts are dealt into tiles of about ``tile`` by their number of shingles, in classes such that similar texts are in
+    the same or in neighbouring ones; each pair of tiles of such classes is compared in full by exclusive-or and bit counts.
+    A task compares one strip of ``together`` tiles with another, or with itself.
+    """
+    spark = known.sparkSession
+    batched(spark)
+    step = -math.log(min(max(similarity, 0.01), 0.99))
+    rows = known.select("key", "fp", F.floor(F.log(F.greatest("n", F.lit(1))) / step).cast("int").alias("size"))
+    sizes = sorted((r["size"], -(-r["count"] // tile)) for r in rows.groupBy("size").count().collect())  # a row a class
+    strips = [(size, k) for size, tiles in sizes for k in range(-(-tiles // together))]
+    meet = [(s, t) for s in range(len(strips)) for t in range(s, len(strips)) if abs(strips[t][0] - strips[s][0]) <= 1]
+    blocks = [(*strips[x], x, i) for i, (s, t) in enumerate(meet) for x in {s, t}]
+    tiles = rows.join(F.broadcast(spark.createDataFrame(sizes, "size int, tiles int")), "size").withColumn("tile", F.expr("cast(pmod(xxhash64(key), tiles) as int)"))
+    tiles = tiles.groupBy("size", "tile").agg(F.collect_list(F.struct("key", "fp")).alias("rows")).withColumn("k", F.expr(f"tile div {together}").cast("int"))
+    dealt = tiles.join(F.broadcast(spark.createDataFrame(blocks, "size int, k int, strip int, block int")), ["size", "k"]).select("block", "strip", "tile", "rows")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("far", pa.int32())])
+
+    def nearest(x: np.ndarray, y: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        rows = max(1, AT_ONCE // len(x))
+        for lo in range(0, len(y), rows):
+            far = np.bitwise_count(y[lo : lo + rows, None] ^ x[None])
+            if same:
+                far[np.arange(len(x))[None] >= np.arange(lo, lo + len(far))[:, None]] = 65
+            if len(i := np.flatnonzero(far.min(axis=1) <= radius)):
+                far = far[i]
+                j = np.argpartition(far, min(NEAREST, far.shape[1]) - 1, axis=1)[:, :NEAREST]
+                away = np.take_along_axis(far, j, 1)
+                r, c = np.nonzero(away <= radius)
+                yield i[r] + lo, j[r, c], away[r, c]
+
+    def block(place: int | None, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        alone = bool(held) and meet[place][0] == meet[place][1]
+        for k, (strip, keys, y) in enumerate(held):
+            for other, keys_before, x in held[: k + 1]:
+                if strip != other or alone:
+                    for i, j, far in nearest(x, y, x is y):
+                        yield record(schema, keys_before[j], keys[i], far.astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for n in range(batch.num_rows):
+                place, strip = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
+                if place != now:
+                    yield from block(now, held)
+                    now, held = place, []
+                keys, fps = batch.column(3)[n].values.flatten()
+                held.append((strip, keys.to_numpy(), fps.to_numpy().view(np.uint64)))
+        yield from block(now, held)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = dealt.repartition(parts, "block").sortWithinPartitions("block", "strip", "tile").mapInArrow(freed(run), "a long, b long, far int")
+    few = found.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "a"))), 1, NEAREST).alias("nearest"))
+    return few.select(F.explode("nearest.a").alias("x"), "b").select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
+
+
 def similar_links(first: DataFrame, docs: DataFrame, words: int, radius: int, similarity: float) -> list[DataFrame]:
     """Tables of links (a, b) between texts (key, text) of that similarity: two texts as similar are linked, directly or by others.
 
-    first: the texts' profiles. Texts that similar share one of the first hashes of their shingles (see prefix), so only those that do
+    first: the texts' profiles. SimHash comes first: texts whose fingerprints tiles show to be near (see near_texts) are verified by all
+    their shingles, and what links stays together. The exact way for the rest, which is beyond the radius: texts that similar share one of the first hashes of their shingles (see prefix), so only those that do
     meet, and each pair that may be similar is verified by all its shingles. In groups of more than SMALL a tree of near fingerprints
     stands for the pairs it joins (see group_pairs). Where a pair of a tree fails, groups of linked texts may be left that
     the tree joined and the links don't: under each hash whose tree has such a pair, all but the largest of these meet the others.
     """
-    hashes, known = first.where("hash IS NOT NULL"), first.where("hash IS NULL").select("key", "odd", "n").dropDuplicates(["key"])
-    pairs = written(met(hashes, _FIRSTS, lambda rows: pairs_of_groups(rows, radius, similarity)))
-    links = [verified(pairs, known, docs, words, similarity)]
-    failed = written(pairs.where("size(hashes) > 0").join(links[0], ["a", "b"], "left_anti").select("a", "b", F.explode("hashes").alias("hash")))
-    if not failed.isEmpty():
-        label = components(links[0])
+    hashes, known = first.where("hash IS NOT NULL"), first.where("hash IS NULL").select("key", "fp", "odd", "n").dropDuplicates(["key"])
+    near = written(near_texts(known, radius, similarity))
+    links = [verified(near, known, docs, words, similarity)]
+    drop_written(near)
+    label = components(links[0])
+
+    def apart_in(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that links don't join."""
         side = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-        apart = failed.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("hash").distinct()
+        return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select(*pairs.columns)
+
+    pairs = written(apart_in(met(hashes, _FIRSTS, lambda rows: pairs_of_groups(rows, radius, similarity))))
+    links.append(verified(pairs, known, docs, words, similarity))
+    failed = written(pairs.where("size(hashes) > 0").join(links[1], ["a", "b"], "left_anti").select("a", "b", F.explode("hashes").alias("hash")))
+    drop_written(pairs, label)
+    if not failed.isEmpty():
+        label = components(functools.reduce(DataFrame.union, links))
+        apart = apart_in(failed).select("hash").distinct()
         again = hashes.join(apart, "hash", "left_semi").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key"))
         more = written(met(again, _OPEN, lambda rows: open_pairs(rows, radius, similarity)))
         drop_written(label)
         if not more.isEmpty():
             links.append(verified(more, known, docs, words, similarity))
         drop_written(more)
-    drop_written(pairs, failed)
+    drop_written(failed)
     return links
 
 

@@ -11,7 +11,7 @@ from rangewarden.llm.components import components
 from rangewarden.llm.doubling import repeated_windows
 from rangewarden.llm.embedding_dedup import embedding_groups
 from rangewarden.llm.exact_dedup import exact_dedup, exact_groups
-from rangewarden.llm.simhash import _FIRSTS, fingerprint, group_pairs, in_parts, linked, matches, near_duplicates, near_pairs, near_words, pairs_of_groups, parities, parities_allow, shingle_hashes, simhash_groups
+from rangewarden.llm.simhash import _FIRSTS, fingerprint, group_pairs, in_parts, linked, matches, near_duplicates, near_pairs, near_texts, near_words, pairs_of_groups, parities, parities_allow, shingle_hashes, simhash_groups
 from rangewarden.llm.suffix_dedup import BLOCK, without_repeats
 
 WORDS = "of the and thing ontion reble ere wh st Of and, THE ét é ß".split()
@@ -324,3 +324,14 @@ def test_pairs_of_large_groups_come_in_parts():
     n = sum(len(part) for part in in_parts(pairs_of_groups(rows, 3, 0.8)))
     assert n == 3000 * 2999 // 2 and tracemalloc.get_traced_memory()[1] < 80e6  # all pairs at once take 112 MB, and several times that with their copies
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize(("tile", "together"), [(8192, 8), (10, 2), (7, 1)])
+def test_texts_meet_the_nearest_by_fingerprint_in_tiles(spark, tile, together):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = np.concatenate([base ^ np.uint64(sum(1 << int(k) for k in rng.choice(62, 4, replace=False))) for _ in range(8)])
+    known = spark.createDataFrame([(i, int(f.view(np.int64)), 50 + i % 12) for i, f in enumerate(fps)], "key long, fp long, n int")
+    want = {(i, j) for j in range(len(fps)) for i in range(j) if int(fps[i] ^ fps[j]).bit_count() <= 12}
+    got = {(r["a"], r["b"]) for r in near_texts(known, 12, 0.8, tile, together).collect()}
+    assert got <= want and roots(len(fps), got) == roots(len(fps), want)
