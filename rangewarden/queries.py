@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -410,14 +411,16 @@ def _static_jail(spark, d):
     jailing = Trie("views", sets=(ClusterSet(20, 16, 24, 0.5, True),))
     report = analyse(spark, req(spark, d), [jailing], filters.user_agent_list(spark, ["purchase"], ["error"]))
     publish(spark, config, report | {"warnings": [], "errors": []}, {"whitelist": WHITE, "blacklist": BLACK[:2]}, NOW)
+    del report
     with open(config.ban_file, encoding="utf-8") as f:
-        section, rows = "", []
-        for line in f.read().splitlines():
+        section, sections, cidrs = "", [], []
+        for line in map(str.rstrip, f):
             if line.startswith("#"):
                 section = {"# Active jail bans:": "bans", "# Manual blacklist entries:": "blacklist"}.get(line, section)
             else:
-                rows.append((section, line))
-    return spark.createDataFrame(rows, "section string, cidr string")
+                sections.append(section)
+                cidrs.append(line)
+    return spark.createDataFrame(pa.table({"section": pa.array(sections, pa.string()), "cidr": pa.array(cidrs, pa.string())}), "section string, cidr string")
 
 
 def _live(spark, windows, clock, **lists):
