@@ -210,6 +210,14 @@ def remove_whitelisted(black: DataFrame, white: DataFrame) -> DataFrame:
     What isn't a prefix, and what no entry overlaps, stays as it is written; what the union of the
     entries covers goes; of the rest the gaps come back as prefixes. Both sides meet by /8, and the gaps of a range are joined again.
     """
+    return left_over(black, white).select("ord", "cidr")
+
+
+def left_over(black: DataFrame, white: DataFrame) -> DataFrame:
+    """remove_whitelisted() as (ord, start, cidr): start orders the prefixes of a range, and is no address where the range stays as it is written.
+
+    The whitelist may be a table (cidr) or (start, len); texts that are made just to be parsed again cost most of the time.
+    """
     rows = parsed(black.select("ord", "cidr"))
     own = Window.partitionBy("ord")
     gaps = _gaps(rows.where("start IS NOT NULL"), white).withColumn("touched", F.max("touched").over(own)).where("start IS NOT NULL")
@@ -222,7 +230,7 @@ def remove_whitelisted(black: DataFrame, white: DataFrame) -> DataFrame:
     as_is = ~F.coalesce("touched", F.lit(False))
     none = F.lit(0).cast("long")
     each = known.select("ord", F.when(as_is, F.col("cidr")).alias("cidr"), F.when(as_is, none).otherwise(F.col("from")).alias("start"), F.when(as_is, none).otherwise(F.col("to")).alias("end"))
-    return cover(each).select("ord", F.coalesce("cidr", cidr_text(F.col("start"), F.col("len"))).alias("cidr"))
+    return cover(each).select("ord", "start", F.coalesce("cidr", cidr_text(F.col("start"), F.col("len"))).alias("cidr"))
 
 
 def compose_ban_lists(bans: DataFrame, blacklist: DataFrame, white: DataFrame) -> DataFrame:

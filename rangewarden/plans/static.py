@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangewarden.functions.ipcalc import format_cidr, parse_cidr
 from rangewarden.operators import clusters, filters, prefixes, ranges
 from rangewarden.operators.grids import grid
-from rangewarden.operators.jail import ban_file, load_jail, save_jail, write_atomic
+from rangewarden.operators.jail import ban_parts, load_jail, save_jail, write_atomic
 from rangewarden.plans.config import Config, Trie
+from rangewarden.shipping import scratch, share, shared_lines
 from rangewarden.sources.logformat import parse_ips, parse_lines
 from rangewarden.sources.readers import read_log
 
@@ -42,10 +46,11 @@ def trie_counts(requests: DataFrame, tries: list[Trie]) -> DataFrame:
     return each.groupBy("trie", of_trie("ip"), of_trie("verdict")).agg(F.count("*").alias("cnt"), *bad)
 
 
-def analyse(spark: SparkSession, requests: DataFrame, tries: list[Trie], agents: DataFrame | None = None, plot: bool = False, grids: bool = False) -> dict:
+def analyse(spark: SparkSession, requests: DataFrame, tries: list[Trie], agents: DataFrame | None = None, plot: bool = False, grids: bool = False, listed_to: str | None = None) -> dict:
     """The report: for each trie its counters, ranges and clusters, detected and merged. What reaches the driver are counters, found ranges and listed addresses.
 
-    plot: also the requests of each /16, as cells. grids: also those of each trie, by its name.
+    plot: also the requests of each /16, as cells. grids: also those of each trie, by its name. listed_to: where the
+    addresses of listed agents become a table (verdict, ip); then they don't reach the driver, and the report has none.
     """
     if agents is not None:
         requests = filters.with_verdict(requests, agents)
@@ -82,8 +87,10 @@ def analyse(spark: SparkSession, requests: DataFrame, tries: list[Trie], agents:
                 "clusters": [{"set": {"min_size": c.min_size, "min_depth": c.min_depth, "max_depth": c.max_depth, "mean_subnet_difference": c.mean_subnet_difference, "use_for_jail": c.use_for_jail}, "detected_ranges": [row(r) for r in found.get((i, k), [])], "merged_ranges": [row(r) for r in merged.get((i, k), [])]} for k, c in enumerate(t.sets)],
                 "warnings": warnings,
             })
-        # As Arrow columns: rows of Python objects take ten times their memory.
-        lists = {v: [format_cidr(x, 32) for b in of_trie.where(valid & (F.col("verdict") == v)).select("ip").distinct().orderBy("ip").toArrow().column("ip").chunks for x in b.tolist()] if agents is not None else [] for v in (1, -1)}
+        addresses = of_trie.where(valid & F.col("verdict").isin(1, -1)).select("verdict", "ip").distinct()
+        if listed_to and agents is not None:
+            addresses.write.parquet(listed_to)
+        lists = {v: _listed(addresses, v) if agents is not None and not listed_to else [] for v in (1, -1)}
         cells = [(r["o1"], r["o2"], r["n"]) for r in grid(of_trie.where(valid & (F.col("trie") == len(tries))).select("ip", "cnt")).collect()] if plot else []
         by_trie: dict[str, list[tuple[int, int, int]]] = {t.name: [] for t in tries}
         for r in grid(counts.where(F.col("trie") < len(tries)), "trie").collect() if grids else []:  # 65,536 cells a trie at most
@@ -96,6 +103,12 @@ def analyse(spark: SparkSession, requests: DataFrame, tries: list[Trie], agents:
     return {"general": {"unique_ips": max((x["stats"]["unique_ips"] for x in out), default=0)}, "tries": out, "ua_whitelist_ips": lists[1], "ua_blacklist_ips": lists[-1], "lines": lines, "cells": cells, "grids": by_trie, "errors": errors}
 
 
+def _listed(addresses: DataFrame, verdict: int) -> list[str]:
+    """Addresses (verdict, ip) of one verdict in their order, as Arrow columns: rows of Python objects take ten times their memory."""
+    got = addresses.where(F.col("verdict") == verdict).select("ip").orderBy("ip").toArrow()
+    return [format_cidr(x, 32) for b in got.column("ip").chunks for x in b.tolist()]
+
+
 def merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """MRG-1 over one set's few ranges, which are on the driver already."""
     kept, reach = [], -1
@@ -130,6 +143,11 @@ def active_filters(p: dict, lists: dict[str, list[str]]) -> list[str]:
 def run_static(spark: SparkSession, config: Config, now: datetime | None = None, grids: bool = False) -> dict:
     """SRC to JAIL-9 for a configuration: checks it, analyses its log, updates jail and ban file, returns the report."""
     config.validate("static")
+    with scratch(spark) as folder:
+        return _run_static(spark, config, now, grids, f"{folder}/listed")
+
+
+def _run_static(spark: SparkSession, config: Config, now: datetime | None, grids: bool, listed_to: str) -> dict:
     began, now, lists = time.time(), now or datetime.now(timezone.utc), config.lists()
     lines = read_log(spark, config.log_file, config.max_line_length)
     listed = lists["ua_whitelist"] or lists["ua_blacklist"]
@@ -137,7 +155,7 @@ def run_static(spark: SparkSession, config: Config, now: datetime | None = None,
     requests = parse_ips(lines, config.log_format) if plain else parse_lines(lines, config.log_format)
     agents = filters.user_agent_list(spark, lists["ua_whitelist"], lists["ua_blacklist"]) if listed else None
     warnings: list[dict] = []
-    report = analyse(spark, requests, config.tries, agents, plot=bool(config.plot_path), grids=grids)
+    report = analyse(spark, requests, config.tries, agents, plot=bool(config.plot_path), grids=grids, listed_to=listed_to)
     counted, cells = report.pop("lines"), report.pop("cells")
     if not grids:
         report.pop("grids")
@@ -157,37 +175,74 @@ def run_static(spark: SparkSession, config: Config, now: datetime | None = None,
         write_atomic(config.plot_path, heatmap_html(cells))
         report["warnings"].append({"type": "info", "message": f"map of the traffic written to {config.plot_path}"})
     if config.jail_file and config.ban_file:
-        publish(spark, config, report, lists, now)
+        publish(spark, config, report, lists, now, spark.read.parquet(listed_to) if listed else None)
+    if listed:
+        addresses = spark.read.parquet(listed_to)
+        report |= {"ua_whitelist_ips": _listed(addresses, 1), "ua_blacklist_ips": _listed(addresses, -1)}
     return report
 
 
-def publish(spark: SparkSession, config: Config, report: dict, lists: dict[str, list[str]], now: datetime) -> None:
+def publish(spark: SparkSession, config: Config, report: dict, lists: dict[str, list[str]], now: datetime, listed: DataFrame | None = None) -> None:
     """JAIL-9: detected ranges of the jail's sets, less what is whitelisted as a whole, and the listed agents' addresses go to jail; bans and blacklist, less the whitelist, to the ban file.
 
-    Without anything to jail the jail stays as it is, expired bans included.
+    Without anything to jail the jail stays as it is, expired bans included. listed: the table (verdict, ip) of analyse().
+    What the whitelist leaves of the bans may be many times the bans, so it goes to the ban file through the shared folder.
     """
+    with scratch(spark) as folder:
+        _publish(spark, config, report, lists, now, listed, folder)
+
+
+def _publish(spark: SparkSession, config: Config, report: dict, lists: dict[str, list[str]], now: datetime, listed: DataFrame | None, folder: str) -> None:
     jailed = [r["cidr"] for t in report["tries"] for s in t["clusters"] if s["set"]["use_for_jail"] for r in s["merged_ranges"]]
-    white = lists["whitelist"] + report.get("ua_whitelist_ips", [])
-    kept = [r["cidr"] for r in ranges.drop_fully_whitelisted(_frame(spark, jailed), _frame(spark, white)).orderBy("ord").collect()] if jailed and white else jailed
+    fixed = lists["whitelist"] + report.get("ua_whitelist_ips", [])
+    white = ranges.parsed(_frame(spark, fixed, f"{folder}/white")).select("start", "len") if fixed or listed is not None else None
+    if listed is not None:
+        white = white.union(listed.where("verdict = 1").select("ip", F.lit(32)))
+    kept = ranges.drop_fully_whitelisted(_frame(spark, jailed, f"{folder}/jailed"), white).orderBy("ord").toArrow().column("cidr").to_pylist() if jailed and white is not None else jailed
     if len(kept) < len(jailed):
         report["warnings"].append({"type": "whitelist_applied", "message": f"{len(jailed) - len(kept)} ranges are whitelisted"})
-    add = kept + report.get("ua_blacklist_ips", [])
+    add = kept + report.get("ua_blacklist_ips", []) + (_listed(listed, -1) if listed is not None else [])
     jail = load_jail(config.jail_file)
     if add:
         report["errors"] += [{"type": "jail_update", "message": m} for m in jail.update(add, now)]
         save_jail(jail, config.jail_file)
         report["warnings"].append({"type": "jail_update", "message": f"{len(add)} ranges jailed"})
     active = [p.cidr for c in jail.cells for p in c.prisoners if p.active]
-    del jail
-    bans, black = compose(spark, active, lists["blacklist"], white)
-    write_atomic(config.ban_file, ban_file(bans, black, now))
-    if black:
-        report["warnings"].append({"type": "blacklist_applied", "message": f"{len(black)} entries of the blacklist are in the ban file"})
+    del jail, add, kept
+    bans, black = (active, lists["blacklist"]) if white is None else _composed(spark, active, lists["blacklist"], white, folder)
+    written = [0]
+
+    def numbered(cidrs: Iterable[str]) -> Iterator[str]:
+        for written[0], c in enumerate(cidrs, 1):
+            yield c
+
+    write_atomic(config.ban_file, ban_parts(bans, numbered(black), now))
+    if written[0]:
+        report["warnings"].append({"type": "blacklist_applied", "message": f"{written[0]} entries of the blacklist are in the ban file"})
+
+
+#: Longer lists are files in the shared folder: rows within a plan are objects in the driver's heap, and the optimizer copies them.
+PLAN_ROWS, FILE_ROWS = 10_000, 65_536
+
+
+def _frame(spark: SparkSession, cidrs: list[str], to: str | None = None) -> DataFrame:
+    """The ranges with their place, as (ord, cidr). to: where a long list goes as a file."""
+    columns = lambda a, b: pa.table({"ord": pa.array(range(a, b), pa.int64()), "cidr": pa.array(cidrs[a:b], pa.string())})
+    if to is None or len(cidrs) <= PLAN_ROWS:
+        return spark.createDataFrame(columns(0, len(cidrs)), "ord long, cidr string")
+    with tempfile.TemporaryDirectory(prefix="rangewarden-") as folder:
+        with pq.ParquetWriter(f"{folder}/list.parquet", columns(0, 0).schema) as w:
+            for i in range(0, len(cidrs), FILE_ROWS):
+                w.write_table(columns(i, min(i + FILE_ROWS, len(cidrs))))
+        return spark.read.schema("ord long, cidr string").parquet(share(spark, f"{folder}/list.parquet", f"{to}/list.parquet"))
 
 
-def _frame(spark: SparkSession, cidrs: list[str]) -> DataFrame:
-    """The ranges with their place, as (ord, cidr)."""
-    return spark.createDataFrame(pa.table({"ord": pa.array(range(len(cidrs)), pa.int64()), "cidr": pa.array(cidrs, pa.string())}), "ord long, cidr string")
+def _composed(spark: SparkSession, bans: list[str], blacklist: list[str], white: DataFrame, folder: str) -> tuple[Iterator[str], Iterator[str]]:
+    """RNG-6 with both lists in one pass: what the whitelist (start, len) leaves of them, in order, from files in the folder."""
+    left = ranges.left_over(_frame(spark, bans + blacklist, f"{folder}/lists"), white)
+    rows = left.withColumn("section", (F.col("ord") >= len(bans)).cast("int")).orderBy("section", "ord", "start")
+    rows.select("section", "cidr").write.partitionBy("section").option("compression", "none").text(f"{folder}/left")
+    return shared_lines(spark, f"{folder}/left/section=0"), shared_lines(spark, f"{folder}/left/section=1")
 
 
 def compose(spark: SparkSession, bans: list[str], blacklist: list[str], white: DataFrame | list[str] | None) -> tuple[list[str], list[str]]:

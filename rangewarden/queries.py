@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -405,22 +404,38 @@ def _static_jail(spark, d):
 
     from rangewarden.plans.config import Config, Trie
     from rangewarden.plans.static import analyse, publish
+    from rangewarden.shipping import scratch
 
     folder = tempfile.mkdtemp(prefix="rangewarden-")  # jail and ban file are files of the driver
     config = Config(jail_file=f"{folder}/jail.json", ban_file=f"{folder}/ban.txt")
     jailing = Trie("views", sets=(ClusterSet(20, 16, 24, 0.5, True),))
-    report = analyse(spark, req(spark, d), [jailing], filters.user_agent_list(spark, ["purchase"], ["error"]))
-    publish(spark, config, report | {"warnings": [], "errors": []}, {"whitelist": WHITE, "blacklist": BLACK[:2]}, NOW)
-    del report
-    with open(config.ban_file, encoding="utf-8") as f:
-        section, sections, cidrs = "", [], []
+    with scratch(spark) as shared:
+        report = analyse(spark, req(spark, d), [jailing], filters.user_agent_list(spark, ["purchase"], ["error"]), listed_to=f"{shared}/listed")
+        publish(spark, config, report | {"warnings": [], "errors": []}, {"whitelist": WHITE, "blacklist": BLACK[:2]}, NOW, spark.read.parquet(f"{shared}/listed"))
+    return _ban_sections(spark, config.ban_file)
+
+
+def _ban_sections(spark, path):
+    """The lines of a ban file with their section. Files of the shared folder hold them until the rows are read: there may be more than the driver can hold."""
+    import uuid
+
+    from rangewarden.shipping import share, shared_dir
+
+    heads = {"# Active jail bans:": "bans", "# Manual blacklist entries:": "blacklist"}
+    to = f"{shared_dir(spark)}/bans-{uuid.uuid4().hex}"
+    out = {section: open(f"{path}.{section}", "w", encoding="utf-8") for section in heads.values()}
+    with open(path, encoding="utf-8") as f:
+        section = None
         for line in map(str.rstrip, f):
             if line.startswith("#"):
-                section = {"# Active jail bans:": "bans", "# Manual blacklist entries:": "blacklist"}.get(line, section)
+                section = heads.get(line, section)
             else:
-                sections.append(section)
-                cidrs.append(line)
-    return spark.createDataFrame(pa.table({"section": pa.array(sections, pa.string()), "cidr": pa.array(cidrs, pa.string())}), "section string, cidr string")
+                out[section].write(f"{line}\n")
+    parts = []
+    for section, f in out.items():
+        f.close()
+        parts.append(spark.read.text(share(spark, f.name, f"{to}/{section}.txt")).select(F.lit(section).alias("section"), F.col("value").alias("cidr")))
+    return parts[0].union(parts[1])
 
 
 def _live(spark, windows, clock, **lists):
